@@ -17,6 +17,7 @@ IPV4 = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
 FULL6 = r"\A[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}\z"
 SHORT6 = r"\A(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?\z"
 MAPPED = "0" * 20 + "ffff"
+NUMBER_TYPE = "struct<family:int,hi:bigint,lo:bigint,addr:binary>"
 ADDRESS_TYPE = "struct<text:string,family:int,hi:bigint,lo:bigint,addr:binary>"
 
 
@@ -55,15 +56,21 @@ def _ipv6_hex(col: Column) -> Column:
         groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(
             F.split(side, ":")
         )
-        left = groups(F.substring_index(text, "::", 1))
-        right = groups(F.element_at(F.split(text, "::"), -1))
         padded = lambda side: F.transform(side, lambda g: F.lpad(g, 4, "0"))
-        missing = F.lit(8) - F.size(left) - F.size(right)
+        sides = F.struct(
+            padded(groups(F.substring_index(text, "::", 1))).alias("left"),
+            padded(groups(F.element_at(F.split(text, "::"), -1))).alias("right"),
+        )
+
+        def filled(s: Column) -> Column:
+            missing = F.lit(8) - F.size(s["left"]) - F.size(s["right"])
+            return F.when(
+                missing >= 1,
+                F.array_join(F.concat(s["left"], F.array_repeat(F.lit("0000"), missing), s["right"]), ""),
+            )
+
         return F.when(text.rlike(FULL6), F.array_join(padded(F.split(text, ":")), "")).when(
-            text.rlike(SHORT6) & (missing >= 1),
-            F.array_join(
-                F.concat(padded(left), F.array_repeat(F.lit("0000"), missing), padded(right)), ""
-            ),
+            text.rlike(SHORT6), _bind(sides, filled)
         )
 
     return _bind(undotted(F.lower(col)), expanded)
@@ -93,41 +100,49 @@ def _ipv6_text(digits: Column) -> Column:
     return _bind(F.array_join(groups, ":"), squeezed)
 
 
-def _ipv4_struct(digits: Column) -> Column:
+def _ipv4_text(digits: Column) -> Column:
     octet = lambda i: F.conv(F.substring(digits, i, 2), 16, 10)
-    return F.struct(
-        F.concat_ws(".", octet(1), octet(3), octet(5), octet(7)).alias("text"),
-        F.lit(4).alias("family"),
-        F.shiftleft(F.conv(digits, 16, 10).cast("bigint"), 32).alias("hi"),
-        F.lit(0).cast("bigint").alias("lo"),
-        F.unhex(digits).alias("addr"),
-    ).cast(ADDRESS_TYPE)
+    return F.concat_ws(".", octet(1), octet(3), octet(5), octet(7))
 
 
-def _ipv6_struct(digits: Column) -> Column:
-    return F.struct(
-        _ipv6_text(digits).alias("text"),
-        F.lit(6).alias("family"),
-        _half(digits, 1).alias("hi"),
-        _half(digits, 17).alias("lo"),
-        F.unhex(digits).alias("addr"),
-    ).cast(ADDRESS_TYPE)
+def _struct(family: int, digits: Column, text: bool) -> Column:
+    """Address struct from 8 or 32 hex digits."""
+    if family == 4:
+        hi, lo = F.shiftleft(F.conv(digits, 16, 10).cast("bigint"), 32), F.lit(0).cast("bigint")
+        shown = _ipv4_text(digits)
+    else:
+        hi, lo, shown = _half(digits, 1), _half(digits, 17), _ipv6_text(digits)
+    fields = [F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo"), F.unhex(digits).alias("addr")]
+    return F.struct(*([shown.alias("text")] if text else []), *fields).cast(ADDRESS_TYPE if text else NUMBER_TYPE)
 
 
-def ip_columns(col: Column) -> Column:
-    """Parse an address and unmap v4-in-v6. Null when it does not parse, has a
-    zone or is unspecified."""
+def _parse(col: Column, text: bool) -> Column:
     from_v6 = _bind(
-        _ipv6_hex(col),
-        lambda digits: F.when(digits == "0" * 32, F.lit(None).cast(ADDRESS_TYPE))
-        .when(digits.startswith(MAPPED), _ipv4_struct(F.substring(digits, 25, 8)))
-        .when(digits.isNotNull(), _ipv6_struct(digits)),
+        _bind(col, _ipv6_hex),
+        lambda digits: F.when(digits == "0" * 32, F.lit(None))
+        .when(
+            digits.startswith(MAPPED),
+            _bind(F.substring(digits, 25, 8), lambda d: _struct(4, d, text)),
+        )
+        .when(digits.isNotNull(), _struct(6, digits, text)),
     )
     return F.when(
-        col.rlike(IPV4), F.when(col != "0.0.0.0", _ipv4_struct(_ipv4_hex(col)))
+        col.rlike(IPV4),
+        F.when(col != "0.0.0.0", _bind(_ipv4_hex(col), lambda d: _struct(4, d, text))),
     ).when(F.contains(col, F.lit(":")), from_v6)
 
 
+def ip_columns(col: Column) -> Column:
+    """Parse an address and unmap v4-in-v6. Null when it does not parse, has a
+    zone or is unspecified."""
+    return _parse(col, text=True)
+
+
+def ip_number(col: Column) -> Column:
+    """:func:`ip_columns` without the text, which costs most of the work."""
+    return _parse(col, text=False)
+
+
 def canonical_ip(col: Column) -> Column:
     """Canonical text. IPv4 needs no rewriting, so it skips the full parse."""
     return F.when(col.rlike(IPV4), F.when(col != "0.0.0.0", col)).when(
@@ -184,7 +199,7 @@ def cidr_columns(col: Column) -> Column:
         def named(m):
             digits = _hex_of(m["hi"], m["lo"])
             plain = (
-                _ipv4_struct(F.substring(digits, 1, 8))["text"] if family == 4 else _ipv6_text(digits)
+                _ipv4_text(F.substring(digits, 1, 8)) if family == 4 else _ipv6_text(digits)
             )
             return F.struct(
                 F.concat(plain, F.lit("/"), m["bits"].cast("string")).alias("prefix"),
@@ -201,7 +216,7 @@ def cidr_columns(col: Column) -> Column:
         lambda d: build(4, F.shiftleft(F.conv(d, 16, 10).cast("bigint"), 32), F.lit(0).cast("bigint"), length),
     )
     v6 = _bind(
-        _ipv6_hex(written),
+        _bind(written, _ipv6_hex),
         lambda d: F.when(
             d.startswith(MAPPED) & (length >= 96),
             build(
@@ -220,10 +235,10 @@ def cidr_columns(col: Column) -> Column:
 def deny_key(col: Column) -> Column:
     """List key of a canonical address: IPv4 itself, IPv6 its /64."""
     v6 = _bind(
-        ip_columns(col),
-        lambda a: F.when(a["family"] == 4, F.concat(a["text"], F.lit("/32"))).when(
+        ip_number(col),
+        lambda a: F.when(a["family"] == 4, F.concat(_ipv4_text(F.hex(a["addr"])), F.lit("/32"))).when(
             a["family"] == 6,
-            F.concat(_ipv6_text(_hex_of(a["hi"], F.lit(0).cast("bigint"))), F.lit("/64")),
+            F.concat(_ipv6_text(F.lower(F.concat(F.substring(F.hex(a["addr"]), 1, 16), F.lit("0" * 16)))), F.lit("/64")),
         ),
     )
     return F.when(col.rlike(IPV4), F.concat(col, F.lit("/32"))).when(F.contains(col, F.lit(":")), v6)

@@ -105,6 +105,33 @@ def http_rules(representations: Column) -> Column:
     return F.element_at(F.transform(F.array(folded), judged), 1)
 
 
+def http_verdict(target: Column, rules: RuleConfig) -> Column:
+    """Everything the rules say about one eligible target, decoded once:
+    STRUCT<path, matched_representation, rule_ids>, or null when the path is
+    excluded, holds private data or matches no rule."""
+
+    def over(path: Column) -> Column:
+        def judge(reps: Column) -> Column:
+            dropped = F.lit(False)
+            if rules.excluded_exact_paths or rules.excluded_path_prefixes:
+                dropped = path_excluded(reps, rules.excluded_exact_paths, rules.excluded_path_prefixes)
+            if rules.sensitive_path_patterns:
+                dropped = dropped | path_sensitive(reps, rules.java_patterns())
+            found = lambda r: F.when(
+                (F.size(r["rule_ids"]) > 0) & ~dropped,
+                F.struct(
+                    path.alias("path"),
+                    r["matched_representation"].alias("matched_representation"),
+                    r["rule_ids"].alias("rule_ids"),
+                ),
+            )
+            return F.element_at(F.transform(F.array(http_rules(reps)), found), 1)
+
+        return F.element_at(F.transform(F.array(path_representations(path)), judge), 1)
+
+    return F.element_at(F.transform(F.array(strip_query(target)), over), 1)
+
+
 def http_eligible(target: Column, status: Column, rules: RuleConfig) -> Column:
     """Cheap filters first: status, origin form, then the path's text."""
     return (

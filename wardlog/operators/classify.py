@@ -7,68 +7,63 @@ Extra columns (sensor, adapter, original text) pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, RuleConfig
-from wardlog.functions.paths import (
-    http_eligible,
-    http_rules,
-    path_excluded,
-    path_representations,
-    path_sensitive,
-    strip_query,
-)
+from wardlog.functions.addresses import ip_number
+from wardlog.functions.paths import http_eligible, http_verdict
 from wardlog.functions.text import valid_rule_ids
-from wardlog.operators.networks import trusted_anti_join
+from wardlog.operators.networks import contained, literal_prefixes
 
 SSH = "ssh_auth_failure"
 HTTP = "http_request"
 RULE_SSH = "ssh/all-attempts-v1"
 
 
+def _ssh_qualifies(rules: RuleConfig) -> Column:
+    """An SSH failure that is neither of an excluded user nor trusted."""
+    qualifies = F.col("kind") == SSH
+    if rules.excluded_usernames:
+        qualifies = qualifies & ~F.col("username").isin(*rules.excluded_usernames)
+    if rules.trusted_cidrs:
+        qualifies = qualifies & ~contained(ip_number(F.col("source_ip")), literal_prefixes(rules.trusted_cidrs))
+    return qualifies
+
+
 def classify_ssh(observations: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
     """Every failed login qualifies unless its username is excluded or its
-    address is trusted. Narrow: filters and one literal column."""
-    kept = observations.where(F.col("kind") == SSH)
-    if rules.excluded_usernames:
-        kept = kept.where(~F.col("username").isin(*rules.excluded_usernames))
-    return trusted_anti_join(kept, rules.trusted_cidrs).withColumn("rule_ids", F.array(F.lit(RULE_SSH)))
+    address is trusted. Narrow: one filter and one literal column."""
+    return observations.where(_ssh_qualifies(rules)).withColumn("rule_ids", F.array(F.lit(RULE_SSH)))
+
+
+def _present(verdict: Column) -> Column:
+    """Generator that yields the verdict's fields once where it is not null.
+    A filter on the verdict would be pushed down and evaluate it twice."""
+    return F.inline(F.filter(F.array(verdict), lambda v: v.isNotNull()))
 
 
 def classify_http(observations: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
     """HTTP probes with path (query stripped), matched_representation and
     rule_ids. Narrow; the regex checks run only on eligible rows."""
-    eligible = (
-        observations.where(F.col("kind") == HTTP)
-        .where(http_eligible(F.col("request_target"), F.col("status"), rules))
-        .withColumn("path", strip_query(F.col("request_target")))
-        .withColumn("_reps", path_representations(F.col("path")))
-        .withColumn("_rules", http_rules(F.col("_reps")))
-        .where(F.size("_rules.rule_ids") > 0)
-    )
-    if rules.excluded_exact_paths or rules.excluded_path_prefixes:
-        eligible = eligible.where(
-            ~path_excluded(F.col("_reps"), rules.excluded_exact_paths, rules.excluded_path_prefixes)
-        )
-    if rules.sensitive_path_patterns:
-        eligible = eligible.where(~path_sensitive(F.col("_reps"), rules.java_patterns()))
-    return eligible.select(
-        *observations.columns,
-        "path",
-        F.col("_rules.matched_representation").alias("matched_representation"),
-        F.col("_rules.rule_ids").alias("rule_ids"),
-    )
+    target = F.col("request_target")
+    eligible = observations.where((F.col("kind") == HTTP) & http_eligible(target, F.col("status"), rules))
+    return eligible.select(*observations.columns, _present(http_verdict(target, rules)))
 
 
 def promote(observations: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
-    """Promoted events: SSH failures and HTTP probes in one table. The request
-    target is dropped, only the stripped path leaves the sensor. Both branches
-    prune to one kind, so the input is read once per kind with the filter
-    pushed into the scan."""
-    ssh = classify_ssh(observations, rules).withColumn("path", F.lit(None).cast("string"))
-    http = classify_http(observations, rules).drop("matched_representation")
-    return ssh.unionByName(http).drop("request_target")
+    """Promoted events: SSH failures and HTTP probes in one pass over the
+    input. The request target is dropped, only the stripped path leaves the
+    sensor."""
+    target = F.col("request_target")
+    nothing = F.lit(None).cast("string")
+    ssh = F.struct(
+        nothing.alias("path"), nothing.alias("matched_representation"), F.array(F.lit(RULE_SSH)).alias("rule_ids")
+    )
+    http = (F.col("kind") == HTTP) & http_eligible(target, F.col("status"), rules)
+    verdict = F.when(_ssh_qualifies(rules), ssh).when(http, http_verdict(target, rules))
+    kept = [c for c in observations.columns if c != "request_target"]
+    return observations.select(*kept, _present(verdict)).drop("matched_representation")
 
 
 def merge_rules(events: DataFrame, updates: DataFrame) -> DataFrame:

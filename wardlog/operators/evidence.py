@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS
-from wardlog.functions.addresses import deny_key, ip_columns
+from wardlog.functions.addresses import deny_key, ip_number
 from wardlog.functions.times import days, hours
 from wardlog.operators.classify import SSH
 from wardlog.operators.networks import excluded_prefix_anti_join
 from wardlog.operators.ranking import bounded_top
+from wardlog.session import cut_lineage
 
 FACT = ["key", "source_id", "day"]
 
@@ -37,13 +38,22 @@ def host_multi_username(buckets: DataFrame, batch: list[str]) -> DataFrame:
 
 
 def qualifying_events(buckets: DataFrame, batch: list[str]) -> DataFrame:
-    """(key, source_id, hour): anything a decoy saw, any HTTP probe, and the
-    host SSH slots above. ``batch`` names the columns of a batch's identity
-    besides source_id, because the username rule counts per batch."""
-    direct = buckets.where(~((F.col("source_kind") == "host") & (F.col("kind") == SSH))).select(
-        "key", "source_id", "hour"
+    """Distinct (key, source_id, hour): anything a decoy saw, any HTTP probe,
+    and the host SSH slots above. ``batch`` names the columns of a batch's
+    identity besides source_id, because the username rule counts per batch.
+
+    One pass: all three rules are aggregates of a (batch, key, hour) slot.
+    """
+    host_ssh = (F.col("source_kind") == "host") & (F.col("kind") == SSH)
+    name = F.when(host_ssh, F.col("username"))
+    return (
+        buckets.groupBy(*batch, "source_id", "key", "hour")
+        .agg(
+            F.max(~host_ssh).alias("_direct"), F.min(name).alias("_lo"), F.max(name).alias("_hi")
+        )
+        .where(F.col("_direct") | (F.col("_lo") < F.col("_hi")))
+        .select("key", "source_id", "hour")
     )
-    return direct.unionByName(host_multi_username(buckets, batch))
 
 
 def evidence_facts(events: DataFrame) -> DataFrame:
@@ -87,6 +97,7 @@ def prune_evidence(facts: DataFrame, now: Column) -> DataFrame:
     last hour is inside the window has that hour's day inside it too, so one
     row filter is equivalent; the key test only matters for the boundary."""
     cutoff = now - days(LIMITS.persistent_days)
+    facts = cut_lineage(facts)
     alive = facts.groupBy("key").agg(F.max("last_seen").alias("_last")).where(F.col("_last") > cutoff)
     recent = facts.where(F.col("day") >= F.to_date(cutoff))
     return recent.join(alive.select("key"), "key", "left_semi")
@@ -94,6 +105,7 @@ def prune_evidence(facts: DataFrame, now: Column) -> DataFrame:
 
 def cap_evidence(facts: DataFrame, limit: int = LIMITS.deny_records) -> DataFrame:
     """Keep the ``limit`` keys seen last; on a tie the smaller key goes."""
+    facts = cut_lineage(facts)
     keys = facts.groupBy("key").agg(F.max("last_seen").alias("_last"))
     kept = bounded_top(keys, [], [F.col("_last").desc(), F.col("key").desc()], limit, salt_on=["key"])
     return facts.join(kept.select("key"), "key", "left_semi")
@@ -114,6 +126,8 @@ def build_deny_lists(
     """
     cutoff_day = F.to_date(now - days(LIMITS.persistent_days))
     per_source_day = facts.withColumn("_in", F.col("day") >= cutoff_day)
+    # One row per key from here on, far fewer than events: stored once, since
+    # the address expressions below are long to plan over a long query.
     # Distinct sensors and days inside the window as bounded sets per key:
     # the facts are already unique per (key, sensor, day).
     per_key = per_source_day.groupBy("key").agg(
@@ -140,8 +154,8 @@ def build_deny_lists(
         )
     )
     listed = (
-        excluded_prefix_anti_join(per_key, never)
+        excluded_prefix_anti_join(cut_lineage(per_key), never)
         .withColumn("_e", F.explode(entries))
-        .withColumn("_a", ip_columns(F.substring_index("key", "/", 1)))
+        .withColumn("_a", ip_number(F.substring_index("key", "/", 1)))
     )
     return listed.select("_e.list", "key", "_e.timeout_s", "_a.family", "_a.addr")

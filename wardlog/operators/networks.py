@@ -10,15 +10,14 @@ from __future__ import annotations
 
 import ipaddress
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS
-from wardlog.functions.addresses import ip_columns, mask_hi, mask_lo
+from wardlog.functions.addresses import ip_number, mask_hi, mask_lo
 
 # Special-purpose ranges that are never listed. IPv6 outside
 # 2000::/3 is excluded wholesale.
@@ -75,19 +74,34 @@ def table_prefixes(cidrs: DataFrame, limit: int = LIMITS.never_block_entries) ->
     return None if len(rows) > limit else [Prefix(*row) for row in rows]
 
 
-def contained(address: Column, prefixes: Iterable[Prefix]) -> Column:
-    """True where the address struct lies in any of the prefixes."""
+def covering(prefixes: Iterable[Prefix]) -> Callable[[Column], Column]:
+    """Test of an address struct against a set of prefixes, one hash-set
+    lookup per prefix length in use."""
     by_length: dict[tuple[int, int], list[Prefix]] = defaultdict(list)
     for prefix in prefixes:
         by_length[prefix.family, prefix.bits].append(prefix)
-    tests = []
-    for (family, bits), group in sorted(by_length.items()):
-        hit = mask_hi(address["hi"], bits).isin([p.hi for p in group])
-        if bits > 64:
-            key = F.concat_ws(":", address["hi"], mask_lo(address["lo"], bits))
-            hit = key.isin([f"{p.hi}:{p.lo}" for p in group])
-        tests.append((address["family"] == family) & hit)
-    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+
+    def test(a: Column) -> Column:
+        found = F.lit(False)
+        for (family, bits), group in sorted(by_length.items()):
+            hit = mask_hi(a["hi"], bits).isin([p.hi for p in group])
+            if bits > 64:
+                key = F.concat_ws(":", a["hi"], mask_lo(a["lo"], bits))
+                hit = key.isin([f"{p.hi}:{p.lo}" for p in group])
+            found = found | ((a["family"] == family) & hit)
+        return found
+
+    return test
+
+
+def holds_for(address: Column, test: Callable[[Column], Column]) -> Column:
+    """Apply a test to a parsed address, parsing it once; false when null."""
+    return F.coalesce(F.exists(F.array(address), test), F.lit(False))
+
+
+def contained(address: Column, prefixes: Iterable[Prefix]) -> Column:
+    """True where the address struct lies in any of the prefixes."""
+    return holds_for(address, covering(prefixes))
 
 
 def _join_contained(rows: DataFrame, address: Column, cidrs: DataFrame) -> DataFrame:
@@ -137,20 +151,18 @@ def trusted_anti_join(observations: DataFrame, cidrs: Iterable[str], column: str
     prefixes = literal_prefixes(cidrs)
     if not prefixes:
         return observations
-    return observations.where(~contained(ip_columns(F.col(column)), prefixes))
+    return observations.where(~contained(ip_number(F.col(column)), prefixes))
 
 
 def excluded_prefix_anti_join(keys: DataFrame, never: DataFrame | None = None, column: str = "key") -> DataFrame:
     """Drop list keys (a.b.c.d/32 or an IPv6 /64) that overlap a special-purpose
     range or a never-block CIDR. A CIDR longer than the key overlaps it when
     the key contains it, so such CIDRs are first cut to the key's length."""
-    address = ip_columns(F.substring_index(F.col(column), "/", 1))
-    outside = (address["family"] == 6) & ~contained(address, literal_prefixes([GLOBAL_UNICAST_6]))
-    kept = keys.where(
-        address.isNotNull() & ~outside & ~contained(address, literal_prefixes(SPECIAL_PURPOSE))
-    )
+    address = ip_number(F.substring_index(F.col(column), "/", 1))
+    allowed = covering([Prefix(4, 0, 0, 0), *literal_prefixes([GLOBAL_UNICAST_6])])
+    special = covering(literal_prefixes(SPECIAL_PURPOSE))
     if never is None:
-        return kept
+        return keys.where(holds_for(address, lambda a: allowed(a) & ~special(a)))
     length = F.when(F.col("family") == 4, F.least("bits", F.lit(32))).otherwise(F.least("bits", F.lit(64)))
     clipped = never.select(
         "family",
@@ -158,4 +170,9 @@ def excluded_prefix_anti_join(keys: DataFrame, never: DataFrame | None = None, c
         F.when(F.col("bits") > 64, F.lit(0).cast("bigint")).otherwise(F.col("lo")).alias("lo"),
         length.alias("bits"),
     )
-    return cidr_anti_join(kept, address, clipped)
+    prefixes = table_prefixes(clipped)
+    if prefixes is None:
+        listed = keys.where(holds_for(address, lambda a: allowed(a) & ~special(a)))
+        return _join_contained(listed, address, clipped)
+    blocked = covering(prefixes)
+    return keys.where(holds_for(address, lambda a: allowed(a) & ~special(a) & ~blocked(a)))

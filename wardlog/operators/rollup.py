@@ -15,6 +15,7 @@ from wardlog.functions.text import holds
 from wardlog.functions.times import GRANULARITIES, days, period_end, period_start
 from wardlog.operators.classify import SSH
 from wardlog.operators.ranking import bounded_top
+from wardlog.session import cut_lineage
 
 PERIOD = ["granularity", "period_start"]
 DIMENSION = [*PERIOD, "dimension"]
@@ -139,6 +140,8 @@ def cap_dimension(
     values = fresh.groupBy(*VALUE).agg(
         F.sum("count").alias("count"), F.min("_new").alias("_new"), F.min("arrival").alias("arrival")
     )
+    # Used several times below, and small beside the events it was made from.
+    values = cut_lineage(values)
     small, large = _split_by_size(values, DIMENSION, cap)
     # Held values precede all others; among them the order does not matter.
     order = [F.col("_new"), F.col("arrival"), F.col("value")]
@@ -182,6 +185,7 @@ def trim_periods(
 ) -> tuple[DataFrame, DataFrame]:
     """Bound old periods: hourly periods that ended before the retention are
     dropped, others keep their top values. Returns (counts, added overflow)."""
+    counts = cut_lineage(counts)
     end = period_end(F.col("granularity"), F.col("period_start"))
     old = end < now - days(retention_days)
     current = counts.where(~old)
