@@ -7,11 +7,11 @@ and the big-endian bytes for numeric ordering. Nothing here leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardlog.functions.binding import bind
+
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
 FULL6 = r"\A[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}\z"
@@ -21,11 +21,6 @@ NUMBER_TYPE = "struct<family:int,hi:bigint,lo:bigint,addr:binary>"
 ADDRESS_TYPE = "struct<text:string,family:int,hi:bigint,lo:bigint,addr:binary>"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _ipv4_hex(text: Column) -> Column:
     octets = F.split(text, r"\.")
     return F.array_join(
@@ -36,11 +31,11 @@ def _ipv4_hex(text: Column) -> Column:
 def _ipv6_hex(col: Column) -> Column:
     """32 hex digits of an IPv6 text, or null. Accepts a dotted tail."""
     def undotted(text: Column) -> Column:
-        return _bind(
+        return bind(
             F.regexp_extract(text, r":([0-9.]*\.[0-9.]*)\z", 1),
             lambda quad: F.when(quad == "", text).when(
                 quad.rlike(IPV4),
-                _bind(
+                bind(
                     _ipv4_hex(quad),
                     lambda h: F.concat(
                         F.substring(text, F.lit(1), F.length(text) - F.length(quad)),
@@ -70,10 +65,10 @@ def _ipv6_hex(col: Column) -> Column:
             )
 
         return F.when(text.rlike(FULL6), F.array_join(padded(F.split(text, ":")), "")).when(
-            text.rlike(SHORT6), _bind(sides, filled)
+            text.rlike(SHORT6), bind(sides, filled)
         )
 
-    return _bind(undotted(F.lower(col)), expanded)
+    return bind(undotted(F.lower(col)), expanded)
 
 
 def _half(digits: Column, start: int) -> Column:
@@ -97,7 +92,7 @@ def _ipv6_text(digits: Column) -> Column:
             text = F.when(found, done) if text is None else text.when(found, done)
         return text.otherwise(plain)
 
-    return _bind(F.array_join(groups, ":"), squeezed)
+    return bind(F.array_join(groups, ":"), squeezed)
 
 
 def _ipv4_text(digits: Column) -> Column:
@@ -117,18 +112,18 @@ def _struct(family: int, digits: Column, text: bool) -> Column:
 
 
 def _parse(col: Column, text: bool) -> Column:
-    from_v6 = _bind(
-        _bind(col, _ipv6_hex),
+    from_v6 = bind(
+        bind(col, _ipv6_hex),
         lambda digits: F.when(digits == "0" * 32, F.lit(None))
         .when(
             digits.startswith(MAPPED),
-            _bind(F.substring(digits, 25, 8), lambda d: _struct(4, d, text)),
+            bind(F.substring(digits, 25, 8), lambda d: _struct(4, d, text)),
         )
         .when(digits.isNotNull(), _struct(6, digits, text)),
     )
     return F.when(
         col.rlike(IPV4),
-        F.when(col != "0.0.0.0", _bind(_ipv4_hex(col), lambda d: _struct(4, d, text))),
+        F.when(col != "0.0.0.0", bind(_ipv4_hex(col), lambda d: _struct(4, d, text))),
     ).when(F.contains(col, F.lit(":")), from_v6)
 
 
@@ -209,14 +204,14 @@ def cidr_columns(col: Column) -> Column:
                 m["bits"].alias("bits"),
             )
 
-        return _bind(masked, named)
+        return bind(masked, named)
 
-    v4 = _bind(
+    v4 = bind(
         _ipv4_hex(written),
         lambda d: build(4, F.shiftleft(F.conv(d, 16, 10).cast("bigint"), 32), F.lit(0).cast("bigint"), length),
     )
-    v6 = _bind(
-        _bind(written, _ipv6_hex),
+    v6 = bind(
+        bind(written, _ipv6_hex),
         lambda d: F.when(
             d.startswith(MAPPED) & (length >= 96),
             build(
@@ -234,7 +229,7 @@ def cidr_columns(col: Column) -> Column:
 
 def deny_key(col: Column) -> Column:
     """List key of a canonical address: IPv4 itself, IPv6 its /64."""
-    v6 = _bind(
+    v6 = bind(
         ip_number(col),
         lambda a: F.when(a["family"] == 4, F.concat(_ipv4_text(F.hex(a["addr"])), F.lit("/32"))).when(
             a["family"] == 6,

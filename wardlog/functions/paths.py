@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardlog.config import RuleConfig
+from wardlog.functions.binding import bind
 from wardlog.functions.text import bounded_text, holds
 
 # Rule identifiers and the file names that mark a probe.
@@ -54,7 +55,7 @@ def path_representations(path: Column) -> Column:
             )
         )
 
-    return F.element_at(F.transform(F.array(percent_decode(path)), decoded), 1)
+    return bind(percent_decode(path), decoded)
 
 
 def _any(conditions) -> Column:
@@ -102,7 +103,7 @@ def http_rules(representations: Column) -> Column:
             F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["name"]).alias("matched_representation"),
         )
 
-    return F.element_at(F.transform(F.array(folded), judged), 1)
+    return bind(folded, judged)
 
 
 def http_verdict(target: Column, rules: RuleConfig) -> Column:
@@ -125,11 +126,11 @@ def http_verdict(target: Column, rules: RuleConfig) -> Column:
                     r["rule_ids"].alias("rule_ids"),
                 ),
             )
-            return F.element_at(F.transform(F.array(http_rules(reps)), found), 1)
+            return bind(http_rules(reps), found)
 
-        return F.element_at(F.transform(F.array(path_representations(path)), judge), 1)
+        return bind(path_representations(path), judge)
 
-    return F.element_at(F.transform(F.array(strip_query(target)), over), 1)
+    return bind(strip_query(target), over)
 
 
 def http_eligible(target: Column, status: Column, rules: RuleConfig) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardlog.functions.binding import bind
+
 RFC3339 = r"\A(\d{4}-\d{2}-\d{2})T(\d{1,2}):(\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})\z"
 
 GRANULARITIES = ("hourly", "daily", "monthly", "yearly")
@@ -28,33 +30,43 @@ def parse_rfc3339(col: Column) -> Column:
     ``ts`` is truncated to microseconds, ``nanos`` is the whole fraction of
     the second, ``text`` is the UTC form without trailing zeros.
     """
-    part = lambda i: F.regexp_extract(col, RFC3339, i)
-    local = F.try_to_timestamp(
-        F.concat(part(1), F.lit(" "), F.lpad(part(2), 2, "0"), F.lit(":"), part(3)),
-        F.lit("yyyy-MM-dd HH:mm:ss"),
-    )
-    zone = part(5)
-    zone_hours = F.substring(zone, 2, 2).try_cast("int")
-    zone_minutes = F.substring(zone, 5, 2).try_cast("int")
-    offset = F.when(zone == "Z", F.lit(0)).when(
-        (zone_hours <= 24) & (zone_minutes < 60),
-        F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-        * (zone_hours * 3600 + zone_minutes * 60),
-    )
-    seconds = F.unix_seconds(local) - offset
-    fraction = F.rpad(F.substring(part(4), 1, 9), 9, "0")
-    shown = F.regexp_replace(F.substring(part(4), 1, 9), r"0+\z", "")
-    micros = F.substring(fraction, 1, 6).try_cast("bigint")
-    parsed = F.struct(
-        F.timestamp_micros(seconds * 1_000_000 + micros).alias("ts"),
-        fraction.try_cast("int").alias("nanos"),
-        F.concat(
-            F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"),
-            F.when(shown != "", F.concat(F.lit("."), shown)).otherwise(F.lit("")),
-            F.lit("Z"),
-        ).alias("text"),
-    )
-    return F.when(seconds.isNotNull(), parsed)
+    names = ("date", "hour", "rest", "fraction", "zone")
+    parts = F.struct(*[F.regexp_extract(col, RFC3339, i + 1).alias(n) for i, n in enumerate(names)])
+
+    def instant(p: Column) -> Column:
+        local = F.try_to_timestamp(
+            F.concat(p["date"], F.lit(" "), F.lpad(p["hour"], 2, "0"), F.lit(":"), p["rest"]),
+            F.lit("yyyy-MM-dd HH:mm:ss"),
+        )
+        zone_hours = F.substring(p["zone"], 2, 2).try_cast("int")
+        zone_minutes = F.substring(p["zone"], 5, 2).try_cast("int")
+        offset = F.when(p["zone"] == "Z", F.lit(0)).when(
+            (zone_hours <= 24) & (zone_minutes < 60),
+            F.when(p["zone"].startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+            * (zone_hours * 3600 + zone_minutes * 60),
+        )
+        return F.struct(
+            (F.unix_seconds(local) - offset).alias("seconds"),
+            F.rpad(F.substring(p["fraction"], 1, 9), 9, "0").alias("digits"),
+            F.regexp_replace(F.substring(p["fraction"], 1, 9), r"0+\z", "").alias("shown"),
+        )
+
+    def parsed(t: Column) -> Column:
+        micros = F.substring(t["digits"], 1, 6).try_cast("bigint")
+        return F.when(
+            t["seconds"].isNotNull(),
+            F.struct(
+                F.timestamp_micros(t["seconds"] * 1_000_000 + micros).alias("ts"),
+                t["digits"].try_cast("int").alias("nanos"),
+                F.concat(
+                    F.date_format(F.timestamp_seconds(t["seconds"]), "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(t["shown"] != "", F.concat(F.lit("."), t["shown"])).otherwise(F.lit("")),
+                    F.lit("Z"),
+                ).alias("text"),
+            ),
+        )
+
+    return bind(bind(parts, instant), parsed)
 
 
 def utc_timestamp(col: Column) -> Column:

@@ -133,13 +133,17 @@ def accept_chain(candidates: DataFrame, heads: DataFrame) -> DataFrame:
     conflict with the winner, and earlier names had the wrong hash.
     """
     steps = _steps(candidates)
-    links = _with_head(
-        steps.groupBy(*STEP, "prev")
-        .agg(F.min(F.struct("blob_name", "payload_hash")).alias("_w"))
-        .select(*STEP, "prev", "_w.blob_name", "_w.payload_hash"),
-        heads,
+    # Five narrow columns per batch, joined with themselves several times:
+    # stored once instead of decoding the batches anew for every join.
+    links = cut_lineage(
+        _with_head(
+            steps.groupBy(*STEP, "prev")
+            .agg(F.min(F.struct("blob_name", "payload_hash")).alias("_w"))
+            .select(*STEP, "prev", "_w.blob_name", "_w.payload_hash"),
+            heads,
+        )
     )
-    live = _linked(links)
+    live = cut_lineage(_linked(links))
     rivals = live.groupBy(*STEP).count().where(F.col("count") > 1).select(*SENSOR).distinct()
     straight = accept_straight(
         live.drop("parent").join(rivals, SENSOR, "left_anti").unionByName(_gaps(links, live, rivals))

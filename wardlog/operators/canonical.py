@@ -219,7 +219,7 @@ def _verify(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
     for keys, texts, signatures in batches:
         yield pd.Series(
             [
-                k is not None and s is not None and ed25519_valid(bytes(k), t.encode(), bytes(s))
+                None not in (k, t, s) and ed25519_valid(bytes(k), t.encode(), bytes(s))
                 for k, t, s in zip(keys, texts, signatures)
             ],
             dtype="bool",
@@ -241,16 +241,21 @@ def to_base64url(data: bytes) -> str:
     return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
 
 
-def verify_signatures(batches: DataFrame, names: WireNames = NAMES) -> DataFrame:
+def verify_signatures(batches: DataFrame, names: WireNames = NAMES, when: Column | None = None) -> DataFrame:
     """Add ``signature_valid`` to rows with payload, signature, public_key.
 
-    Costs milliseconds per row in Python, so filter on the cheap reasons
-    first; rows that cannot verify are sorted out here before the call.
+    A check costs milliseconds in Python, so only rows that satisfy ``when``
+    and could verify at all send their text across; the others send nulls and
+    come back false.
     """
     signature = F.col("signature")
     plausible = holds(signature["algorithm"] == "Ed25519") & holds(F.length(signature["value"]) == 86)
-    checked = batches.withColumn("_sig", F.when(plausible, base64url(signature["value"])))
-    return checked.withColumn(
-        "signature_valid",
-        holds(_verify(base64url(F.col("public_key")), signing_text(F.col("payload"), names), F.col("_sig"))),
-    ).drop("_sig")
+    if when is not None:
+        plausible = plausible & when
+    only = lambda col: F.when(plausible, col)
+    verdict = _verify(
+        only(base64url(F.col("public_key"))),
+        only(signing_text(F.col("payload"), names)),
+        only(base64url(signature["value"])),
+    )
+    return batches.withColumn("signature_valid", holds(verdict))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.functions.addresses import deny_key, is_canonical_ip
+from wardlog.functions.binding import bind
 from wardlog.functions.text import (
     bounded_text,
     first_reason,
@@ -68,16 +69,15 @@ def _instant(ts: Column) -> Column:
 def record_reason(r: Column, start: Column, end: Column) -> Column:
     """First violated rule of one record inside the window [start, end), whose
     bounds are parsed time structs."""
-    first, last = strict_utc(r["first_observed_at"]), strict_utc(r["last_observed_at"])
-    buckets = r["hourly_buckets"]
-    hours = F.transform(buckets, lambda b: strict_utc(b["hour"]))
     optional = lambda name: F.coalesce(r[name], F.lit(""))
     count_ok = lambda n: holds(n.between(1, LIMITS.safe_integer))
+    buckets = r["hourly_buckets"]
 
-    def over_hours(h: Column) -> Column:
-        """Bucket rules with the parsed hours bound once."""
-        aligned = lambda t: holds(_at(t) == _instant(hour_of(t["ts"])))
-        inside = lambda t: holds((t["ts"] >= hour_of(start["ts"])) & (_at(t) < _at(end)))
+    def rules(t: Column) -> Column:
+        """All rules with the record's times parsed once."""
+        first, last, h = t["first"], t["last"], t["hours"]
+        aligned = lambda x: holds(_at(x) == _instant(hour_of(x["ts"])))
+        inside = lambda x: holds((x["ts"] >= hour_of(start["ts"])) & (_at(x) < _at(end)))
         # A forged count must not overflow the job: the sum turns null instead.
         total = F.aggregate(buckets, F.lit(0).cast("bigint"), lambda s, b: F.try_add(s, b["count"]))
         ascending = F.forall(
@@ -85,7 +85,29 @@ def record_reason(r: Column, start: Column, end: Column) -> Column:
             lambda i: (i == 1) | (F.get(h, i - 2)["ts"] < F.get(h, i - 1)["ts"]),
         )
         return first_reason(
-            (F.exists(h, lambda t: t.isNull()), "bucket_hour"),
+            (~is_canonical_ip(r["source_ip"]), "source_ip"),
+            (~count_ok(r["count"]), "count"),
+            (~holds(r["kind"].isin(SSH, HTTP)), "kind"),
+            ((r["kind"] == SSH) & ((optional("username") == "") | (optional("path") != "")), "ssh_fields"),
+            ((r["kind"] == SSH) & ~bounded_text(r["username"], LIMITS.username_bytes), "username"),
+            (
+                (r["kind"] == SSH)
+                & (optional("password") != "")
+                & ~bounded_text(r["password"], LIMITS.password_bytes),
+                "password",
+            ),
+            (
+                (r["kind"] == HTTP)
+                & ((optional("path") == "") | (optional("username") != "") | (optional("password") != "")),
+                "http_fields",
+            ),
+            ((r["kind"] == HTTP) & ~bounded_text(r["path"], LIMITS.path_bytes), "path"),
+            (first.isNull(), "first_observed_at"),
+            (last.isNull(), "last_observed_at"),
+            (_at(last) < _at(first), "time_order"),
+            ((_at(first) < _at(start)) | (_at(last) >= _at(end)), "time_window"),
+            (~holds(F.size(buckets).between(1, LIMITS.hourly_buckets)), "bucket_number"),
+            (F.exists(h, lambda x: x.isNull()), "bucket_hour"),
             (~F.forall(h, aligned), "bucket_alignment"),
             (~F.forall(h, inside), "bucket_window"),
             (~holds(ascending), "bucket_order"),
@@ -96,31 +118,12 @@ def record_reason(r: Column, start: Column, end: Column) -> Column:
             (~valid_rule_ids(r["rule_ids"]), "rule_ids"),
         )
 
-    before = first_reason(
-        (~is_canonical_ip(r["source_ip"]), "source_ip"),
-        (~count_ok(r["count"]), "count"),
-        (~holds(r["kind"].isin(SSH, HTTP)), "kind"),
-        ((r["kind"] == SSH) & ((optional("username") == "") | (optional("path") != "")), "ssh_fields"),
-        ((r["kind"] == SSH) & ~bounded_text(r["username"], LIMITS.username_bytes), "username"),
-        (
-            (r["kind"] == SSH)
-            & (optional("password") != "")
-            & ~bounded_text(r["password"], LIMITS.password_bytes),
-            "password",
-        ),
-        (
-            (r["kind"] == HTTP)
-            & ((optional("path") == "") | (optional("username") != "") | (optional("password") != "")),
-            "http_fields",
-        ),
-        ((r["kind"] == HTTP) & ~bounded_text(r["path"], LIMITS.path_bytes), "path"),
-        (first.isNull(), "first_observed_at"),
-        (last.isNull(), "last_observed_at"),
-        (_at(last) < _at(first), "time_order"),
-        ((_at(first) < _at(start)) | (_at(last) >= _at(end)), "time_window"),
-        (~holds(F.size(buckets).between(1, LIMITS.hourly_buckets)), "bucket_number"),
+    parsed = F.struct(
+        strict_utc(r["first_observed_at"]).alias("first"),
+        strict_utc(r["last_observed_at"]).alias("last"),
+        F.transform(buckets, lambda b: strict_utc(b["hour"])).alias("hours"),
     )
-    return F.coalesce(before, F.element_at(F.transform(F.array(hours), over_hours), 1))
+    return bind(parsed, rules)
 
 
 def validate_records(records: DataFrame) -> DataFrame:
@@ -131,11 +134,8 @@ def validate_records(records: DataFrame) -> DataFrame:
         strict_utc(F.col("window_start")).alias("s"),
         strict_utc(F.col("window_end")).alias("e"),
     )
-    return (
-        records.withColumn("_v", bound)
-        .withColumn("reject_reason", record_reason(F.col("_v.r"), F.col("_v.s"), F.col("_v.e")))
-        .drop("_v")
-    )
+    reason = bind(bound, lambda v: record_reason(v["r"], v["s"], v["e"]))
+    return records.withColumn("reject_reason", reason)
 
 
 def _sort_key(r: Column) -> Column:
@@ -153,44 +153,43 @@ def _sort_key(r: Column) -> Column:
 def payload_reason(p: Column, names: WireNames = NAMES) -> Column:
     """First violated rule of a payload, down to its records. A batch is one
     row of at most 1 MiB, so its records are judged in place."""
-    start, end = strict_utc(p["observation_window"]["start"]), strict_utc(p["observation_window"]["end"])
-    previous = F.coalesce(p["previous_batch_hash"], F.lit(""))
-    header = first_reason(
-        (~holds(p["schema_version"] == names.schema("batch")), "schema_version"),
-        (~valid_identity(p["source_id"], p["source_epoch"]), "identity"),
-        (~valid_sequence(p["sequence"]), "sequence"),
-        ((p["sequence"] == "0") & (previous != ""), "previous_batch_hash"),
-        ((p["sequence"] != "0") & ~hex_digest(previous, 64), "previous_batch_hash"),
-        (strict_utc(p["created_at"]).isNull(), "created_at"),
-        (start.isNull() | end.isNull(), "window_time"),
-        (~holds(_at(start) < _at(end)), "window_empty"),
-        (
-            _at(end) > F.struct((start["ts"] + days(LIMITS.window_days)).alias("ts"), start["nanos"].alias("nanos")),
-            "window_length",
-        ),
-        (
-            ~holds(F.octet_length(p["classifier_version"]).between(1, LIMITS.classifier_bytes)),
-            "classifier_version",
-        ),
-        (~holds(F.size(p["records"]).between(1, LIMITS.batch_records)), "record_number"),
+    times = F.struct(
+        strict_utc(p["observation_window"]["start"]).alias("start"),
+        strict_utc(p["observation_window"]["end"]).alias("end"),
     )
+    previous = F.coalesce(p["previous_batch_hash"], F.lit(""))
 
-    def body(records: Column) -> Column:
-        reasons = F.filter(
-            F.transform(records, lambda r: record_reason(r, start, end)), lambda reason: reason.isNotNull()
-        )
-        keys = F.transform(records, _sort_key)
-        ordered = F.forall(
-            F.sequence(F.lit(1), F.size(records)),
-            lambda i: (i == 1) | (F.get(keys, i - 2) < F.get(keys, i - 1)),
-        )
+    def rules(t: Column) -> Column:
+        start, end = t["start"], t["end"]
+        latest = F.struct((start["ts"] + days(LIMITS.window_days)).alias("ts"), start["nanos"].alias("nanos"))
+        faulty = F.exists(p["records"], lambda r: record_reason(r, start, end).isNotNull())
         return first_reason(
-            (F.size(reasons) > 0, "record"),
-            (~holds(ordered), "record_order"),
+            (~holds(p["schema_version"] == names.schema("batch")), "schema_version"),
+            (~valid_identity(p["source_id"], p["source_epoch"]), "identity"),
+            (~valid_sequence(p["sequence"]), "sequence"),
+            ((p["sequence"] == "0") & (previous != ""), "previous_batch_hash"),
+            ((p["sequence"] != "0") & ~hex_digest(previous, 64), "previous_batch_hash"),
+            (strict_utc(p["created_at"]).isNull(), "created_at"),
+            (start.isNull() | end.isNull(), "window_time"),
+            (~holds(_at(start) < _at(end)), "window_empty"),
+            (_at(end) > latest, "window_length"),
+            (
+                ~holds(F.octet_length(p["classifier_version"]).between(1, LIMITS.classifier_bytes)),
+                "classifier_version",
+            ),
+            (~holds(F.size(p["records"]).between(1, LIMITS.batch_records)), "record_number"),
+            (faulty, "record"),
+            (~holds(bind(F.transform(p["records"], _sort_key), _ascending)), "record_order"),
             (F.octet_length(transport_payload(p)) > LIMITS.batch_bytes, "payload_size"),
         )
 
-    return F.coalesce(header, body(p["records"]))
+    return bind(times, rules)
+
+
+def _ascending(keys: Column) -> Column:
+    return F.forall(
+        F.sequence(F.lit(1), F.size(keys)), lambda i: (i == 1) | (F.get(keys, i - 2) < F.get(keys, i - 1))
+    )
 
 
 def validate_payloads(batches: DataFrame, names: WireNames = NAMES) -> DataFrame:
@@ -200,7 +199,10 @@ def validate_payloads(batches: DataFrame, names: WireNames = NAMES) -> DataFrame
 def central_timing(window_end: Column, created_at: Column, now: Column) -> Column:
     """True when a batch's parsed times are acceptable centrally."""
     skew = F.expr(f"INTERVAL {LIMITS.clock_skew_minutes} MINUTE")
-    return holds((_at(window_end) <= _at(created_at)) & (_at(created_at) <= _instant(now + skew)))
+    both = F.struct(window_end.alias("end"), created_at.alias("created"))
+    return holds(
+        bind(both, lambda t: (_at(t["end"]) <= _at(t["created"])) & (_at(t["created"]) <= _instant(now + skew)))
+    )
 
 
 def quarantine_reason(batches: DataFrame) -> DataFrame:

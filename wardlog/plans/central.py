@@ -60,8 +60,8 @@ class IngestResult:
 
 def check_envelopes(files: DataFrame, registry: DataFrame, now: str, names: WireNames = NAMES) -> DataFrame:
     """Files (file, bytes, content) with identity, payload and the first
-    failing ``reason``. Cheap checks come first; signatures, the one costly
-    check, are verified only for rows that passed them."""
+    failing ``reason``. One narrow pass: signatures, the one costly check, are
+    verified only for rows that passed the others that precede it."""
     p = F.col("payload")
     decoded = decode_batches(files, names).select(
         "file",
@@ -80,28 +80,25 @@ def check_envelopes(files: DataFrame, registry: DataFrame, now: str, names: Wire
         (p.isNotNull() & payload_reason(p, names).isNull()).alias("envelope_ok"),
     )
     instant = F.lit(now).cast("timestamp")
-    conditions = (
-        join_registry(decoded, registry)
-        .withColumn("key_ok", holds(F.col("signature.key_id") == F.col("registered_key_id")))
-        .withColumn(
-            "name_ok",
-            holds(F.col("blob_name").startswith(F.col("blob_prefix")) & (F.col("file") == F.col("blob_name"))),
-        )
-        .withColumn(
-            "time_ok",
-            central_timing(strict_utc(p["observation_window"]["end"]), strict_utc(F.col("created_at")), instant),
-        )
-        .withColumn("signature_ok", F.lit(True))
+    joined = join_registry(decoded, registry)
+    conditions = joined.withColumns(
+        {
+            "key_ok": holds(F.col("signature.key_id") == F.col("registered_key_id")),
+            "name_ok": holds(
+                F.col("blob_name").startswith(F.col("blob_prefix")) & (F.col("file") == F.col("blob_name"))
+            ),
+            "time_ok": central_timing(
+                strict_utc(p["observation_window"]["end"]), strict_utc(F.col("created_at")), instant
+            ),
+            "signature_ok": F.lit(True),
+        }
     )
-    judged = quarantine_reason(conditions)
-    cheap = F.coalesce("reason", F.lit("invalid_time")) != "invalid_time"
-    rejected = judged.where(cheap)
-    verified = (
-        quarantine_reason(
-            verify_signatures(judged.where(~cheap), names).withColumn("signature_ok", F.col("signature_valid"))
-        ).drop("signature_valid")
+    passed = F.col("reason").isNull() | (F.col("reason") == "invalid_time")
+    verified = verify_signatures(quarantine_reason(conditions), names, when=passed)
+    reason = F.when(passed & ~F.col("signature_valid"), "invalid_signature").otherwise(F.col("reason"))
+    return verified.withColumn("reason", reason).drop(
+        "size_ok", "envelope_ok", "key_ok", "name_ok", "time_ok", "signature_ok", "signature_valid"
     )
-    return rejected.unionByName(verified).drop("size_ok", "envelope_ok", "key_ok", "name_ok", "time_ok", "signature_ok")
 
 
 def decide(checked: DataFrame, state: store.State) -> DataFrame:

@@ -91,7 +91,7 @@ def load_state(spark: SparkSession, root: str) -> State:
         empty = lambda schema: spark.createDataFrame([], schema)
         return State(0, None, None, empty(schemas.ACCEPTED), {n: empty(s) for n, s in TABLES.items()})
     accepted = (
-        spark.read.schema(T.StructType(schemas.ACCEPTED.fields).add("run", "int"))
+        spark.read.schema(T.StructType(schemas.ACCEPTED.fields).add("run", "integer"))
         .parquet(f"{root}/accepted")
         .where(F.col("run") <= version)
         .drop("run")

@@ -131,7 +131,7 @@ def parse_access_log(lines: DataFrame, names: WireNames = NAMES) -> DataFrame:
         {"time": "STRING", "remote_addr": "STRING", "request_uri": "STRING", "request": "STRING", "status": "BIGINT"},
         strict=True,
     )
-    words = F.filter(F.split(F.col("doc.request"), r"[\s\x0b\u0085 ]+"), lambda w: w != "")
+    words = F.filter(F.split(F.col("doc.request"), r"(?U)\s+"), lambda w: w != "")
     target = F.coalesce(
         F.nullif("doc.request_uri", F.lit("")), F.when(F.size(words) == 3, F.get(words, F.lit(1)))
     )
