@@ -570,9 +570,9 @@ def dashboard_top_values(fx: Fixture):
 
 @add(
     "dashboard_freshness",
-    f"""WITH {PROMOTED_CTE}, newest AS (SELECT source_id, date_trunc('hour', max(observed_at)) + INTERVAL 1 HOUR AS at FROM promoted GROUP BY source_id)
-    SELECT {iso('max(at)')} AS updated_at, CASE WHEN max(at) > {NOW_SQL} + INTERVAL 1 HOUR THEN 'unavailable'
-      WHEN max(at) < {NOW_SQL} - INTERVAL 3 HOUR THEN 'stale' ELSE 'current' END AS freshness FROM newest""",
+    f"""WITH {PROMOTED_CTE}, newest AS (SELECT source_id, date_trunc('hour', max(observed_at)) + INTERVAL 1 HOUR AS latest FROM promoted GROUP BY source_id)
+    SELECT {iso('max(latest)')} AS updated_at, CASE WHEN max(latest) > {NOW_SQL} + INTERVAL 1 HOUR THEN 'unavailable'
+      WHEN max(latest) < {NOW_SQL} - INTERVAL 3 HOUR THEN 'stale' ELSE 'current' END AS freshness FROM newest""",
 )
 def dashboard_freshness(fx: Fixture):
     accepted = batching.observation_window(fx.promoted, ["source_id"])

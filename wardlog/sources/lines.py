@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.functions.addresses import canonical_ip
+from wardlog.functions.binding import bind
 from wardlog.functions.text import (
     event_id,
     first_reason,
@@ -106,8 +107,11 @@ def _observations(
     early: list[tuple[Column, str]],
     names: WireNames,
 ) -> DataFrame:
-    """Common tail of the parsers: assemble, then validate what was built."""
-    built = parsed.select(
+    """Common tail of the parsers: assemble, then validate what was built. The
+    generator at the end keeps the row's fields from being derived again for
+    every later use."""
+    early_reason = first_reason(*early) if early else F.lit(None).cast("string")
+    built = F.struct(
         F.lit(names.schema("observation")).alias("schema_version"),
         event_id(F.lit(adapter), cursor).alias("event_id"),
         cursor.alias("cursor"),
@@ -116,12 +120,16 @@ def _observations(
         canonical_ip(address).alias("source_ip"),
         ssh.cast(SSH_TYPE).alias("ssh"),
         http.cast(HTTP_TYPE).alias("http"),
-        F.coalesce(F.col("reject_reason"), first_reason(*early) if early else F.lit(None)).alias("_early"),
         F.col("value").alias("line"),
+        F.coalesce("reject_reason", early_reason).alias("early"),
     )
-    return built.withColumn(
-        "reject_reason", F.coalesce("_early", observation_reason(F.col, None, names))
-    ).drop("_early")
+
+    def judged(o: Column) -> Column:
+        kept = ("schema_version", "event_id", "cursor", "kind", "observed_at", "source_ip", "ssh", "http", "line")
+        reason = F.coalesce(o["early"], observation_reason(lambda n: o[n], None, names))
+        return F.struct(*[o[n].alias(n) for n in kept], reason.alias("reject_reason"))
+
+    return parsed.select(F.inline(F.array(bind(built, judged))))
 
 
 def parse_access_log(lines: DataFrame, names: WireNames = NAMES) -> DataFrame:
