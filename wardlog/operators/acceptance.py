@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlog.config import LIMITS
 from wardlog.functions.text import blob_name, hex_digest, holds, sequence_number
-from wardlog.session import cut_lineage
+from wardlog.session import broadcast_if_small, cut_lineage
 
 SENSOR = ["source_id", "source_epoch"]
 STEP = [*SENSOR, "seq"]
@@ -20,7 +21,7 @@ STEP = [*SENSOR, "seq"]
 
 def join_registry(batches: DataFrame, registry: DataFrame) -> DataFrame:
     """Attach the registration; ``registered`` is null where there is none.
-    The registry file is limited to 256 KiB when read, hence the broadcast."""
+    A registry read from its file has at most 64 sensors and is broadcast."""
     dimension = registry.select(
         *SENSOR,
         F.lit(True).alias("registered"),
@@ -30,7 +31,7 @@ def join_registry(batches: DataFrame, registry: DataFrame) -> DataFrame:
         "public_key",
         "blob_prefix",
     )
-    return batches.join(F.broadcast(dimension), SENSOR, "left")
+    return batches.join(broadcast_if_small(dimension, LIMITS.registered), SENSOR, "left")
 
 
 def mark_replays(candidates: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -71,10 +71,9 @@ def named(rows):
 def candidates(fx: Fixture):
     """Chains with a broken link in sensor-1 and a hole in sensor-2."""
     rows = numbered(fx)
-    top = rows.agg(F.max("seq").alias("top"))
-    rows = rows.crossJoin(F.broadcast(top))  # one row: the longest chain
-    broken = (F.col("source_id") == "sensor-1") & (F.col("seq") == F.floor(F.col("top") * 7 / 10))
-    hole = (F.col("source_id") == "sensor-2") & (F.col("seq") == F.floor(F.col("top") * 8 / 10))
+    top = rows.agg(F.max("seq").alias("top")).first().top
+    broken = (F.col("source_id") == "sensor-1") & (F.col("seq") == top * 7 // 10)
+    hole = (F.col("source_id") == "sensor-2") & (F.col("seq") == top * 8 // 10)
     rows = rows.where(~hole).select(
         "source_id",
         "seq",
@@ -168,8 +167,8 @@ def accept_chain_forked(fx: Fixture):
 )
 def mark_replays(fx: Fixture):
     rows = candidates(fx)
-    top = numbered(fx).agg(F.floor(F.max("seq") / 2).alias("half"))
-    known = rows.crossJoin(F.broadcast(top)).where("seq < half")
+    half = numbered(fx).agg(F.max("seq").alias("top")).first().top // 2
+    known = rows.where(F.col("seq") < half)
     changed = rows.withColumn(
         "payload_hash", F.when(F.col("event_type") == "error", F.lit("d" * 64)).otherwise(F.col("payload_hash"))
     )
@@ -317,7 +316,7 @@ def refresh_kinds(fx: Fixture):
     return acceptance.refresh_kinds(heads, registry(fx)).select("source_id", "kind", "n")
 
 
-HEADS_CTE = "heads AS (SELECT concat('user-', user_id) AS source_id, CAST(count(*) AS VARCHAR) AS next_sequence FROM events WHERE event_type = 'error' GROUP BY user_id)"
+HEADS_CTE = "heads AS (SELECT concat('user-', user_id) AS source_id, CAST(max(event_id) // 2 AS VARCHAR) AS next_sequence FROM events WHERE event_type = 'error' GROUP BY user_id)"
 
 
 def user_heads(fx: Fixture):
@@ -325,7 +324,7 @@ def user_heads(fx: Fixture):
         by_user(fx)
         .where("event_type = 'error'")
         .groupBy("source_id", "source_epoch")
-        .agg(F.count("*").cast("string").alias("next_sequence"))
+        .agg(F.floor(F.max("event_id") / 2).cast("string").alias("next_sequence"))
     )
 
 
@@ -342,7 +341,7 @@ def fetch_targets(fx: Fixture):
     "select_new_batches",
     f"""WITH {REGISTRY_CTE}, {HEADS_CTE}, listing AS (
       SELECT concat('user-', user_id) AS source_id, concat('owner-', user_id, '/batches') AS repository,
-        row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type, sha256(CAST(event_id AS VARCHAR)) AS hash FROM events),
+        event_id AS seq, event_type, sha256(CAST(event_id AS VARCHAR)) AS hash FROM events),
     targets AS (SELECT r.source_id, r.repository, CAST(coalesce(next_sequence, '0') AS BIGINT) AS next_seq FROM registry r
       LEFT JOIN heads h ON r.source_id = h.source_id WHERE enabled AND repository <> ''),
     ready AS (SELECT l.*, row_number() OVER (PARTITION BY l.source_id ORDER BY seq) AS place FROM listing l
@@ -355,8 +354,7 @@ def fetch_targets(fx: Fixture):
 def select_new_batches(fx: Fixture):
     """A file per event in its user's listing; links and files already here
     are passed over."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    files = by_user(fx).withColumn("sequence", (F.row_number().over(order) - 1).cast("string"))
+    files = by_user(fx).withColumn("sequence", F.col("event_id").cast("string"))
     listing = files.select(
         F.concat(F.lit("owner-"), F.col("user_id").cast("string"), F.lit("/batches")).alias("repository"),
         text.blob_name(
@@ -655,3 +653,24 @@ def validate_state(fx: Fixture):
     counts = period_dimensions(fx.buckets).withColumn("count", F.col("count") - 1)
     facts = merge_evidence(facts_of(fx)).withColumn("key", F.regexp_replace("key", r"/32\z", "/31"))
     return validate.state_violations(period_totals(fx.buckets), counts, facts)
+
+
+@add(
+    "record_order",
+    f"""WITH {PAYLOAD_CTE} SELECT source_id, sequence, kind, source_ip, coalesce(username, path) AS val, coalesce(password, '') AS pw,
+      row_number() OVER (PARTITION BY source_id, sequence ORDER BY encode(kind), encode(source_ip), encode(coalesce(username, path)),
+        encode(coalesce(password, '')), first_text, rules) AS position FROM recs""",
+)
+def record_order(fx: Fixture):
+    """Position of every record of a batch in byte order; a batch is bounded."""
+    rows = batching.aggregate_records(hour_records(fx), BATCH)
+    order = Window.partitionBy(*BATCH).orderBy(*batching.record_order())
+    return rows.select(
+        "source_id",
+        "sequence",
+        "kind",
+        "source_ip",
+        F.coalesce("username", "path").alias("val"),
+        F.coalesce("password", F.lit("")).alias("pw"),
+        F.row_number().over(order).cast("bigint").alias("position"),
+    )

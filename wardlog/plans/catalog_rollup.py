@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog.functions import times
@@ -125,22 +124,6 @@ def build_batches(fx: Fixture):
     )
 
 
-@add(
-    "record_order",
-    f"""WITH {PROMOTED_CTE} SELECT source_id, seq, kind, source_ip, val, pw, {iso('hour')} AS hour,
-      row_number() OVER (PARTITION BY source_id, seq, hour ORDER BY encode(kind), encode(source_ip), encode(val), encode(pw), rules) AS position
-    FROM buckets""",
-)
-def record_order(fx: Fixture):
-    """Position of every hourly record in byte order within sensor and hour."""
-    rows = fx.buckets.withColumn("first_observed_at", F.lit(""))
-    order = Window.partitionBy("source_id", "seq", "hour").orderBy(*batching.record_order())
-    return rows.select(
-        "source_id", "seq", "kind", "source_ip", "val", "pw", shown("hour").alias("hour"),
-        F.row_number().over(order).cast("bigint").alias("position"),
-    )
-
-
 @add(
     "next_pending",
     f"""WITH {PROMOTED_CTE}, batches AS (SELECT source_id, seq, CAST(sum(n) AS BIGINT) AS events FROM buckets GROUP BY ALL)
@@ -464,13 +447,14 @@ def build_deny_lists(fx: Fixture):
 
 @add(
     "deny_order",
-    f"""WITH {LISTS_CTE} SELECT list, k AS key, row_number() OVER (PARTITION BY list, family, hour_group ORDER BY num) AS position
-    FROM (SELECT *, timeout_s AS hour_group FROM entries) e""",
+    f"""WITH {LISTS_CTE} SELECT list, k AS key, family, CASE WHEN family = 6 THEN concat(num, repeat('0', 16))
+      ELSE concat(lower(lpad(to_hex(CAST(num[1:3] AS BIGINT)), 2, '0')), lower(lpad(to_hex(CAST(num[4:6] AS BIGINT)), 2, '0')),
+        lower(lpad(to_hex(CAST(num[7:9] AS BIGINT)), 2, '0')), lower(lpad(to_hex(CAST(num[10:12] AS BIGINT)), 2, '0'))) END AS sort_key FROM entries""",
 )
 def deny_order(fx: Fixture):
-    """Numeric position among the entries of one list, family and expiry."""
-    order = Window.partitionBy("list", "family", "timeout_s").orderBy(*evidence.deny_order())
-    return lists_of(fx).select("list", "key", F.row_number().over(order).cast("bigint").alias("position"))
+    """The sort key of every entry: family, then the address bytes."""
+    family, addr = evidence.deny_order()
+    return lists_of(fx).select("list", "key", family, F.lower(F.hex(addr)).alias("sort_key"))
 
 
 HEAD_SQL = """SELECT '# wardlog deny list: {name}' AS line UNION ALL SELECT '# self-reported suspected probes'

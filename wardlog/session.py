@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_session(spark: SparkSession) -> SparkSession:
@@ -43,3 +45,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wardlog-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast only when the table is known to have at most ``rows``
+    rows; a larger one is left to the adaptive planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a streaming query, from its checkpoint. A new
+    checkpoint numbers its micro-batches from zero again, so commit names need
+    it to stay unique."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]

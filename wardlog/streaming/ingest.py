@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.plans.central import run_ingest
+from wardlog.session import stream_id
 from wardlog.sources.files import qualified
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -46,15 +47,14 @@ def start_ingest(
     once: bool = True,
 ) -> StreamingQuery:
     """Fold each micro-batch into the state, once: the run key is the
-    micro-batch's number, so a repeated micro-batch finds itself committed.
+    stream's id and the micro-batch's number, so a repeated micro-batch finds itself committed.
     Rejected files are parked and tried again with the next micro-batch."""
     spark = files.sparkSession
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         now = clock().strftime("%Y-%m-%dT%H:%M:%SZ")
-        run_ingest(
-            spark, batch, registry, root, now, f"stream-{batch_id}", names, outputs, retry_parked=True, park=True
-        )
+        run_key = f"{stream_id(spark, checkpoint)}-{batch_id}"
+        run_ingest(spark, batch, registry, root, now, run_key, names, outputs, retry_parked=True, park=True)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()

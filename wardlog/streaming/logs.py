@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wardlog.config import RuleConfig
 from wardlog.operators.events import dedup_events, event_collisions
 from wardlog.plans.collector import collect_events
+from wardlog.session import stream_id
 from wardlog.sources.files import path_exists
 from wardlog.sources.lines import line_cursors
 
@@ -61,16 +62,15 @@ def start_collector(
 ) -> StreamingQuery:
     """Run the collector over a stream of lines.
 
-    The commit name is the micro-batch number under the log format, so a
+    The commit name is the stream's id and the micro-batch number, so a
     micro-batch that is run again after a failure writes the same rows to the
     same place.
     """
-    prefix = log_format
 
     def commit_batch(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if "cursor" in batch.columns else line_cursors(batch)
         events, rejects = collect_events({log_format: numbered}, source_id, source_epoch, rules)
-        commit = f"{prefix}-{batch_id}"
+        commit = f"{stream_id(events.sparkSession, checkpoint)}-{batch_id}"
         store_events(events, store, commit)
         rejects.write.mode("overwrite").parquet(f"{store}/rejects/commit={commit}")
 
