@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from wardlog import schemas
 from wardlog.config import WireNames
 from wardlog.operators import acceptance, canonical
-from wardlog.plans.central import publish_deny_lists, run_ingest
-from wardlog.sinks.state import load_state
+from wardlog.plans.central import check_state, publish_deny_lists, run_ingest
+from wardlog.sinks.documents import write_envelopes
+from wardlog.sinks.state import State, load_state
 from wardlog.sources.files import read_never_block, read_registry, scan_envelopes
 from wardlog.streaming.ingest import start_ingest, stream_envelopes
 
@@ -166,6 +167,32 @@ def test_stream_equals_batch_and_retries_parked_files(spark, tmp_path):
     assert streamed.accepted.count() == batch.accepted.count() == 7
 
 
+def test_outbox_never_replaces_other_bytes(spark, tmp_path):
+    def rows(*named):
+        return spark.createDataFrame(
+            [("sensor-one", n, bytearray(c)) for n, c in named], "source_id string, blob_name string, content binary"
+        )
+
+    path = str(tmp_path / "outbox")
+    assert write_envelopes(rows(("a", b"1"), ("b", b"2")), path).isEmpty()
+    conflicts = write_envelopes(rows(("a", b"1"), ("b", b"other"), ("c", b"3")), path)
+    assert [r.blob_name for r in conflicts.collect()] == ["b"]
+    stored = spark.read.parquet(path).collect()
+    assert sorted((r.blob_name, bytes(r.content)) for r in stored) == [("a", b"1"), ("b", b"2"), ("c", b"3")]
+
+
+def test_damaged_state_is_refused(spark):
+    empty = load_state(spark, "/tmp/wardlog-no-such-state")
+    chain_rows = [("s", signing.EPOCH, "host", "1", "a" * 64, f"s/{signing.EPOCH}/1-1/{'a' * 64}.json", "2026-09-10T20:00:00Z")]
+    broken = spark.createDataFrame(chain_rows, schemas.ACCEPTED)
+    check_state(empty)
+    with pytest.raises(ValueError, match="chain_not_contiguous"):
+        check_state(State(1, None, None, broken, empty.tables))
+    counts = spark.createDataFrame([("daily", None, "paths", "", 0)], schemas.PERIOD_COUNTS)
+    with pytest.raises(ValueError, match="dimension_count, dimension_value"):
+        check_state(State(1, None, None, empty.accepted, {**empty.tables, "counts": counts}))
+
+
 def test_registry_violations_fail_the_read(spark, tmp_path):
     good = signing.registry({"source_id": "sensor-one"})
     path = tmp_path / "r.json"

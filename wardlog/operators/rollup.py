@@ -56,14 +56,14 @@ def record_buckets(batches: DataFrame) -> DataFrame:
 ARRIVAL = ("source_id", "source_epoch", "seq", "record_no", "bucket_no")
 
 
-def _in_all_periods(df: DataFrame, hour: str = "hour") -> DataFrame:
+def _in_all_periods(df: DataFrame, granularities: tuple[str, ...] = GRANULARITIES) -> DataFrame:
     each = F.array(
         *[
-            F.struct(F.lit(g).alias("granularity"), period_start(g, F.col(hour)).alias("period_start"))
-            for g in GRANULARITIES
+            F.struct(F.lit(g).alias("granularity"), period_start(g, F.col("hour")).alias("period_start"))
+            for g in granularities
         ]
     )
-    return df.withColumn("_p", F.explode(each)).select("_p.*", *[c for c in df.columns if c != hour])
+    return df.withColumn("_p", F.explode(each)).select("_p.*", *[c for c in df.columns if c != "hour"])
 
 
 def explode_periods(buckets: DataFrame) -> DataFrame:
@@ -98,11 +98,13 @@ def dimension_values(publish_passwords: Column | None = None) -> Column:
     )
 
 
-def period_dimensions(buckets: DataFrame, arrival: list[str] | None = None) -> DataFrame:
+def period_dimensions(
+    buckets: DataFrame, arrival: list[str] | None = None, granularities: tuple[str, ...] = GRANULARITIES
+) -> DataFrame:
     """Counts per (granularity, period_start, dimension, value).
 
     Two grouped sums: per hour first, where nearly all reduction happens,
-    then the four granularities from the reduced rows. With ``arrival`` (order
+    then the requested granularities from the reduced rows. With ``arrival`` (order
     columns) each value also carries the earliest position it arrived at.
     """
     order = F.min(F.struct(*arrival)).alias("arrival") if arrival else None
@@ -112,7 +114,7 @@ def period_dimensions(buckets: DataFrame, arrival: list[str] | None = None) -> D
         .agg(F.sum("n").alias("count"), *([order] if arrival else []))
     )
     return (
-        _in_all_periods(hourly)
+        _in_all_periods(hourly, granularities)
         .groupBy(*VALUE)
         .agg(F.sum("count").alias("count"), *([F.min("arrival").alias("arrival")] if arrival else []))
     )

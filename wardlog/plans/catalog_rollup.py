@@ -186,7 +186,7 @@ def period_dimensions(fx: Fixture):
 )
 def daily_top_values(fx: Fixture):
     """Flagship: the five most probed values of every day and dimension."""
-    top = rollup.top_n(rollup.period_dimensions(fx.buckets).where("granularity = 'daily'"), 5)
+    top = rollup.top_n(rollup.period_dimensions(fx.buckets, granularities=("daily",)), 5)
     return top.select(
         shown("period_start").alias("day"), "dimension", "value", "count", F.col("rank").cast("bigint").alias("rank")
     )

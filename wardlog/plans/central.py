@@ -16,6 +16,7 @@ from wardlog.operators.acceptance import (
     join_registry,
     mark_replays,
     refresh_kinds,
+    verify_chain,
 )
 from wardlog.operators.canonical import decode_batches, verify_signatures
 from wardlog.operators.evidence import (
@@ -43,6 +44,7 @@ from wardlog.operators.validate import (
     payload_reason,
     quarantine_entries,
     quarantine_reason,
+    validate_state,
 )
 from wardlog.sinks import state as store
 from wardlog.sinks.documents import write_deny_lists, write_manifest, write_quarantine, write_rollups
@@ -112,6 +114,14 @@ def decide(checked: DataFrame, state: store.State) -> DataFrame:
     return settled.unionByName(tried).unionByName(failed)
 
 
+def check_state(state: store.State) -> None:
+    """Refuse to build on a damaged state."""
+    validate_state(state.totals, state.counts, state.evidence)
+    broken = verify_chain(state.accepted).limit(1).collect()
+    if broken:
+        raise ValueError(f"stored chain of {broken[0].source_id} is invalid: {broken[0].violation}")
+
+
 def next_heads(state: store.State, accepted: DataFrame, registry: DataFrame) -> DataFrame:
     """Chain heads after the run, labelled with the registry's current kinds."""
     moved = chain_heads(accepted).join(
@@ -149,6 +159,7 @@ def run_ingest(
     manifest: str | None = None,
     retry_parked: bool = False,
     park: bool = False,
+    check: bool = True,
 ) -> IngestResult | None:
     """One central run. ``now`` is RFC 3339 UTC text.
 
@@ -160,6 +171,8 @@ def run_ingest(
     state = store.load_state(spark, root)
     if state.run_key == run_key:
         return None
+    if check and state.version:
+        check_state(state)
     version = state.version + 1
     instant = F.lit(now).cast("timestamp")
     if retry_parked:
@@ -178,7 +191,7 @@ def run_ingest(
     )
     # The one wide intermediate: records by hour, read by both folds.
     buckets = store.stage(
-        record_buckets(batches).drop("first_observed_at"), root, version, "buckets"
+        record_buckets(batches), root, version, "buckets"
     )
     totals, counts, overflow = fold_rollups(state, buckets, instant)
     write = lambda df, name: store.write_version(df, root, version, name)

@@ -39,11 +39,9 @@ def collect_events(
     source_id: str,
     source_epoch: str,
     rules: RuleConfig = RuleConfig(),
-    names: WireNames = NAMES,
 ) -> tuple[DataFrame, DataFrame]:
     """(promoted events with content hash, rejects). Narrow from the lines to
     the events: no shuffle before the store's own deduplication."""
-    del names  # schema names only matter on the wire
     good, rejects = split_rejects(parse_logs(lines_by_format))
     promoted = promote(flat_observations(good), rules)
     events = (

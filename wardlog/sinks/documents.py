@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.functions.times import GRANULARITIES, LABEL, period_end
 from wardlog.operators.canonical import transport_escaped
 from wardlog.operators.rollup import PERIOD, label_sources, order_sources, top_n
+from wardlog.session import cut_lineage
 from wardlog.sinks.render import render_ipset, render_nft, render_text
+from wardlog.sinks.storage import file_system, replace_file
 from wardlog.sources.files import path_exists
 
 SENSORS = "array<struct<source_id:string,source_epoch:string,kind:string,count:bigint>>"
@@ -26,15 +28,9 @@ def publish_file(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.coalesce(1).write.text(staging)
-    jvm = spark.sparkContext._jvm
-    target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system, folder = file_system(spark, staging)
     part = next(s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    if system.exists(target):
-        system.delete(target, False)
-    system.mkdirs(target.getParent())
-    if not system.rename(part, target):
-        raise OSError(f"could not publish {path}")
+    replace_file(spark, part.toString(), path)
     system.delete(folder, True)
 
 
@@ -171,17 +167,17 @@ def write_deny_lists(lists: DataFrame, now: Column, directory: str, names: WireN
         publish_lines(render_ipset(lists, name, seconds, now, names), f"{directory}/{name}.ipset")
 
 
-def write_envelopes(envelopes: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+def write_envelopes(envelopes: DataFrame, path: str) -> DataFrame:
     """Append signed envelopes (source_id, blob_name, content) to the outbox
     table, never replacing other bytes. Returns the conflicting names."""
+    spark = envelopes.sparkSession
     digest = envelopes.withColumn("sha256", F.sha2("content", 256))
     if path_exists(spark, path):
         known = spark.read.parquet(path).select("blob_name", F.col("sha256").alias("_known"))
         digest = digest.join(known, "blob_name", "left")
     else:
         digest = digest.withColumn("_known", F.lit(None).cast("string"))
-    conflicts = digest.where(F.col("_known") != F.col("sha256")).select("blob_name")
-    names = [r.blob_name for r in conflicts.limit(LIMITS.input_files).collect()]
+    conflicts = cut_lineage(digest.where(F.col("_known") != F.col("sha256")).select("blob_name"))
     fresh = digest.where(F.col("_known").isNull()).drop("_known")
     fresh.write.mode("append").partitionBy("source_id").parquet(path)
-    return spark.createDataFrame([(n,) for n in names], "blob_name string")
+    return conflicts

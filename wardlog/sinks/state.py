@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlog import schemas
+from wardlog.sinks.storage import file_system, replace_file
 from wardlog.sources.files import path_exists
 
 HEADS = (
@@ -53,12 +54,6 @@ class State:
             raise AttributeError(name) from None
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
 def _read_pointer(spark: SparkSession, root: str) -> dict:
     path = f"{root}/CURRENT"
     if not path_exists(spark, path):
@@ -68,19 +63,11 @@ def _read_pointer(spark: SparkSession, root: str) -> dict:
 
 def _write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
     """Write beside, then rename over: readers see the old or the new one."""
-    system, target = _fs(spark, f"{root}/CURRENT")
-    _, beside = _fs(spark, f"{root}/CURRENT.next")
+    system, beside = file_system(spark, f"{root}/CURRENT.next")
     out = system.create(beside, True)
     out.write(bytearray(json.dumps(pointer).encode()))
     out.close()
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
-    )
-    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = overwrite
-    context.rename(system.makeQualified(beside), system.makeQualified(target), options)
+    replace_file(spark, f"{root}/CURRENT.next", f"{root}/CURRENT")
 
 
 def load_state(spark: SparkSession, root: str) -> State:
@@ -91,7 +78,7 @@ def load_state(spark: SparkSession, root: str) -> State:
         empty = lambda schema: spark.createDataFrame([], schema)
         return State(0, None, None, empty(schemas.ACCEPTED), {n: empty(s) for n, s in TABLES.items()})
     accepted = (
-        spark.read.schema(T.StructType(schemas.ACCEPTED.fields).add("run", "integer"))
+        spark.read.schema(T.StructType(list(schemas.ACCEPTED.fields)).add("run", "integer"))
         .parquet(f"{root}/accepted")
         .where(F.col("run") <= version)
         .drop("run")
