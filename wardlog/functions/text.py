@@ -100,8 +100,9 @@ def safe_file_name(col: Column) -> Column:
 
 
 def sequence_number(col: Column) -> Column:
-    """19 digits can exceed BIGINT, so sequences compare as decimals."""
-    return col.cast("decimal(20,0)")
+    """19 digits can exceed BIGINT, so sequences compare as decimals. Null for
+    text that is no sequence: a hostile name must not fail the job."""
+    return col.try_cast("decimal(20,0)")
 
 
 def event_id(adapter: Column, cursor: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, Limits, WireNames
+from wardlog.functions.text import sequence_number
 from wardlog.functions.times import days, hour_of, hours, utc_text
 from wardlog.operators.canonical import transport_payload
 from wardlog.operators.ranking import bounded_top
@@ -247,6 +248,6 @@ def next_pending(batches: DataFrame) -> DataFrame:
     whole = F.struct(*batches.columns)
     return (
         pending.groupBy(*SENSOR)
-        .agg(F.min_by(whole, F.col("sequence").cast("decimal(20,0)")).alias("_b"))
+        .agg(F.min_by(whole, sequence_number(F.col("sequence"))).alias("_b"))
         .select("_b.*")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS
-from wardlog.functions.text import holds
+from wardlog.functions.text import holds, sequence_number
 from wardlog.functions.times import GRANULARITIES, days, period_end, period_start
 from wardlog.operators.classify import SSH
 from wardlog.operators.ranking import bounded_top
@@ -31,7 +31,7 @@ def record_buckets(batches: DataFrame) -> DataFrame:
             "source_id",
             "source_epoch",
             "source_kind",
-            F.col("sequence").cast("decimal(20,0)").alias("seq"),
+            sequence_number(F.col("sequence")).alias("seq"),
             F.posexplode("payload.records").alias("record_no", "r"),
         )
         .select(
