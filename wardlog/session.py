@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local_folder: str | None = None
+
 
 def ensure_session(spark: SparkSession) -> SparkSession:
     """Pin the settings that change results: every period is a UTC period."""
@@ -36,14 +41,44 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    Only a local session, where both are one process, may go without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="wardlog-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
+    return _local_folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read from there: a lost executor
+    costs a re-read, and what is used twice is computed once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder so a lost executor costs a
-    re-read, not a recomputation. A folder of our own is set only when the
-    session names none, which is the case in tests."""
+    """Checkpoint to the shared folder, so that a lost executor costs a
+    re-read, not a recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wardlog-checkpoint-"))
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint(eager=True)
 
 
