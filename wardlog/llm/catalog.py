@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlog.llm import byte_bpe, packing, planes
+from wardlog.llm import byte_bpe, packing, planes, quotient, segments, shuffle, simhash
 from wardlog.session import new_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,12 +31,46 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(ids, path, public_tokenizers.PATTERN)
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op6_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_folder(spark, "warc")
+    segments.write_archives(table(spark, folder, "pages"), archives)
+    return segments.captures(segments.read_records(spark, archives))
+
+
+def op7_quotient_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return quotient.duplicates(table(spark, folder, "documents"))
+
+
+def op8_hypergeometric_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    return shuffle.shuffle(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE), keep_ids=False)
 
 
-OPERATORS = (op1_bit_planes, op2_byte_bpe, op10_packing)
-ORACLES: dict[str, str] = {}
+OPERATORS = (
+    op1_bit_planes,
+    op2_byte_bpe,
+    op5_simhash,
+    op6_warc_segments,
+    op7_quotient_filter,
+    op8_hypergeometric_shuffle,
+    op10_packing,
+)
+ORACLES = {
+    "op7_quotient_filter": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+          doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW same AS (PARTITION BY body)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

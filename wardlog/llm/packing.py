@@ -30,8 +30,8 @@ from wardlog.session import stage_table
 
 LENGTH = 4096
 WINDOWS = 64
-#: Partitions whose leftovers are merged in one task: 64 x 64 windows at most.
-MERGE = 64
+#: Partitions whose leftovers are merged in one task: 8 x 64 windows at most.
+MERGE = 8
 #: Sequence ids: partition and counter for those emitted, above this bit for merged leftovers.
 MERGED = 1 << 62
 FIELDS = [
