@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import byte_bpe, packing, planes, quotient, segments, shuffle, simhash
+from wardlog.llm import byte_bpe, crossparse, outliers, packing, planes, quotient, segments, shuffle, simhash
+from wardlog.llm.common import remainder
 from wardlog.session import new_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +32,16 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(ids, path, public_tokenizers.PATTERN)
 
 
+def op3_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judge(table(spark, folder, "documents"))
+
+
+def op4_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = crossparse.identify(docs, crossparse.training_samples(docs))
+    return found.withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -58,6 +69,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 OPERATORS = (
     op1_bit_planes,
     op2_byte_bpe,
+    op3_robust_outliers,
+    op4_cross_parsing,
     op5_simhash,
     op6_warc_segments,
     op7_quotient_filter,

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept per worker, and the longest that is kept: about 150 MB at most.
-CACHE_WORDS = 700_000
+#: Words kept per worker, and the longest that is kept: about 300 MB at most.
+CACHE_WORDS = 1_400_000
 CACHE_WORD_BYTES = 16
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
