@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import byte_bpe, crossparse, outliers, packing, planes, quotient, segments, shuffle, simhash
+from wardlog.llm import byte_bpe, crossparse, outliers, packing, planes, quotient, segments, shuffle, simhash, toxicity
 from wardlog.llm.common import remainder
 from wardlog.session import new_folder
 
@@ -62,6 +62,12 @@ def op8_hypergeometric_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     return shuffle.shuffle(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return found.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE), keep_ids=False)
 
@@ -75,6 +81,7 @@ OPERATORS = (
     op6_warc_segments,
     op7_quotient_filter,
     op8_hypergeometric_shuffle,
+    op9_toxicity,
     op10_packing,
 )
 ORACLES = {
@@ -86,8 +93,14 @@ ORACLES = {
 }
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in OPERATORS}
+    return {query.__name__: query for query in (*OPERATORS, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

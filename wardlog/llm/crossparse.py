@@ -220,14 +220,14 @@ def identify(docs: DataFrame, samples: dict[str, str], keep: bool = False) -> Da
     rows = rows.withColumn("text", F.col("text").cast("string"))
     at = rows.columns.index("text")
     names = rows.columns if keep else ["doc_id"]
-    fields = [rows.schema[n] for n in names]
+    fields, places = [rows.schema[n] for n in names], [rows.columns.index(n) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(held.value)
         for batch in small_batches(batches, 2048):
             found = list(parser.predict(batch.column(at).to_pylist()))
             extra = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            own = [batch.column(rows.columns.index(n)) for n in names]
+            own = [batch.column(k) for k in places]
             yield pa.RecordBatch.from_arrays([*own, *extra], names=[*names, "lang_pred", "score"])
 
     schema = rows.schema.__class__(fields).add("lang_pred", "string").add("score", "double")

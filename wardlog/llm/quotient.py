@@ -187,16 +187,16 @@ def marks(fps: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def marked(rows: DataFrame, bitmap: bytes, keep: bool = True) -> DataFrame:
-    """Rows (with column fp) whose mark is set, or is not set."""
+def marked(rows: DataFrame, bitmap: bytes, keep: bool = True, fp: str = "fp") -> DataFrame:
+    """Rows (with their fingerprint in column ``fp``) whose mark is set, or is not set."""
     held = rows.sparkSession.sparkContext.broadcast(bitmap)
-    at = rows.columns.index("fp")
+    at = rows.columns.index(fp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            fp = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MARK_BITS)
-            on = (bits[(fp >> np.uint64(3)).astype(np.int64)] >> (fp & np.uint64(7)).astype(np.uint8)) & 1
+            top = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            on = (bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
             yield batch.filter(pa.array(on.astype(bool) == keep))
 
     return rows.mapInArrow(run, rows.schema)
@@ -230,9 +230,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One whole row per text, that of the largest doc_id; texts that occur once do not move."""
-    rows, bitmap = docs.withColumn("fp", fingerprint()), _marks_of(docs)
+    own = "fingerprint_of_text"
+    rows, bitmap = docs.withColumn(own, fingerprint()), _marks_of(docs)
     rest = [c for c in docs.columns if c != "text"]
     best = F.max(F.struct("doc_id", *(F.col(c) for c in rest if c != "doc_id"))).alias("best")
-    some = marked(rows, bitmap).groupBy("fp", F.coalesce("text", F.lit("")).alias("text")).agg(best)
+    some = marked(rows, bitmap, fp=own).groupBy(own, F.coalesce("text", F.lit("")).alias("text")).agg(best)
     chosen = some.select("text", *(F.col(f"best.{c}").alias(c) for c in rest)).select(*docs.columns)
-    return marked(rows, bitmap, keep=False).select(*docs.columns).unionByName(chosen)
+    return marked(rows, bitmap, keep=False, fp=own).select(*docs.columns).unionByName(chosen)
