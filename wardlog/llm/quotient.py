@@ -127,8 +127,8 @@ def filters(fps: DataFrame) -> DataFrame:
         parts = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
         values, counts = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
         where = values >> np.uint64(low)
-        edges = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(values) else []
-        for a, b in zip(edges, [*edges[1:], len(values)], strict=True):
+        edges = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(values) else np.zeros(0, np.int64)
+        for a, b in zip(edges, np.append(edges[1:], len(values))[: len(edges)], strict=True):
             own = values[a:b] & np.uint64((1 << low) - 1)
             cqf = CountingQuotientFilter.build(own, counts[a:b].astype(np.uint64), low)
             yield pa.RecordBatch.from_pydict(
