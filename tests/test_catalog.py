@@ -12,7 +12,7 @@ from oracle_check import compare, oracle_connection
 
 FOLDER = "/root/testdata/sf0.001"
 QUICK = ("classify_http", "promote", "daily_top_values", "build_deny_lists", "accept_chain", "payload_hash")
-NAMES = tuple(entry.queries()) if os.environ.get("WARDLOG_ALL_ORACLES") else QUICK
+NAMES = tuple(name for catalog in entry.CATALOGS for name in catalog.queries) if os.environ.get("WARDLOG_ALL_ORACLES") else QUICK
 # Too few events at this scale for any address to try two names in an hour.
 EMPTY = {"host_multi_username"}
 
@@ -29,7 +29,8 @@ def test_query_equals_oracle(spark, oracle, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    for catalog in entry.CATALOGS:
+        assert set(catalog.queries) == set(catalog.oracles)
 
 
 def test_entry(spark):

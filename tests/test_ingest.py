@@ -179,6 +179,13 @@ def test_outbox_never_replaces_other_bytes(spark, tmp_path):
     assert [r.blob_name for r in conflicts.collect()] == ["b"]
     stored = spark.read.parquet(path).collect()
     assert sorted((r.blob_name, bytes(r.content)) for r in stored) == [("a", b"1"), ("b", b"2"), ("c", b"3")]
+    # two contents of one name in one call: neither is stored; repeated rows are
+    conflicts = write_envelopes(rows(("d", b"1"), ("d", b"2"), ("e", b"3"), ("e", b"3")), path)
+    assert [r.blob_name for r in conflicts.collect()] == ["d"]
+    stored = spark.read.parquet(path).collect()
+    assert sorted(r.blob_name for r in stored) == ["a", "b", "c", "e"]
+    assert write_envelopes(rows(("e", b"3"), ("c", b"3")), path).isEmpty()
+    assert spark.read.parquet(path).count() == 4
 
 
 def test_damaged_state_is_refused(spark):

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardlog.sources import lines
 
@@ -104,6 +105,22 @@ def test_registry_of_parsers_and_rejects(spark):
         lines.parse_logs({"other": table})
 
 
+def test_files_of_two_folders_may_share_a_name(spark):
+    table = spark.createDataFrame([("a", "host1/access.log"), ("a", "host2/access.log")], "value string, file string")
+    assert len({r.cursor for r in lines.line_cursors(table).collect()}) == 2
+
+
+def test_paths_below_the_root(spark):
+    cases = [
+        ("file:///logs/host1/a%20b.log", "/logs", "host1/a%20b.log"), ("file:/logs/x.log", "file:///logs/", "x.log"),
+        ("hdfs://node:9/logs/x.log", "hdfs://node:9/logs", "x.log"), ("file:///other/x.log", "/logs", "/other/x.log"),
+        ("file:///my%20logs/x.log", "/my logs", "x.log"), ("file:///logs2/x.log", "/logs", "/logs2/x.log"),
+    ]
+    for file, root, want in cases:
+        row = spark.createDataFrame([(file,)], "file string").select(lines.relative_path(F.col("file"), root).alias("p")).first()
+        assert row.p == want
+
+
 def test_equal_lines_get_distinct_stable_cursors(spark):
     table = spark.createDataFrame([("a", "/x/f1"), ("a", "/x/f1"), ("a", "/x/f2"), ("b", "/x/f1")], "value string, file string")
     first = sorted(r.cursor for r in lines.line_cursors(table).collect())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlog.config import RuleConfig
 from wardlog.operators.validate import validate_payloads
 from wardlog.plans.collector import collect_events, pump
-from wardlog.sources.lines import line_cursors
+from wardlog.sources.lines import line_cursors, relative_path
 from wardlog.streaming.logs import hourly_windows, read_events, start_collector, store_events, stream_logs
 
 EPOCH = "0b8f6c1e-7a52-4c39-9d41-2e6f0a9b7c53"
@@ -38,18 +38,20 @@ def test_collector_stores_every_event_once(spark, tmp_path):
     drain()
     first = read_events(spark, store)
     assert sorted(r.username for r in first.collect()) == ["u1", "u1", "u2"]
-    # A later chunk, an hour late, and the first chunk shipped again elsewhere.
+    # A later chunk, an hour late, and another folder's file of the same name with an equal line.
     write(logs / "b.log", line(5, hour=8))
-    write(logs / "again" / "a.log", line(1), line(1), line(2))
+    write(logs / "other" / "a.log", line(2))
     drain()
     drain()
     events = read_events(spark, store)
-    assert sorted(r.username for r in events.collect()) == ["u1", "u1", "u2", "u5"]
-    assert events.select("event_id").distinct().count() == 4
+    assert sorted(r.username for r in events.collect()) == ["u1", "u1", "u2", "u2", "u5"]
+    assert events.select("event_id").distinct().count() == 5
     assert spark.read.parquet(f"{store}/rejects").select("reject_reason").collect()[0].reject_reason == "line_json"
     assert spark.read.parquet(f"{store}/collisions").isEmpty()
 
-    lines = spark.read.text([str(logs / "a.log"), str(logs / "b.log")]).select("value", F.col("_metadata.file_path").alias("file"))
+    files = [str(logs / name) for name in ("a.log", "b.log", "other/a.log")]
+    file = relative_path(F.col("_metadata.file_path"), str(logs)).alias("file")
+    lines = spark.read.text(files).select("value", file)
     batch, _ = collect_events({"cowrie": line_cursors(lines)}, "sensor-one", EPOCH, RULES)
     columns = batch.columns
     assert sorted(map(str, batch.collect())) == sorted(map(str, events.select(*columns).collect()))
@@ -59,10 +61,10 @@ def test_collector_stores_every_event_once(spark, tmp_path):
     own = events.where(F.col("commit") == commit).select(*columns)
     store_events(spark.createDataFrame(own.collect(), own.schema), store, commit)
     events = read_events(spark, store)
-    assert events.count() == 4
+    assert events.count() == 5
     changed = events.where("username = 'u5'").select(*columns).withColumn("event_hash", F.lit("0" * 64))
     store_events(spark.createDataFrame(changed.collect(), changed.schema), store, "other-1")
-    assert read_events(spark, store).count() == 4
+    assert read_events(spark, store).count() == 5
     assert spark.read.parquet(f"{store}/collisions").count() == 1
 
     heads = spark.createDataFrame([], "source_id string, source_epoch string, next_sequence string, previous_hash string")
@@ -75,7 +77,7 @@ def test_collector_stores_every_event_once(spark, tmp_path):
     later, _ = pump(events, assigned, moved, datetime(2026, 9, 10, 10, 5), "rules-v1")
     row = validate_payloads(later).first()
     assert row.reject_reason is None and row.payload.sequence == "1"
-    assert [(r.username, r["count"]) for r in row.payload.records] == [("u1", 2), ("u2", 1)]
+    assert [(r.username, r["count"]) for r in row.payload.records] == [("u1", 2), ("u2", 2)]
     assert row.payload.records[0].first_observed_at == "2026-09-10T09:00:01.123456789Z"
 
 

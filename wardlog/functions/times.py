@@ -1,11 +1,15 @@
 """Time: RFC 3339 with nanoseconds, and rollup periods.
 
 TIMESTAMP holds microseconds, so parsed times keep their full fraction in a
-separate ``nanos`` field and their text in normal form.
+separate ``nanos`` field and their text in normal form. Everything is UTC,
+whatever the session's time zone: nothing here formats, parses or truncates in
+that zone.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +18,28 @@ from wardlog.functions.binding import bind
 RFC3339 = r"\A(\d{4}-\d{2}-\d{2})T(\d{1,2}):(\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})\z"
 
 GRANULARITIES = ("hourly", "daily", "monthly", "yearly")
-TRUNCATION = {"hourly": "hour", "daily": "day", "monthly": "month", "yearly": "year"}
-# Period labels as the published keys write them.
-LABEL = {
-    "hourly": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "daily": "yyyy-MM-dd",
-    "monthly": "yyyy-MM",
-    "yearly": "yyyy",
-}
+# Length of a period's label, a prefix of its start's UTC text.
+LABEL_LENGTH = {"hourly": 20, "daily": 10, "monthly": 7, "yearly": 4}
+# What completes a label to the text of the period's start.
+LABEL_REST = {"hourly": "", "daily": "T00:00:00Z", "monthly": "-01T00:00:00Z", "yearly": "-01-01T00:00:00Z"}
+MONTHS = {"monthly": 1, "yearly": 12}
+
+
+def utc_wall(ts: Column) -> Column:
+    """The UTC clock at an instant, as TIMESTAMP_NTZ."""
+    seconds = (F.unix_micros(ts).cast("decimal(18,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+
+
+def utc_date(ts: Column) -> Column:
+    """The UTC date of an instant."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86_400).cast("int"))
+
+
+def utc_midnight(date: Column) -> Column:
+    """The instant at which a date begins in UTC."""
+    return F.timestamp_seconds(F.unix_date(date).cast("bigint") * 86_400)
 
 
 def parse_rfc3339(col: Column) -> Column:
@@ -35,8 +53,8 @@ def parse_rfc3339(col: Column) -> Column:
 
     def instant(p: Column) -> Column:
         local = F.try_to_timestamp(
-            F.concat(p["date"], F.lit(" "), F.lpad(p["hour"], 2, "0"), F.lit(":"), p["rest"]),
-            F.lit("yyyy-MM-dd HH:mm:ss"),
+            F.concat(p["date"], F.lit(" "), F.lpad(p["hour"], 2, "0"), F.lit(":"), p["rest"], F.lit("Z")),
+            F.lit("yyyy-MM-dd HH:mm:ssX"),
         )
         zone_hours = F.substring(p["zone"], 2, 2).try_cast("int")
         zone_minutes = F.substring(p["zone"], 5, 2).try_cast("int")
@@ -59,7 +77,7 @@ def parse_rfc3339(col: Column) -> Column:
                 F.timestamp_micros(t["seconds"] * 1_000_000 + micros).alias("ts"),
                 t["digits"].try_cast("int").alias("nanos"),
                 F.concat(
-                    F.date_format(F.timestamp_seconds(t["seconds"]), "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.substring(utc_text(F.timestamp_seconds(t["seconds"])), 1, 19),
                     F.when(t["shown"] != "", F.concat(F.lit("."), t["shown"])).otherwise(F.lit("")),
                     F.lit("Z"),
                 ).alias("text"),
@@ -81,17 +99,16 @@ def strict_utc(col: Column) -> Column:
 
 def utc_text(ts: Column) -> Column:
     """TIMESTAMP to RFC 3339 UTC text without trailing zeros."""
-    micros = F.date_format(ts, "SSSSSS")
-    shown = F.regexp_replace(micros, r"0+\z", "")
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(shown != "", F.concat(F.lit("."), shown)).otherwise(F.lit("")),
-        F.lit("Z"),
-    )
+    return F.concat(F.translate(utc_wall(ts).cast("string"), " ", "T"), F.lit("Z"))
+
+
+def utc_stamp(ts: Column) -> Column:
+    """The same to the second."""
+    return F.concat(F.substring(utc_text(ts), 1, 19), F.lit("Z"))
 
 
 def hour_of(ts: Column) -> Column:
-    return F.date_trunc("hour", ts)
+    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / 3_600) * 3_600)
 
 
 def hours(n: int) -> Column:
@@ -104,14 +121,18 @@ def days(n: int) -> Column:
 
 
 def period_start(granularity: str, ts: Column) -> Column:
-    return F.date_trunc(TRUNCATION[granularity], ts)
+    if granularity == "hourly":
+        return hour_of(ts)
+    date = utc_date(ts)
+    return utc_midnight(date if granularity == "daily" else F.trunc(date, "month" if granularity == "monthly" else "year"))
 
 
 def period_label(granularity: Column, start: Column) -> Column:
+    text = utc_stamp(start)
     label = None
     for name in GRANULARITIES:
-        text = F.date_format(start, LABEL[name])
-        label = F.when(granularity == name, text) if label is None else label.when(granularity == name, text)
+        cut = F.substring(text, 1, LABEL_LENGTH[name])
+        label = F.when(granularity == name, cut) if label is None else label.when(granularity == name, cut)
     return label
 
 
@@ -119,17 +140,19 @@ def parse_period(granularity: Column, label: Column) -> Column:
     """Start of a labelled period, null when the label does not parse."""
     start = None
     for name in GRANULARITIES:
-        parsed = F.try_to_timestamp(label, F.lit(LABEL[name]))
-        start = F.when(granularity == name, parsed) if start is None else start.when(granularity == name, parsed)
+        text = F.concat(label, F.lit(LABEL_REST[name]))
+        whole = F.when(F.length(label) == LABEL_LENGTH[name], F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+        start = F.when(granularity == name, whole) if start is None else start.when(granularity == name, whole)
     return start
 
 
 def period_end(granularity: Column, start: Column) -> Column:
+    later = lambda name: utc_midnight(F.add_months(utc_date(start), MONTHS[name]))
     return (
-        F.when(granularity == "hourly", start + F.expr("INTERVAL 1 HOUR"))
-        .when(granularity == "daily", start + F.expr("INTERVAL 1 DAY"))
-        .when(granularity == "monthly", start + F.expr("INTERVAL 1 MONTH"))
-        .when(granularity == "yearly", start + F.expr("INTERVAL 1 YEAR"))
+        F.when(granularity == "hourly", start + hours(1))
+        .when(granularity == "daily", start + hours(24))
+        .when(granularity == "monthly", later("monthly"))
+        .when(granularity == "yearly", later("yearly"))
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS
 from wardlog.functions.addresses import deny_key, ip_number
-from wardlog.functions.times import days, hours
+from wardlog.functions.times import days, hours, utc_date
 from wardlog.operators.classify import SSH
 from wardlog.operators.networks import excluded_prefix_anti_join
 from wardlog.operators.ranking import bounded_top
@@ -57,7 +57,7 @@ def qualifying_events(buckets: DataFrame, batch: list[str]) -> DataFrame:
 
 
 def evidence_facts(events: DataFrame) -> DataFrame:
-    return events.groupBy("key", "source_id", F.to_date("hour").alias("day")).agg(
+    return events.groupBy("key", "source_id", utc_date(F.col("hour")).alias("day")).agg(
         (F.max("hour") + hours(1)).alias("last_seen")
     )
 
@@ -99,7 +99,7 @@ def prune_evidence(facts: DataFrame, now: Column) -> DataFrame:
     cutoff = now - days(LIMITS.persistent_days)
     facts = cut_lineage(facts)
     alive = facts.groupBy("key").agg(F.max("last_seen").alias("_last")).where(F.col("_last") > cutoff)
-    recent = facts.where(F.col("day") >= F.to_date(cutoff))
+    recent = facts.where(F.col("day") >= utc_date(cutoff))
     return recent.join(alive.select("key"), "key", "left_semi")
 
 
@@ -124,7 +124,7 @@ def build_deny_lists(
     recent: seen within 72 hours. persistent: seen within 30 days by two
     sensors or on three days inside that window.
     """
-    cutoff_day = F.to_date(now - days(LIMITS.persistent_days))
+    cutoff_day = utc_date(now - days(LIMITS.persistent_days))
     per_source_day = facts.withColumn("_in", F.col("day") >= cutoff_day)
     # One row per key from here on, far fewer than events: stored once, since
     # the address expressions below are long to plan over a long query.

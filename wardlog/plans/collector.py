@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, RuleConfig, WireNames
@@ -54,11 +54,19 @@ def collect_events(
 
 def hour_and_watermark(now: datetime) -> tuple[datetime, datetime]:
     """A batch is created for the full hour and takes events older than the
-    hour less 30 seconds; later ones wait for the next batch."""
+    hour less 30 seconds; later ones wait for the next batch. A time without
+    zone is UTC."""
+    now = now.replace(tzinfo=timezone.utc) if now.tzinfo is None else now.astimezone(timezone.utc)
     hour = now.replace(minute=0, second=0, microsecond=0)
     return hour, hour - timedelta(seconds=LIMITS.watermark_seconds)
 
 
+def instant(at: datetime) -> Column:
+    """A zoned time as TIMESTAMP, to the microsecond."""
+    since = at - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit(since // timedelta(microseconds=1)).cast("bigint"))
+
+
 def pump(
     events: DataFrame,
     assigned: DataFrame,
@@ -77,7 +85,7 @@ def pump(
     hour, watermark = hour_and_watermark(now)
     created_at = hour.strftime("%Y-%m-%dT%H:%M:%SZ")
     waiting = events.join(assigned.select("event_id"), "event_id", "left_anti")
-    cut = batch_cut(waiting, F.lit(watermark), LIMITS.batch_records)
+    cut = batch_cut(waiting, instant(watermark), LIMITS.batch_records)
     kept = size_halving(cut, heads, created_at, classifier_version, names)
     headers = batch_headers(kept, heads, created_at)
     batches = with_identity(assemble_payloads(kept, headers, SENSOR, classifier_version, names), names)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
-from wardlog.functions.times import GRANULARITIES, LABEL, period_end
+from wardlog.functions.times import GRANULARITIES, period_end, utc_stamp
 from wardlog.operators.canonical import transport_escaped
 from wardlog.operators.rollup import PERIOD, label_sources, order_sources, top_n
 from wardlog.session import cut_lineage
@@ -68,12 +68,11 @@ def rollup_periods(totals: DataFrame, counts: DataFrame, heads: DataFrame) -> Da
         "sources": F.transform("sources", sensor),
         **{d: F.transform(d, lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count"))) for d in VALUE_DIMENSIONS},
     }
-    stamp = lambda ts: F.date_format(ts, LABEL["hourly"])
     return joined.select(
         *PERIOD,
         F.struct(
-            stamp(F.col("period_start")).alias("start"),
-            stamp(period_end(F.col("granularity"), F.col("period_start"))).alias("end"),
+            utc_stamp(F.col("period_start")).alias("start"),
+            utc_stamp(period_end(F.col("granularity"), F.col("period_start"))).alias("end"),
             F.col("total"),
             *[
                 F.coalesce(expr, F.from_json(F.lit("[]"), SENSORS if name == "sources" else VALUES)).alias(name)
@@ -167,17 +166,30 @@ def write_deny_lists(lists: DataFrame, now: Column, directory: str, names: WireN
         publish_lines(render_ipset(lists, name, seconds, now, names), f"{directory}/{name}.ipset")
 
 
+def envelope_conflicts(envelopes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(blob_name, contents) of names that would stand for different bytes,
+    within ``envelopes`` or against what is ``stored`` (blob_name, sha256)."""
+    digests = envelopes.select("blob_name", F.sha2("content", 256).alias("sha256"))
+    if stored is not None:
+        digests = digests.unionByName(stored.select("blob_name", "sha256"))
+    # two different digests exist exactly when the smallest differs from the largest
+    ends = digests.groupBy("blob_name").agg(F.min("sha256").alias("_lo"), F.max("sha256").alias("_hi"))
+    return ends.where(F.col("_lo") != F.col("_hi")).select("blob_name")
+
+
 def write_envelopes(envelopes: DataFrame, path: str) -> DataFrame:
     """Append signed envelopes (source_id, blob_name, content) to the outbox
-    table, never replacing other bytes. Returns the conflicting names."""
+    table. A name stands for one content: names that come with two contents in
+    this call, or with other bytes than stored, are returned and none of their
+    rows is written. Repeated rows and stored ones are left out, so a call that
+    is made again after a failure adds what is missing."""
     spark = envelopes.sparkSession
-    digest = envelopes.withColumn("sha256", F.sha2("content", 256))
-    if path_exists(spark, path):
-        known = spark.read.parquet(path).select("blob_name", F.col("sha256").alias("_known"))
-        digest = digest.join(known, "blob_name", "left")
-    else:
-        digest = digest.withColumn("_known", F.lit(None).cast("string"))
-    conflicts = cut_lineage(digest.where(F.col("_known") != F.col("sha256")).select("blob_name"))
-    fresh = digest.where(F.col("_known").isNull()).drop("_known")
-    fresh.write.mode("append").partitionBy("source_id").parquet(path)
+    stored = spark.read.parquet(path).select("blob_name", "sha256") if path_exists(spark, path) else None
+    conflicts = cut_lineage(envelope_conflicts(envelopes, stored))
+    fresh = envelopes.withColumn("sha256", F.sha2("content", 256)).join(conflicts, "blob_name", "left_anti")
+    if stored is not None:
+        fresh = fresh.join(stored.select("blob_name").distinct(), "blob_name", "left_anti")
+    columns = envelopes.columns
+    one = fresh.groupBy("source_id", "blob_name").agg(F.first(F.struct(*columns, "sha256")).alias("e")).select("e.*")
+    one.write.mode("append").partitionBy("source_id").parquet(path)
     return conflicts

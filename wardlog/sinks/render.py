@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
-from wardlog.functions.times import LABEL
+from wardlog.functions.times import utc_stamp
 
 ORDER_TYPE = "struct<section:int,family:int,addr:binary,tail:int>"
 
@@ -34,7 +34,7 @@ def _header(name: str, now: Column, names: WireNames) -> list[Column]:
     return [
         F.lit(f"# {names.namespace} deny list: {name}"),
         F.lit(f"# {names.label}"),
-        F.concat(F.lit("# generated "), F.date_format(now, LABEL["hourly"])),
+        F.concat(F.lit("# generated "), utc_stamp(now)),
         F.lit(f"# {names.documentation_url}"),
     ]
 

@@ -8,7 +8,9 @@ line is never fatal: :func:`split_rejects` separates it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +40,34 @@ FAILED_LOGIN = (
 )
 
 
+# Scheme and authority of a file's address.
+ADDRESS = r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def relative_path(file: Column, root: str) -> Column:
+    """The path of a file below ``root``, or its whole path when it lies
+    elsewhere. Works on addresses as the file source reports them."""
+    below = quote(re.sub(ADDRESS, "", root).rstrip("/") + "/", safe="/:@!$&'()*+,;=~-._%")
+    path = F.regexp_replace(file, ADDRESS, "")
+    return F.when(path.startswith(below), F.substring(path, F.lit(len(below) + 1), F.length(path))).otherwise(path)
+
+
 def line_cursors(lines: DataFrame) -> DataFrame:
     """Give lines of shipped files a position that survives a re-read:
-    file name, digest of the line and the number of the copy. Equal lines of
-    one file are interchangeable, so copies are counted, not ordered: one
-    grouped count, whatever share of a file one line makes up.
+    file, digest of the line and the number of the copy. Equal lines of one
+    file are interchangeable, so copies are counted, not ordered: one grouped
+    count, whatever share of a file one line makes up.
 
-    Input: value, file. A rotated chunk must keep its name when shipped again.
+    Input: value, file. ``file`` is the path below the root that is followed
+    (see :func:`relative_path`): files of two folders may share a name. A
+    rotated chunk must keep its path when shipped again.
     """
     copies = lines.groupBy("file", "value").agg(F.count("*").alias("_n"))
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(
         "value",
         F.concat_ws(
             ":",
-            F.element_at(F.split("file", "/"), -1),
+            F.col("file"),
             F.sha2(F.col("value").cast("binary"), 256),
             F.col("_copy").cast("string"),
         ).alias("cursor"),

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlog.config import RuleConfig
+from wardlog.functions.times import utc_date
 from wardlog.operators.events import dedup_events, event_collisions
 from wardlog.plans.collector import collect_events
 from wardlog.session import stream_id
 from wardlog.sources.files import path_exists
-from wardlog.sources.lines import line_cursors
+from wardlog.sources.lines import line_cursors, relative_path
 
 
 def stream_logs(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
-    """Lines of files as they arrive: value, file. The checkpoint remembers
+    """Lines of files as they arrive: value, file (below ``path``). The checkpoint remembers
     which files were read. A file must be complete when it appears (ship
     rotated chunks), because the source does not tail."""
     return (
         spark.readStream.option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", "true")
         .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"))
+        .select("value", relative_path(F.col("_metadata.file_path"), path).alias("file"))
     )
 
 
@@ -42,9 +43,9 @@ def store_events(events: DataFrame, store: str, commit: str) -> None:
     arrival = F.struct("cursor")
     known = read_events(spark, store, commit)
     if known is None:
-        known = events.limit(0).withColumn("commit", F.lit("")).withColumn("day", F.to_date("observed_at"))
+        known = events.limit(0).withColumn("commit", F.lit("")).withColumn("day", utc_date(F.col("observed_at")))
     fresh = dedup_events(events, known, arrival)
-    fresh.withColumn("commit", F.lit(commit)).withColumn("day", F.to_date("observed_at")).write.mode(
+    fresh.withColumn("commit", F.lit(commit)).withColumn("day", utc_date(F.col("observed_at"))).write.mode(
         "overwrite"
     ).option("partitionOverwriteMode", "dynamic").partitionBy("commit", "day").parquet(f"{store}/events")
     event_collisions(events, known, arrival).write.mode("overwrite").parquet(f"{store}/collisions/commit={commit}")
