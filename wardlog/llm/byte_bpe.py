@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wardlog.llm.common import small_batches, texts
+from wardlog.llm.common import per_worker, small_batches, texts
 
 CACHE_PIECES = 700_000
 CACHE_PIECE_CHARS = 48
@@ -125,14 +125,8 @@ class ByteBpe:
         return b" ".join(map(self.decimals.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], ByteBpe] = {}
-
-
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    """One per worker process and vocabulary."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = ByteBpe(path, pattern)
-    return _ENCODERS[path, pattern]
+    return per_worker(("pieces", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

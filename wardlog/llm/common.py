@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -93,11 +93,11 @@ class WordEncoder:
         order = distinct.indices.to_numpy(zero_copy_only=False)
         each = sizes[order]
         ends = np.cumsum(each)
-        take = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)  # steps of one within a word, then summed
+        take = np.ones(int(ends[-1]) if len(ends) else 0, np.int32)  # steps of one within a word, then summed
         some = np.flatnonzero(each)
         firsts = starts[order[some]]
         take[ends[some] - each[some]] = firsts - np.append(0, (firsts + each[some] - 1)[:-1]) if len(some) else 0
-        ids = np.frombuffer(b"".join(held), "<u4")[np.cumsum(take)]
+        ids = np.frombuffer(b"".join(held), "<u4")[np.cumsum(take, dtype=np.int32)]
         return ids, np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
     def encode_bytes(self, column: pa.Array) -> list[bytes]:
@@ -107,21 +107,27 @@ class WordEncoder:
         return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_HELD: dict = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """One per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def per_worker(key, build: Callable[[], object]):
+    """The one model a worker process keeps: the last that was asked for, so
+    that stages of a pipeline do not add up in a worker's memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def word_encoder(path: str, limit: int = CACHE_WORDS) -> WordEncoder:
+    return per_worker(("words", path, limit), lambda: WordEncoder(path, limit))
 
 
-def binary_array(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, where rows are alike, ``size`` bytes:
+    bounds what a worker holds at once whatever the texts' lengths."""
+    for batch in batches:
+        step = max(1, min(rows, -(-batch.num_rows // max(1, -(-batch.nbytes // size)))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import remainder, small_batches
+from wardlog.llm.common import per_worker, remainder, small_batches
 
 SAMPLE_CHARS = 40_000
 SAMPLE_DOCS = 60
@@ -201,16 +201,8 @@ def training_samples(docs: DataFrame, held_out: tuple[int, int] | None = (4, 2))
     return {lang: "\n".join(texts)[:SAMPLE_CHARS] for lang, texts in parts.items()}
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
-    """One per worker process and set of samples."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
+    return per_worker(("languages", hash(tuple(sorted(samples.items())))), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str], keep: bool = False) -> DataFrame:

@@ -30,6 +30,8 @@ from wardlog.session import stage_table
 
 LENGTH = 4096
 WINDOWS = 64
+#: Words kept per worker, about 100 MB.
+CACHE = 500_000
 #: Partitions whose leftovers are merged in one task: 8 x 64 windows at most.
 MERGE = 8
 #: Sequence ids: partition and counter for those emitted, above this bit for merged leftovers.
@@ -115,9 +117,9 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = word_encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = word_encoder(tokenizer, CACHE), TaskContext.get().partitionId()
         open_, sequence, step = Windows(length, windows), part << 36, 4 * length
-        for batch in small_batches(batches, 4096):
+        for batch in small_batches(batches, 4096, 6 << 20):
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_bytes(batch.column(1)), strict=True):
                 ids += end
