@@ -24,7 +24,7 @@ def pick(spark, entries, targets=(("alice-pi", EPOCH, "alice/batches", "1"),), *
     out = delivery.select_new_batches(
         spark.createDataFrame(entries, LISTING), spark.createDataFrame(list(targets), TARGETS), **kwargs
     )
-    return [(r.source_id, r.sequence) for r in out.collect()]
+    return sorted(((r.source_id, r.sequence) for r in out.collect()), key=lambda x: (x[0], int(x[1])))
 
 
 def test_only_new_regular_canonical_files_in_sequence_order(spark):
@@ -43,15 +43,14 @@ def test_budget_share_and_existing_files(spark):
     entries = [entry(path("alice-pi", str(i), "a")) for i in range(5)]
     here = spark.createDataFrame([(path("alice-pi", "0", "a"),)], "path string")
     targets = [("alice-pi", EPOCH, "alice/batches", "0")]
-    assert pick(spark, entries, targets, existing=here, present=254) == [("alice-pi", "1"), ("alice-pi", "2")]
-    assert pick(spark, entries, targets, present=256) == []
-    many = [entry(path("alice-pi", str(i), "a")) for i in range(60)] + [
+    assert pick(spark, entries, targets, existing=here) == [("alice-pi", str(i)) for i in range(1, 5)]
+    assert pick(spark, entries, targets, existing=here, budget=2) == [("alice-pi", "1"), ("alice-pi", "2")]
+    many = [entry(path("alice-pi", str(i), "a")) for i in range(600)] + [
         entry(path("bob-pi", str(i), "b"), repository="bob/batches") for i in range(60)
     ]
     both = targets + [("bob-pi", EPOCH, "bob/batches", "0")]
-    chosen = pick(spark, many, both)
-    assert len(chosen) == 96 and chosen[:48] == [("alice-pi", str(i)) for i in range(48)]
-    assert len(pick(spark, many, both, present=255)) == 1
+    assert len(pick(spark, many, both)) == 660
+    assert pick(spark, many, both, per_source=48) == [(s, str(i)) for s in ("alice-pi", "bob-pi") for i in range(48)]
 
 
 def test_content_must_match_the_listed_tree(spark):

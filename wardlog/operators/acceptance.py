@@ -11,17 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.config import LIMITS
 from wardlog.functions.text import blob_name, hex_digest, holds, sequence_number
-from wardlog.session import broadcast_if_small, cut_lineage
+from wardlog.session import cut_lineage
 
 SENSOR = ["source_id", "source_epoch"]
 STEP = [*SENSOR, "seq"]
 
 
 def join_registry(batches: DataFrame, registry: DataFrame) -> DataFrame:
-    """Attach the registration; ``registered`` is null where there is none.
-    A registry read from its file has at most 64 sensors and is broadcast."""
+    """Attach the registration; ``registered`` is null where there is none. The
+    planner sees the registry's size and sends it along when it is small."""
     dimension = registry.select(
         *SENSOR,
         F.lit(True).alias("registered"),
@@ -31,7 +30,7 @@ def join_registry(batches: DataFrame, registry: DataFrame) -> DataFrame:
         "public_key",
         "blob_prefix",
     )
-    return batches.join(broadcast_if_small(dimension, LIMITS.registered), SENSOR, "left")
+    return batches.join(dimension, SENSOR, "left")
 
 
 def mark_replays(candidates: DataFrame, accepted: DataFrame) -> DataFrame:

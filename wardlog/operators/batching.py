@@ -6,39 +6,71 @@ username, password, path, rule_ids and optionally nanos.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, Limits, WireNames
 from wardlog.functions.text import sequence_number
 from wardlog.functions.times import days, hour_of, hours, utc_text
-from wardlog.operators.canonical import transport_payload
-from wardlog.operators.ranking import bounded_top
-from wardlog.session import cut_lineage
+from wardlog.operators.canonical import signing_text, transport_payload
+from wardlog.session import stage_table
 
 SENSOR = ["source_id", "source_epoch"]
 
 
+def ready_events(events: DataFrame, watermark: Column) -> DataFrame:
+    """Events older than the watermark that are in no batch yet."""
+    ready = events.where(F.col("observed_at") < watermark)
+    return ready.where(F.col("batch_sequence").isNull()) if "batch_sequence" in events.columns else ready
+
+
 def batch_cut(
     events: DataFrame, watermark: Column, limit: int = LIMITS.batch_records, limits: Limits = LIMITS
 ) -> DataFrame:
-    """Events of each sensor's next batch: older than the watermark, earliest
-    first, at most ``limit``, none 31 days or more past the earliest hour.
-
-    The time bound cuts a suffix of the same order, so it may follow the row
-    limit; the earliest hour is then known from the rows already in hand and
-    no join back is needed.
+    """All ready events with the ``batch`` of their sensor (0, 1, ...) and
+    their ``position`` in it (1, 2, ...), earliest first. A batch has at most
+    ``limit`` events and lies within one stretch of 31 days, counted from the
+    sensor's earliest hour; nothing is left over.
+
+    Places come from counts: events per sensor and minute are summed in order
+    within each stretch (at most 44,640 rows), and only the events of one
+    sensor's minute are ranked together.
     """
-    ready = events.where(F.col("observed_at") < watermark)
-    if "batch_sequence" in events.columns:
-        ready = ready.where(F.col("batch_sequence").isNull())
+    ready = ready_events(events, watermark)
+    origin = ready.groupBy(*SENSOR).agg(hour_of(F.min("observed_at")).alias("_origin"))
+    since = F.unix_seconds("observed_at") - F.unix_seconds("_origin")
+    placed = ready.join(origin, SENSOR).withColumns(
+        {
+            "_stretch": F.floor(since / (limits.window_days * 86_400)),
+            "_minute": F.floor(F.unix_seconds("observed_at") / 60),
+        }
+    )
+    before = lambda over: F.coalesce(
+        F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    stretch = [*SENSOR, "_stretch"]
+    minutes = placed.groupBy(*stretch, "_minute").agg(F.count("*").alias("_n"))
+    in_order = minutes.withColumn("_before", before(Window.partitionBy(*stretch).orderBy("_minute"))).drop("_n")
+    batches = minutes.groupBy(*stretch).agg(F.ceil(F.sum("_n") / limit).alias("_n"))
+    first = batches.withColumn("_first", before(Window.partitionBy(*SENSOR).orderBy("_stretch"))).drop("_n")
+    bases = in_order.join(first, stretch)
     order = [F.col("observed_at"), *([F.col("nanos")] if "nanos" in events.columns else []), F.col("event_id")]
-    first = bounded_top(ready, SENSOR, order, limit, salt_on=["event_id"], rank="position")
-    earliest = F.min("observed_at").over(Window.partitionBy(*SENSOR))
+    rank = F.row_number().over(Window.partitionBy(*stretch, "_minute").orderBy(*order))
+    place = F.col("_before") + F.col("_rank") - 1
     return (
-        first.withColumn("_end", hour_of(earliest) + days(limits.window_days))
-        .where(F.col("observed_at") < F.col("_end"))
-        .drop("_end")
+        placed.withColumn("_rank", rank)
+        .join(bases, [*stretch, "_minute"])
+        .withColumns(
+            {
+                "batch": (F.col("_first") + F.floor(place / limit)).cast("bigint"),
+                "position": (place % limit + 1).cast("int"),
+            }
+        )
+        .select(*events.columns, "batch", "position")
     )
 
 
@@ -174,55 +206,98 @@ def assemble_payloads(
     )
 
 
-def size_halving(
-    cut: DataFrame,
-    heads: DataFrame,
-    created_at: str,
-    classifier_version: str,
-    names: WireNames = NAMES,
-    limits: Limits = LIMITS,
-) -> DataFrame:
-    """While a sensor's encoded payload is too large, keep the first half of
-    its events. Returns the cut with a final ``position`` bound applied.
-
-    Each pass is one distributed build; a cut of 10,000 events settles within
-    14 passes. A single event that is too large is an error.
-    """
-    cut = cut_lineage(cut)
-    keeps = cut.groupBy(*SENSOR).agg(F.max("position").alias("keep"), F.lit(True).alias("over"))
-    while True:
-        kept = cut.join(keeps, SENSOR).where(F.col("position") <= F.col("keep")).drop("keep", "over")
-        sizes = assemble_payloads(
-            kept, batch_headers(kept, heads, created_at), SENSOR, classifier_version, names
-        ).select(*SENSOR, F.octet_length(transport_payload(F.col("payload"))).alias("bytes"))
-        over = F.col("bytes") > limits.batch_bytes
-        single = F.raise_error(F.lit("a single event exceeds the encoded size limit")).cast("int")
-        halved = F.when(F.col("keep") > 1, F.floor(F.col("keep") / 2).cast("int")).otherwise(single)
-        # One row per sensor: small whatever the number of events.
-        keeps = cut_lineage(
-            keeps.join(sizes, SENSOR).select(
-                *SENSOR, F.when(over, halved).otherwise(F.col("keep")).alias("keep"), over.alias("over")
-            )
-        )
-        if keeps.where("over").isEmpty():
-            return kept
+# The most that one event adds to an encoded payload besides its texts and
+# rule ids, and the most bytes that escaping makes of one.
+RECORD_BYTES = 420
+ESCAPED_BYTES = 6
+HEADER_BYTES = 8_192
+
+
+def event_bytes() -> Column:
+    """An upper bound of what one event adds to the encoded payload. Events of
+    one record are merged there, so sums of it are bounds as well."""
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("username", "password", "path")), F.lit(0))
+    return (texts * ESCAPED_BYTES + F.octet_length(F.to_json("rule_ids")) + RECORD_BYTES).cast("bigint")
+
+
+def size_split(cut: DataFrame, created_at: str, classifier_version: str, names: WireNames = NAMES, limits: Limits = LIMITS) -> DataFrame:
+    """The cut with every batch whose encoded payload is too large divided into
+    consecutive parts that fit; both ``batch`` and ``position`` are numbered
+    anew and every event stays. One build finds the large batches, one window
+    over their events (10,000 at most each) finds the parts."""
+    by = [*SENSOR, "batch"]
+    headers = batch_headers(cut, None, created_at)
+    size = F.octet_length(transport_payload(F.col("payload")))
+    large = assemble_payloads(cut, headers, by, classifier_version, names).where(size > limits.batch_bytes).select(*by)
+    running = Window.partitionBy(*by).orderBy("position")
+    marked = cut.join(large.withColumn("_large", F.lit(True)), by, "left")
+    part = F.floor(F.sum(event_bytes()).over(running) / (limits.batch_bytes - HEADER_BYTES))
+    parts = marked.withColumn("_part", F.when(F.col("_large"), part).otherwise(0)).drop("_large")
+    numbered = (
+        parts.groupBy(*by, "_part")
+        .agg(F.min("position").alias("_from"))
+        .withColumn("_batch", F.row_number().over(Window.partitionBy(*SENSOR).orderBy("batch", "_part")) - 1)
+    )
+    return (
+        parts.join(numbered, [*by, "_part"])
+        .withColumn("position", F.col("position") - F.col("_from") + 1)
+        .withColumn("batch", F.col("_batch").cast("bigint"))
+        .drop("_part", "_from", "_batch")
+    )
 
 
-def batch_headers(events: DataFrame, heads: DataFrame, created_at: str) -> DataFrame:
-    """Header of each sensor's next batch from its chain head."""
-    return (
-        events.select(*SENSOR)
-        .distinct()
-        .join(heads.select(*SENSOR, "next_sequence", "previous_hash"), SENSOR, "left")
-        .select(
-            *SENSOR,
-            F.coalesce("next_sequence", F.lit("0")).alias("sequence"),
-            F.col("previous_hash").alias("previous_batch_hash"),
-            F.lit(created_at).alias("created_at"),
-        )
+def batch_headers(events: DataFrame, heads: DataFrame | None, created_at: str) -> DataFrame:
+    """Header of each (sensor, batch): the sequence goes on from the sensor's
+    chain head. The first batch refers to the head's hash, later ones to
+    ``OPEN_HASH`` until :func:`link_batches` knows their predecessor."""
+    each = events.select(*SENSOR, "batch").distinct()
+    if heads is None:
+        start, known = F.lit(0).cast("decimal(20,0)"), F.lit(None).cast("string")
+    else:
+        each = each.join(heads.select(*SENSOR, "next_sequence", "previous_hash"), SENSOR, "left")
+        start, known = F.coalesce(sequence_number(F.col("next_sequence")), F.lit(0)), F.col("previous_hash")
+    return each.select(
+        *SENSOR,
+        "batch",
+        (start + F.col("batch")).cast("decimal(20,0)").cast("string").alias("sequence"),
+        F.when(F.col("batch") == 0, known).otherwise(F.lit(OPEN_HASH)).alias("previous_batch_hash"),
+        F.lit(created_at).alias("created_at"),
     )
 
 
+OPEN_HASH = "0" * 64
+
+
+def link_batches(batches: DataFrame, names: WireNames = NAMES) -> DataFrame:
+    """Chain the batches of each sensor: every ``previous_batch_hash`` that is
+    still open becomes the hash of the batch before. The hash covers that very
+    field, so a chain is sequential by definition; sensors run in parallel, a
+    sensor's canonical texts pass through its task one by one, and only hashes
+    come back."""
+    texts = batches.select(*SENSOR, "batch", signing_text(F.col("payload"), names).alias("text"))
+    marker = f'"previous_batch_hash":"{OPEN_HASH}"'
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sensor, digest = None, ""
+        for part in parts:
+            found = []
+            for source, epoch, _, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (source, epoch) != sensor:
+                    sensor, digest = (source, epoch), ""
+                before = digest
+                text = text.replace(marker, f'"previous_batch_hash":"{before}"', 1) if before else text
+                digest = hashlib.sha256(text.encode()).hexdigest()
+                found.append(before)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.string())], names=[*SENSOR, "batch", "_before"])
+
+    in_order = texts.repartition(*SENSOR).sortWithinPartitions(*SENSOR, "batch")
+    links = in_order.mapInArrow(run, "source_id string, source_epoch string, batch bigint, _before string")
+    previous = F.when(F.col("_before") != "", F.col("_before")).otherwise(F.col("payload.previous_batch_hash"))
+    fields = batches.schema["payload"].dataType.fieldNames()
+    payload = F.struct(*[(previous if n == "previous_batch_hash" else F.col(f"payload.{n}")).alias(n) for n in fields])
+    return batches.join(links, [*SENSOR, "batch"]).withColumn("payload", payload).drop("_before")
+
+
 def build_batches(
     events: DataFrame,
     heads: DataFrame,
@@ -233,13 +308,23 @@ def build_batches(
     names: WireNames = NAMES,
     limits: Limits = LIMITS,
 ) -> DataFrame:
-    """The next batch of every sensor: cut, halve to size, aggregate, head.
-    Rows: source_id, source_epoch, payload."""
+    """All batches of every sensor's ready events, chained from its head: cut,
+    split by size, aggregate, link. Rows: source_id, source_epoch, batch, payload."""
     if not 1 <= max_observations <= limits.batch_records:
         raise ValueError(f"max_observations must lie between 1 and {limits.batch_records}")
-    cut = batch_cut(events, watermark, max_observations, limits)
-    kept = size_halving(cut, heads, created_at, classifier_version, names, limits)
-    return assemble_payloads(kept, batch_headers(kept, heads, created_at), SENSOR, classifier_version, names)
+    # Read several times below, so each is stored once.
+    cut = stage_table(batch_cut(events, watermark, max_observations, limits), "cut")
+    split = stage_table(size_split(cut, created_at, classifier_version, names, limits), "split")
+    return assemble_batches(split, heads, created_at, classifier_version, names)
+
+
+def assemble_batches(
+    cut: DataFrame, heads: DataFrame, created_at: str, classifier_version: str, names: WireNames = NAMES
+) -> DataFrame:
+    """Chained payloads of events that have their batch."""
+    headers = batch_headers(cut, heads, created_at)
+    payloads = assemble_payloads(cut, headers, [*SENSOR, "batch"], classifier_version, names)
+    return link_batches(stage_table(payloads, "payloads"), names)
 
 
 def next_pending(batches: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The numbers of the public dashboard, from published rollups."""
+"""The numbers of the public dashboard, from the full counts of the state."""
 
 from __future__ import annotations
 
@@ -31,10 +31,10 @@ def dashboard_source_kinds(labelled: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_ip_versions(published: DataFrame) -> DataFrame:
-    """Count and share of each family among published yearly addresses."""
+def dashboard_ip_versions(counts: DataFrame) -> DataFrame:
+    """Count and share of each family over all addresses of the yearly periods."""
     v6 = F.contains(F.col("value"), F.lit(":"))
-    sums = published.where((F.col("granularity") == "yearly") & (F.col("dimension") == "source_ips")).agg(
+    sums = counts.where((F.col("granularity") == "yearly") & (F.col("dimension") == "source_ips")).agg(
         F.coalesce(F.sum(F.when(v6, 0).otherwise(F.col("count"))), F.lit(0)).alias("ipv4"),
         F.coalesce(F.sum(F.when(v6, F.col("count")).otherwise(0)), F.lit(0)).alias("ipv6"),
     )
@@ -48,10 +48,10 @@ def dashboard_ip_versions(published: DataFrame) -> DataFrame:
     return sums.select(F.inline(pair))
 
 
-def dashboard_top_values(published: DataFrame, n: int = 20) -> DataFrame:
-    """Top values per dimension after adding up the published yearly values."""
+def dashboard_top_values(counts: DataFrame, n: int = 20) -> DataFrame:
+    """Top values per dimension after adding up all yearly values."""
     totals = (
-        published.where((F.col("granularity") == "yearly") & (F.col("dimension") != "sources"))
+        counts.where((F.col("granularity") == "yearly") & (F.col("dimension") != "sources"))
         .groupBy("dimension", "value")
         .agg(F.sum("count").alias("count"))
     )

@@ -39,15 +39,16 @@ def select_new_batches(
     listing: DataFrame,
     targets: DataFrame,
     existing: DataFrame | None = None,
-    present: int = 0,
+    budget: int | None = None,
+    per_source: int | None = None,
     limits: Limits = LIMITS,
 ) -> DataFrame:
     """Files to fetch from repository listings (repository, path, mode, type,
     sha, size): regular, canonically named, in size, at or after the target's
-    next sequence, not yet here. Lowest sequences first, a fair share per
-    sensor, within the run's file budget.
+    next sequence, not yet here. All of them, unless the caller names a
+    ``budget`` of files or a share ``per_source``: then the lowest sequences
+    come first, and the rest with the next run.
     """
-    remaining = limits.input_files - present
     part = lambda i: F.regexp_extract("path", OBJECT, i)
     regular = (
         listing.where(
@@ -69,18 +70,11 @@ def select_new_batches(
     )
     if existing is not None:
         ready = ready.join(existing.select("path").distinct(), "path", "left_anti")
-    if remaining <= 0:
-        return ready.limit(0).select("source_id", "source_epoch", "repository", "sequence", "path", "sha", "size")
-    # The share needs the number of targets, one small aggregate.
-    share = max(1, remaining // max(1, wanted.count()))
-    per_source = min(limits.files_per_source, share)
     order = [sequence_number(F.col("sequence")), F.col("path")]
-    chosen = bounded_top(ready, ["source_id", "source_epoch"], order, per_source, salt_on=["path"])
-    return (
-        chosen.select("source_id", "source_epoch", "repository", "sequence", "path", "sha", "size")
-        .orderBy("source_id", "source_epoch", sequence_number(F.col("sequence")), "path")
-        .limit(remaining)
-    )
+    if per_source is not None:
+        ready = bounded_top(ready, ["source_id", "source_epoch"], order, per_source, salt_on=["path"])
+    chosen = ready.select("source_id", "source_epoch", "repository", "sequence", "path", "sha", "size")
+    return chosen if budget is None else chosen.orderBy("source_id", "source_epoch", *order).limit(budget)
 
 
 def git_blob_sha(content: Column) -> Column:

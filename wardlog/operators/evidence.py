@@ -97,15 +97,14 @@ def prune_evidence(facts: DataFrame, now: Column) -> DataFrame:
     last hour is inside the window has that hour's day inside it too, so one
     row filter is equivalent; the key test only matters for the boundary."""
     cutoff = now - days(LIMITS.persistent_days)
-    facts = cut_lineage(facts)
     alive = facts.groupBy("key").agg(F.max("last_seen").alias("_last")).where(F.col("_last") > cutoff)
     recent = facts.where(F.col("day") >= utc_date(cutoff))
     return recent.join(alive.select("key"), "key", "left_semi")
 
 
 def cap_evidence(facts: DataFrame, limit: int = LIMITS.deny_records) -> DataFrame:
-    """Keep the ``limit`` keys seen last; on a tie the smaller key goes."""
-    facts = cut_lineage(facts)
+    """A report of the ``limit`` keys seen last; on a tie the smaller key goes.
+    The stored evidence keeps every key until it expires."""
     keys = facts.groupBy("key").agg(F.max("last_seen").alias("_last"))
     kept = bounded_top(keys, [], [F.col("_last").desc(), F.col("key").desc()], limit, salt_on=["key"])
     return facts.join(kept.select("key"), "key", "left_semi")

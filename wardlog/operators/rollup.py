@@ -15,7 +15,6 @@ from wardlog.functions.text import holds, sequence_number
 from wardlog.functions.times import GRANULARITIES, days, period_end, period_start
 from wardlog.operators.classify import SSH
 from wardlog.operators.ranking import bounded_top
-from wardlog.session import cut_lineage
 
 PERIOD = ["granularity", "period_start"]
 DIMENSION = [*PERIOD, "dimension"]
@@ -130,9 +129,10 @@ def _split_by_size(values: DataFrame, keys: list[str], cap: int) -> tuple[DataFr
 def cap_dimension(
     counts: DataFrame, cap: int = LIMITS.dimension_values, held: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Keep the first ``cap`` values of each dimension to arrive, values
-    already held first. Returns (kept counts, overflow per dimension): what is
-    not kept adds to the overflow, so totals stay exact.
+    """A report of the first ``cap`` values of each dimension to arrive, values
+    already held first. Returns (shown counts, overflow per dimension): what is
+    not shown adds to the overflow, so totals stay exact. The state itself
+    keeps every value.
     """
     fresh = counts.withColumn("_new", F.lit(1))
     if held is not None:
@@ -142,8 +142,6 @@ def cap_dimension(
     values = fresh.groupBy(*VALUE).agg(
         F.sum("count").alias("count"), F.min("_new").alias("_new"), F.min("arrival").alias("arrival")
     )
-    # Used several times below, and small beside the events it was made from.
-    values = cut_lineage(values)
     small, large = _split_by_size(values, DIMENSION, cap)
     # Held values precede all others; among them the order does not matter.
     order = [F.col("_new"), F.col("arrival"), F.col("value")]
@@ -185,9 +183,9 @@ def trim_periods(
     keep: int = LIMITS.public_values,
     retention_days: int = LIMITS.period_retention_days,
 ) -> tuple[DataFrame, DataFrame]:
-    """Bound old periods: hourly periods that ended before the retention are
-    dropped, others keep their top values. Returns (counts, added overflow)."""
-    counts = cut_lineage(counts)
+    """A report with bounded old periods: hourly periods that ended before the
+    retention are gone, others show their top values. Returns (counts, overflow
+    of what is not shown). The state itself keeps every value of a period."""
     end = period_end(F.col("granularity"), F.col("period_start"))
     old = end < now - days(retention_days)
     current = counts.where(~old)
@@ -221,6 +219,13 @@ def top_n(counts: DataFrame, n: int = LIMITS.public_values) -> DataFrame:
     return bounded_top(ranked, DIMENSION, by_count(), n, salt_on=VALUE, rank="rank")
 
 
+def published_values(counts: DataFrame, n: int = LIMITS.public_values) -> tuple[DataFrame, DataFrame]:
+    """(top values with rank, overflow per period and dimension): shown and
+    overflow add up to all that was counted."""
+    shown = top_n(counts, n)
+    return shown, overflow_of(counts.where(F.col("dimension") != "sources"), shown)
+
+
 def label_sources(counts: DataFrame, heads: DataFrame) -> DataFrame:
     """Sensor totals with their kind; unknown sensors count as hosts."""
     kinds = heads.select(

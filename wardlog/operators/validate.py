@@ -225,8 +225,8 @@ def quarantine_reason(batches: DataFrame) -> DataFrame:
 
 
 def quarantine_entries(rejected: DataFrame) -> DataFrame:
-    """Published form of rejects. Limited in scan order, then sorted, as the
-    reports are a bounded sample by definition; counts come from the table."""
+    """Published form of rejects: a report of the first in scan order, sorted.
+    All of them are in the committed table of rejects."""
     return (
         rejected.select(
             safe_file_name(F.col("file")).alias("file"), "sha256", "bytes", "reason", F.col("file").alias("_scan")
@@ -247,34 +247,16 @@ def state_violations(
     named = lambda df, name, bad: df.select(
         F.lit(name).alias("check"), F.sum(F.when(bad, 1).otherwise(0)).cast("bigint").alias("violations")
     ).select("check", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
-    per_dimension = counts.groupBy("granularity", "period_start", "dimension").count()
-    per_key = evidence.groupBy("key").agg(
-        F.countDistinct("day").alias("day_number"), F.countDistinct("source_id").alias("source_number")
-    )
     key_ok = holds(deny_key(F.substring_index("key", "/", 1)) == F.col("key"))
     return (
         named(totals, "period_total", ~safe("total"))
         .unionByName(named(counts, "dimension_count", ~safe("count")))
         .unionByName(named(counts, "dimension_value", ~holds(F.col("value") != "")))
-        .unionByName(named(per_dimension, "dimension_size", F.col("count") > LIMITS.dimension_values))
         .unionByName(named(evidence, "evidence_key", ~key_ok))
         .unionByName(named(evidence, "evidence_source", ~holds(F.col("source_id") != "")))
         .unionByName(
             named(evidence, "evidence_time", ~holds(F.col("last_seen") == hour_of(F.col("last_seen"))))
         )
-        .unionByName(
-            named(
-                per_key,
-                "evidence_size",
-                (F.col("day_number") > LIMITS.deny_days) | (F.col("source_number") > LIMITS.deny_sources),
-            )
-        )
-        .unionByName(
-            per_key.select(
-                F.lit("evidence_records").alias("check"),
-                F.greatest(F.count("*") - LIMITS.deny_records, F.lit(0)).cast("bigint").alias("violations"),
-            )
-        )
     )
 
 

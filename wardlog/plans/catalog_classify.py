@@ -168,7 +168,7 @@ def merge_rules(fx: Fixture):
 @add(
     "dedup_events",
     f"""WITH {PROMOTED_CTE},
-    fresh AS (SELECT * FROM promoted WHERE observed_at >= TIMESTAMP '2024-01-10 00:00:00'
+    fresh AS (SELECT * FROM promoted
       UNION ALL SELECT * FROM promoted WHERE observed_at >= TIMESTAMP '2024-01-20 00:00:00'),
     store AS (SELECT event_id FROM promoted WHERE observed_at < TIMESTAMP '2024-01-15 00:00:00')
     SELECT DISTINCT event_id, source_ip, {iso('observed_at')} AS observed_at FROM fresh
@@ -176,7 +176,7 @@ def merge_rules(fx: Fixture):
 )
 def dedup_events(fx: Fixture):
     at = F.col("observed_at")
-    fresh = fx.promoted.where(at >= "2024-01-10").unionByName(fx.promoted.where(at >= "2024-01-20"))
+    fresh = fx.promoted.unionByName(fx.promoted.where(at >= "2024-01-20"))
     store = fx.promoted.where(at < "2024-01-15")
     return events.dedup_events(fresh, store, F.col("observed_at")).select(
         "event_id", "source_ip", shown("observed_at").alias("observed_at")
@@ -288,16 +288,16 @@ def ip_columns(fx: Fixture):
 @add(
     "cidr_columns",
     f"""WITH {OBS_CTE}, numbered AS (SELECT *, {IP_NUMBER} AS num FROM obs WHERE NOT contains(source_ip, ':'))
-    SELECT event_id, concat(num // 16777216, '.', num // 65536 % 256, '.', num // 256 % 256 // 16 * 16, '.0/20') AS prefix FROM numbered""",
+    SELECT event_id, regexp_replace(source_ip, '::[0-9]+$', '::/96') AS prefix FROM obs WHERE contains(source_ip, ':')
+    UNION ALL SELECT event_id, concat(num // 16777216, '.', num // 65536 % 256, '.', num // 256 % 256 // 16 * 16, '.0/20') AS prefix FROM numbered""",
 )
 def cidr_columns(fx: Fixture):
-    """The /20 around each IPv4 address, half of them written as mapped IPv6."""
+    """The /20 around each IPv4 address, half of them written as mapped IPv6, and the /96 of each IPv6 address."""
     ip = F.col("source_ip")
-    cidr = F.when(F.col("event_id") % 2 == 0, F.concat(ip, F.lit("/20"))).otherwise(
+    cidr = F.when(F.contains(ip, F.lit(":")), F.concat(ip, F.lit("/96"))).when(F.col("event_id") % 2 == 0, F.concat(ip, F.lit("/20"))).otherwise(
         F.concat(F.lit("::ffff:"), ip, F.lit("/116"))
     )
-    v4 = fx.obs.where(~F.contains(ip, F.lit(":")))
-    return v4.select("event_id", addresses.cidr_columns(cidr)["prefix"].alias("prefix"))
+    return fx.obs.select("event_id", addresses.cidr_columns(cidr)["prefix"].alias("prefix"))
 
 
 @add(

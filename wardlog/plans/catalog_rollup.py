@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlog.functions import times
 from wardlog.operators import batching, dashboard, evidence, rollup
+from wardlog.operators.canonical import payload_hash
 from wardlog.plans.fixtures import (
     DIMENSIONS_CTE,
     EPOCH,
@@ -75,37 +76,42 @@ def observation_window(fx: Fixture):
 
 
 CUT_CTE = f"""{PROMOTED_CTE},
-ready AS (SELECT * FROM promoted WHERE observed_at < TIMESTAMP '2024-01-29 23:59:30'),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY observed_at, CAST(event_id AS BIGINT)) AS position,
-  min(observed_at) OVER (PARTITION BY source_id) AS earliest FROM ready),
-cut AS (SELECT * FROM ranked WHERE position <= 1000 AND observed_at < date_trunc('hour', earliest) + INTERVAL 744 HOUR)"""
+ready AS (SELECT *, floor((epoch(observed_at) - epoch(date_trunc('hour', min(observed_at) OVER (PARTITION BY source_id)))) / 2678400) AS stretch
+  FROM promoted WHERE observed_at < TIMESTAMP '2024-01-29 23:59:30'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, stretch ORDER BY observed_at, CAST(event_id AS BIGINT)) - 1 AS place FROM ready),
+firsts AS (SELECT source_id, stretch, coalesce(sum(k) OVER (PARTITION BY source_id ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source_id, stretch, (count(*) + 999) // 1000 AS k FROM ready GROUP BY ALL) x),
+cut AS (SELECT r.*, CAST(before + place // 1000 AS BIGINT) AS batch, place % 1000 + 1 AS position
+  FROM ranked r JOIN firsts f ON r.source_id = f.source_id AND r.stretch = f.stretch)"""
 WATERMARK = "2024-01-29 23:59:30"
 
 
 @add(
     "batch_cut",
-    f"WITH {CUT_CTE} SELECT source_id, event_id, position FROM cut",
+    f"WITH {CUT_CTE} SELECT source_id, event_id, batch, position FROM cut",
 )
 def batch_cut(fx: Fixture):
     cut = batching.batch_cut(fx.promoted, F.lit(WATERMARK).cast("timestamp"), 1000)
-    return cut.select("source_id", "event_id", F.col("position").cast("bigint").alias("position"))
+    return cut.select("source_id", "event_id", "batch", F.col("position").cast("bigint").alias("position"))
 
 
 @add(
     "build_batches",
     f"""WITH {CUT_CTE},
-    hourly AS (SELECT source_id, kind, source_ip, username, password, path, rules, date_trunc('hour', observed_at) AS hour, count(*) AS n,
+    hourly AS (SELECT source_id, batch, kind, source_ip, username, password, path, rules, date_trunc('hour', observed_at) AS hour, count(*) AS n,
       min(observed_at) AS first_at, max(observed_at) AS last_at FROM cut GROUP BY ALL),
-    records AS (SELECT source_id, kind, source_ip, username, password, path, rules, CAST(sum(n) AS BIGINT) AS count,
+    records AS (SELECT source_id, batch, kind, source_ip, username, password, path, rules, CAST(sum(n) AS BIGINT) AS count,
       regexp_replace(regexp_replace(strftime(min(first_at), '%Y-%m-%dT%H:%M:%S.%f'), '0+$', ''), '\\.$', '') || 'Z' AS first_observed_at,
       string_agg(concat(strftime(hour, '%Y-%m-%dT%H:%M:%SZ'), '=', n), ',' ORDER BY hour) AS hourly_buckets FROM hourly GROUP BY ALL)
-    SELECT source_id, '4' AS sequence, concat('hash-', source_id) AS previous_batch_hash,
-      CAST(row_number() OVER (PARTITION BY source_id ORDER BY encode(kind), encode(source_ip), encode(coalesce(username, path)),
+    SELECT source_id, CAST(4 + batch AS VARCHAR) AS sequence, CASE batch WHEN 0 THEN concat('hash-', source_id) ELSE 'chained' END AS previous_batch_hash,
+      CAST(row_number() OVER (PARTITION BY source_id, batch ORDER BY encode(kind), encode(source_ip), encode(coalesce(username, path)),
         encode(coalesce(password, '')), first_observed_at, rules) - 1 AS BIGINT) AS record_no,
       kind, source_ip, username, password, path, rules AS rule_ids, count, first_observed_at, hourly_buckets FROM records""",
 )
 def build_batches(fx: Fixture):
-    """Next batch of every sensor, at most 1,000 events, in record order."""
+    """All batches of every sensor, 1,000 events each, in record order. That the
+    hashes chain is checked here against their own computation; the oracle has
+    no canonical text to hash."""
     sensors = fx.promoted.select("source_id", "source_epoch").distinct()
     heads = sensors.withColumn("next_sequence", F.lit("4")).withColumn(
         "previous_hash", F.concat(F.lit("hash-"), "source_id")
@@ -113,8 +119,11 @@ def build_batches(fx: Fixture):
     batches = batching.build_batches(
         fx.promoted, heads, "2024-01-30T00:00:00Z", F.lit(WATERMARK).cast("timestamp"), "rules-v1", 1000
     )
-    rows = batches.select(
-        "source_id", "payload.sequence", "payload.previous_batch_hash", F.posexplode("payload.records").alias("record_no", "r")
+    hashed = batches.select("source_id", (F.col("batch") + 1).alias("batch"), payload_hash(F.col("payload")).alias("before"))
+    chained = (F.col("payload.previous_batch_hash") == F.col("before")) & (F.col("before") != batching.OPEN_HASH)
+    previous = F.when(F.col("before").isNull(), F.col("payload.previous_batch_hash")).when(chained, "chained").otherwise("broken")
+    rows = batches.join(hashed, ["source_id", "batch"], "left").select(
+        "source_id", "payload.sequence", previous.alias("previous_batch_hash"), F.posexplode("payload.records").alias("record_no", "r")
     )
     bucket = F.transform("r.hourly_buckets", lambda b: F.concat(b["hour"], F.lit("="), b["count"].cast("string")))
     return rows.select(
@@ -204,6 +213,24 @@ def top_n(fx: Fixture):
     return top.withColumn("period_start", shown("period_start")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@add(
+    "published_overflow",
+    f"""WITH {PROMOTED_CTE}, {DIMENSIONS_CTE},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY granularity, period_start, dimension ORDER BY cnt DESC, encode(value)) AS rank
+      FROM counts WHERE dimension <> 'sources')
+    SELECT granularity, {iso('period_start')} AS period_start, dimension, CAST(sum(CASE WHEN rank <= 5 THEN cnt ELSE 0 END) AS BIGINT) AS shown,
+      CAST(sum(CASE WHEN rank > 5 THEN cnt ELSE 0 END) AS BIGINT) AS overflow, CAST(sum(cnt) AS BIGINT) AS total FROM ranked GROUP BY ALL""",
+)
+def published_overflow(fx: Fixture):
+    """Of each period and dimension: what a top five shows, what it does not, and their sum."""
+    top, rest = rollup.published_values(rollup.period_dimensions(fx.buckets), 5)
+    sums = top.groupBy(*rollup.DIMENSION).agg(F.sum("count").alias("shown")).join(rest, rollup.DIMENSION, "left")
+    spilled = F.coalesce("overflow", F.lit(0)).alias("overflow")
+    return sums.select(
+        "granularity", shown("period_start").alias("period_start"), "dimension", "shown", spilled, (F.col("shown") + spilled).alias("total")
+    )
+
+
 CAP_CTE = f"""{PROMOTED_CTE}, {DIMENSIONS_CTE},
 firsts AS (SELECT granularity, period_start, dimension, value, CAST(sum(n) AS BIGINT) AS cnt,
   min(struct_pack(a := source_id, b := seq, c := kind, d := source_ip, e := val, f := pw, g := hour)) AS arrival FROM pdims GROUP BY ALL),
@@ -242,16 +269,24 @@ def cap_dimension(fx: Fixture):
       (SELECT granularity, period_start, dimension, value, cnt, 0 AS fresh, NULL AS arrival FROM held
        UNION ALL SELECT granularity, period_start, dimension, value, cnt, 1, arrival FROM after) u GROUP BY ALL),
     settled AS (SELECT *, row_number() OVER (PARTITION BY granularity, period_start, dimension ORDER BY fresh, arrival, value) AS place FROM both_)
-    SELECT granularity, {iso('period_start')} AS period_start, dimension, value, CAST(cnt AS BIGINT) AS count FROM settled WHERE place <= 20""",
+    SELECT granularity, {iso('period_start')} AS period_start, dimension, value, CAST(cnt AS BIGINT) AS count FROM settled WHERE place <= 20
+    UNION ALL SELECT granularity, {iso('period_start')}, dimension, '(overflow)', CAST(sum(cnt) AS BIGINT) FROM
+      (SELECT granularity, period_start, dimension, cnt FROM settled WHERE place > 20 UNION ALL SELECT granularity, period_start, dimension, cnt FROM
+        (SELECT *, row_number() OVER (PARTITION BY granularity, period_start, dimension ORDER BY arrival, value) AS place FROM before) y WHERE place > 20) z
+    GROUP BY ALL""",
 )
 def cap_dimension_with_state(fx: Fixture):
-    """Two runs: what the first twelve days hold keeps its place in the second."""
+    """Two runs: what the first twelve days hold keeps its place in the second.
+    The overflow of both runs is added, so every period and dimension sums to its total."""
     order = ["seq", "source_id", "kind", "source_ip", "val", "pw", "hour"]
     before = rollup.period_dimensions(fx.buckets.where("seq < 12"), arrival=order)
     after = rollup.period_dimensions(fx.buckets.where("seq >= 12"), arrival=order)
-    held, _ = rollup.cap_dimension(before, 20)
-    kept, _ = rollup.cap_dimension(after, 20, held)
-    return kept.withColumn("period_start", shown("period_start"))
+    held, spilled = rollup.cap_dimension(before, 20)
+    kept, more = rollup.cap_dimension(after, 20, held)
+    rest = rollup.merge_state(spilled, more).select(
+        *rollup.DIMENSION, F.lit("(overflow)").alias("value"), F.col("overflow").alias("count")
+    )
+    return kept.unionByName(rest).withColumn("period_start", shown("period_start"))
 
 
 TRIM_CTE = f"""{PROMOTED_CTE}, {DIMENSIONS_CTE},
@@ -521,21 +556,16 @@ def dashboard_source_kinds(fx: Fixture):
     )
 
 
-PUBLISHED_CTE = f"""{PROMOTED_CTE}, {DIMENSIONS_CTE},
-published AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY granularity, period_start, dimension ORDER BY cnt DESC, encode(value)) AS rank
-  FROM counts WHERE dimension <> 'sources') x WHERE rank <= 100)"""
-
-
 @add(
     "dashboard_ip_versions",
-    f"""WITH {PUBLISHED_CTE}, sums AS (SELECT CAST(sum(CASE WHEN contains(value, ':') THEN 0 ELSE cnt END) AS BIGINT) AS v4,
-      CAST(sum(CASE WHEN contains(value, ':') THEN cnt ELSE 0 END) AS BIGINT) AS v6 FROM published
+    f"""WITH {PROMOTED_CTE}, {DIMENSIONS_CTE}, sums AS (SELECT CAST(sum(CASE WHEN contains(value, ':') THEN 0 ELSE cnt END) AS BIGINT) AS v4,
+      CAST(sum(CASE WHEN contains(value, ':') THEN cnt ELSE 0 END) AS BIGINT) AS v6 FROM counts
       WHERE granularity = 'yearly' AND dimension = 'source_ips')
     SELECT 'ipv4' AS family, v4 AS count, CAST(CAST(round(v4 * 1000.0 / (v4 + v6)) AS BIGINT) AS VARCHAR) AS permille FROM sums
     UNION ALL SELECT 'ipv6', v6, CAST(CAST(round(v6 * 1000.0 / (v4 + v6)) AS BIGINT) AS VARCHAR) FROM sums""",
 )
 def dashboard_ip_versions(fx: Fixture):
-    out = dashboard.dashboard_ip_versions(rollup.top_n(rollup.period_dimensions(fx.buckets)))
+    out = dashboard.dashboard_ip_versions(rollup.period_dimensions(fx.buckets))
     return out.select(
         "family", "count", F.round(F.col("percent") * 10).cast("bigint").cast("string").alias("permille")
     )
@@ -543,12 +573,13 @@ def dashboard_ip_versions(fx: Fixture):
 
 @add(
     "dashboard_top_values",
-    f"""WITH {PUBLISHED_CTE}, added AS (SELECT dimension, value, CAST(sum(cnt) AS BIGINT) AS count FROM published WHERE granularity = 'yearly' GROUP BY ALL),
+    f"""WITH {PROMOTED_CTE}, {DIMENSIONS_CTE}, added AS (SELECT dimension, value, CAST(sum(cnt) AS BIGINT) AS count FROM counts
+      WHERE granularity = 'yearly' AND dimension <> 'sources' GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY count DESC, encode(value)) AS rank FROM added)
     SELECT dimension, value, count, rank FROM ranked WHERE rank <= 20""",
 )
 def dashboard_top_values(fx: Fixture):
-    out = dashboard.dashboard_top_values(rollup.top_n(rollup.period_dimensions(fx.buckets)))
+    out = dashboard.dashboard_top_values(rollup.period_dimensions(fx.buckets))
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 

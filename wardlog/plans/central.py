@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.config import LIMITS, NAMES, WireNames
+from wardlog.config import NAMES, WireNames
 from wardlog.functions.text import holds
 from wardlog.functions.times import parse_rfc3339, strict_utc
 from wardlog.operators.acceptance import (
@@ -21,7 +21,6 @@ from wardlog.operators.acceptance import (
 from wardlog.operators.canonical import decode_batches, verify_signatures
 from wardlog.operators.evidence import (
     build_deny_lists,
-    cap_evidence,
     evidence_facts,
     merge_evidence,
     prune_evidence,
@@ -29,15 +28,12 @@ from wardlog.operators.evidence import (
     with_deny_key,
 )
 from wardlog.operators.rollup import (
-    ARRIVAL,
-    cap_dimension,
     count_guard,
     drop_expired_hours,
     merge_state,
     period_dimensions,
     period_totals,
     record_buckets,
-    trim_periods,
 )
 from wardlog.operators.validate import (
     central_timing,
@@ -131,20 +127,18 @@ def next_heads(state: store.State, accepted: DataFrame, registry: DataFrame) ->
     return refresh_kinds(still.unionByName(moved), registry)
 
 
-def fold_rollups(state: store.State, buckets: DataFrame, now, cap: int = LIMITS.dimension_values):
-    """(totals, counts, overflow) after folding a run's buckets."""
+def fold_rollups(state: store.State, buckets: DataFrame, now):
+    """(totals, counts, overflow) after folding a run's buckets. Every value is
+    kept; what a publication does not show is derived there. Only hourly
+    periods expire. ``overflow`` carries on what an older state had spilled."""
     totals = drop_expired_hours(count_guard(merge_state(state.totals, period_totals(buckets)), "total"), now)
-    kept, spilled = cap_dimension(period_dimensions(buckets, arrival=list(ARRIVAL)), cap, state.counts)
-    counts, trimmed = trim_periods(count_guard(kept, "count"), now)
-    overflow = drop_expired_hours(
-        count_guard(merge_state(state.overflow, spilled, trimmed), "overflow"), now
-    )
-    return totals, counts, overflow
+    counts = drop_expired_hours(count_guard(merge_state(state.counts, period_dimensions(buckets)), "count"), now)
+    return totals, counts, drop_expired_hours(state.overflow, now)
 
 
 def fold_evidence(state: store.State, buckets: DataFrame, now) -> DataFrame:
     events = qualifying_events(with_deny_key(buckets), ["source_epoch", "seq"])
-    return prune_evidence(cap_evidence(merge_evidence(state.evidence, evidence_facts(events))), now)
+    return prune_evidence(merge_evidence(state.evidence, evidence_facts(events)), now)
 
 
 def run_ingest(
@@ -202,6 +196,7 @@ def run_ingest(
     refused = statuses.where(~F.col("status").isin("accepted", "replay"))
     write(files.join(refused.select("file"), "file", "left_semi") if park else state.parked, "parked")
     store.append_accepted(accepted, root, version)
+    store.append_rejects(refused.withColumn("reason", F.col("status")), root, version)
 
     created = F.col("created_at")
     newest = accepted.select(created, parse_rfc3339(created).alias("t")).agg(
@@ -213,9 +208,10 @@ def run_ingest(
         write_rollups(totals, counts, heads, updated_at, f"{outputs}/rollups", names)
         entries = quarantine_entries(refused.withColumn("reason", F.col("status")))
         write_quarantine(entries, now, updated_at, f"{outputs}/quarantine.json", names)
-    store.commit_state(spark, root, version, run_key, updated_at)
+    # Before the pointer: a run that dies in between is made again and writes it again.
     if manifest:
         write_manifest(statuses, manifest, names)
+    store.commit_state(spark, root, version, run_key, updated_at)
     accepted_n, replayed_n = tally.get("accepted", 0), tally.get("replay", 0)
     return IngestResult(version, accepted_n, replayed_n, sum(tally.values()) - accepted_n - replayed_n)
 

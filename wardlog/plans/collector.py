@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, RuleConfig, WireNames
-from wardlog.operators.batching import SENSOR, batch_cut, batch_headers, assemble_payloads, size_halving
+from wardlog.operators.batching import SENSOR, assemble_batches, batch_cut, batch_headers, size_split
 from wardlog.operators.canonical import with_identity
 from wardlog.operators.classify import promote
 from wardlog.operators.events import with_content_hash
+from wardlog.session import stage_table
 from wardlog.sources.lines import flat_observations, parse_logs, split_rejects
 
 EVENT_COLUMNS = (
@@ -75,21 +76,19 @@ def pump(
     classifier_version: str,
     names: WireNames = NAMES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(next batch of every sensor, event assignments).
+    """(all batches of the events that wait, event assignments).
 
     ``assigned`` (event_id, source_id, source_epoch, sequence) says which
     events are in a batch already. Late events are not dropped: they are
-    simply still unassigned. Callers append the assignments and advance the
-    heads with the batches, then call again until no batch comes back.
+    simply still unassigned. One call empties the backlog; callers append the
+    assignments and advance the heads to each sensor's last batch.
     """
     hour, watermark = hour_and_watermark(now)
     created_at = hour.strftime("%Y-%m-%dT%H:%M:%SZ")
     waiting = events.join(assigned.select("event_id"), "event_id", "left_anti")
-    cut = batch_cut(waiting, instant(watermark), LIMITS.batch_records)
-    kept = size_halving(cut, heads, created_at, classifier_version, names)
-    headers = batch_headers(kept, heads, created_at)
-    batches = with_identity(assemble_payloads(kept, headers, SENSOR, classifier_version, names), names)
-    assignments = kept.join(headers.select(*SENSOR, "sequence"), SENSOR).select(
-        "event_id", *SENSOR, "sequence"
-    )
+    cut = stage_table(batch_cut(waiting, instant(watermark), LIMITS.batch_records), "cut")
+    cut = stage_table(size_split(cut, created_at, classifier_version, names), "split")
+    batches = with_identity(assemble_batches(cut, heads, created_at, classifier_version, names), names)
+    sequences = batch_headers(cut, heads, created_at).select(*SENSOR, "batch", "sequence")
+    assignments = cut.join(sequences, [*SENSOR, "batch"]).select("event_id", *SENSOR, "sequence")
     return batches, assignments

@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -82,12 +81,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only when the table is known to have at most ``rows``
-    rows; a larger one is left to the adaptive planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The identity of a streaming query, from its checkpoint. A new
     checkpoint numbers its micro-batches from zero again, so commit names need

@@ -1,6 +1,6 @@
 """Versioned central state on plain Parquet.
 
-Layout below the root: ``accepted/run=N`` grows by one folder per run;
+Layout below the root: ``accepted/run=N`` and ``rejects/run=N`` grow by one folder per run;
 ``versions/N/<table>`` holds the folded tables of run N; ``CURRENT`` names the
 last complete run. Readers follow CURRENT, so a run that dies half-way leaves
 nothing visible, and its folders are overwritten by the retry. One writer.
@@ -106,6 +106,27 @@ def append_accepted(df: DataFrame, root: str, version: int) -> None:
     df.select(*schemas.ACCEPTED.fieldNames()).write.mode("overwrite").parquet(f"{root}/accepted/run={version}")
 
 
+REJECTS = ("file", "sha256", "bytes", "reason")
+
+
+def append_rejects(df: DataFrame, root: str, version: int) -> None:
+    """All refused files of a run with their reasons."""
+    df.select(*REJECTS).write.mode("overwrite").parquet(f"{root}/rejects/run={version}")
+
+
+def load_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """Refused files of the committed runs."""
+    version = _read_pointer(spark, root)["version"]
+    if version == 0:
+        return spark.createDataFrame([], "file string, sha256 string, bytes bigint, reason string, run int")
+    return spark.read.parquet(f"{root}/rejects").where(F.col("run") <= version)
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """Refused files per run and reason."""
+    return rejects.groupBy("run", "reason").agg(F.count("*").alias("files"))
+
+
 def commit_state(spark: SparkSession, root: str, version: int, run_key: str, updated_at: str | None) -> None:
     """Make a fully written version current: the last step of a run."""
     _write_pointer(spark, root, {"version": version, "run_key": run_key, "updated_at": updated_at})
