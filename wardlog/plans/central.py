@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.config import NAMES, WireNames
+from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.functions.text import holds
-from wardlog.functions.times import parse_rfc3339, strict_utc
+from wardlog.functions.times import days, parse_rfc3339, strict_utc
 from wardlog.operators.acceptance import (
     accept_chain,
     chain_heads,
@@ -141,6 +141,19 @@ def fold_evidence(state: store.State, buckets: DataFrame, now) -> DataFrame:
     return prune_evidence(merge_evidence(state.evidence, evidence_facts(events)), now)
 
 
+# Reasons that a later run may find gone; any other is final.
+HEALING = ("sequence_gap", "hash_chain_mismatch", "invalid_time", "unregistered_source", "unregistered_key")
+
+
+def next_parked(files: DataFrame, refused: DataFrame, parked: DataFrame, now) -> DataFrame:
+    """Refused files worth another try, with the time they were first parked;
+    after 30 days they are given up, so a hostile sender cannot grow the state."""
+    again = refused.where(F.col("status").isin(*HEALING)).select("file")
+    known = parked.select("file", "since")
+    rows = files.join(again, "file", "left_semi").join(known, "file", "left")
+    return rows.withColumn("since", F.coalesce("since", now)).where(F.col("since") > now - days(LIMITS.persistent_days))
+
+
 def run_ingest(
     spark: SparkSession,
     files: DataFrame,
@@ -158,8 +171,8 @@ def run_ingest(
     """One central run. ``now`` is RFC 3339 UTC text.
 
     Idempotent: a run key that is already committed does nothing and returns
-    None. With ``park`` rejected files are kept in the state and, with
-    ``retry_parked``, tried again, because a stream shows every file once while
+    None. With ``park`` rejected files that may heal are kept in the state and,
+    with ``retry_parked``, tried again, because a stream shows every file once while
     a batch run scans the input folder anew each time.
     """
     state = store.load_state(spark, root)
@@ -170,7 +183,7 @@ def run_ingest(
     version = state.version + 1
     instant = F.lit(now).cast("timestamp")
     if retry_parked:
-        files = files.unionByName(state.parked.join(files.select("file"), "file", "left_anti"))
+        files = files.unionByName(state.parked.drop("since").join(files.select("file"), "file", "left_anti"))
     if park:
         files = store.stage(files, root, version, "files")
     checked = store.stage(check_envelopes(files, registry, now, names), root, version, "checked")
@@ -194,7 +207,7 @@ def run_ingest(
     write(fold_evidence(state, buckets, instant), "evidence")
     heads = write(next_heads(state, accepted, registry), "heads")
     refused = statuses.where(~F.col("status").isin("accepted", "replay"))
-    write(files.join(refused.select("file"), "file", "left_semi") if park else state.parked, "parked")
+    write(next_parked(files, refused, state.parked, instant) if park else state.parked, "parked")
     store.append_accepted(accepted, root, version)
     store.append_rejects(refused.withColumn("reason", F.col("status")), root, version)
 

@@ -43,7 +43,14 @@ def collect_events(
 ) -> tuple[DataFrame, DataFrame]:
     """(promoted events with content hash, rejects). Narrow from the lines to
     the events: no shuffle before the store's own deduplication."""
-    good, rejects = split_rejects(parse_logs(lines_by_format))
+    return promoted_events(parse_logs(lines_by_format), source_id, source_epoch, rules)
+
+
+def promoted_events(
+    parsed: DataFrame, source_id: str, source_epoch: str, rules: RuleConfig = RuleConfig()
+) -> tuple[DataFrame, DataFrame]:
+    """The same from parsed lines."""
+    good, rejects = split_rejects(parsed)
     promoted = promote(flat_observations(good), rules)
     events = (
         with_content_hash(promoted)

@@ -28,6 +28,7 @@ HEADS = (
     .add("previous_hash", "string")
 )
 FILES = T.StructType().add("file", "string").add("bytes", "long").add("content", "binary")
+PARKED = T.StructType(list(FILES.fields)).add("since", "timestamp")
 
 TABLES: dict[str, T.StructType] = {
     "heads": HEADS,
@@ -35,7 +36,7 @@ TABLES: dict[str, T.StructType] = {
     "counts": schemas.PERIOD_COUNTS,
     "overflow": schemas.PERIOD_OVERFLOW,
     "evidence": schemas.EVIDENCE,
-    "parked": FILES,
+    "parked": PARKED,
 }
 
 

@@ -45,6 +45,7 @@ def start_ingest(
     outputs: str | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     once: bool = True,
+    manifest: str | None = None,
 ) -> StreamingQuery:
     """Fold each micro-batch into the state, once: the run key is the
     stream's id and the micro-batch's number, so a repeated micro-batch finds itself committed.
@@ -54,7 +55,7 @@ def start_ingest(
     def fold(batch: DataFrame, batch_id: int) -> None:
         now = clock().strftime("%Y-%m-%dT%H:%M:%SZ")
         run_key = f"{stream_id(spark, checkpoint)}-{batch_id}"
-        run_ingest(spark, batch, registry, root, now, run_key, names, outputs, retry_parked=True, park=True)
+        run_ingest(spark, batch, registry, root, now, run_key, names, outputs, manifest, retry_parked=True, park=True)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()

@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from wardlog.config import RuleConfig
 from wardlog.functions.times import utc_date
 from wardlog.operators.events import dedup_events, event_collisions
-from wardlog.plans.collector import collect_events
-from wardlog.session import stream_id
+from wardlog.plans.collector import promoted_events
+from wardlog.session import stage_table, stream_id
 from wardlog.sources.files import path_exists
-from wardlog.sources.lines import line_cursors, relative_path
+from wardlog.sources.lines import line_cursors, parse_logs, relative_path
 
 
 def stream_logs(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
@@ -70,7 +70,9 @@ def start_collector(
 
     def commit_batch(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if "cursor" in batch.columns else line_cursors(batch)
-        events, rejects = collect_events({log_format: numbered}, source_id, source_epoch, rules)
+        # Events, collisions and rejects all come from one parse.
+        parsed = stage_table(parse_logs({log_format: numbered}), "parsed")
+        events, rejects = promoted_events(parsed, source_id, source_epoch, rules)
         commit = f"{stream_id(events.sparkSession, checkpoint)}-{batch_id}"
         store_events(events, store, commit)
         rejects.write.mode("overwrite").parquet(f"{store}/rejects/commit={commit}")
