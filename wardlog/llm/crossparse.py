@@ -10,9 +10,9 @@ The walk is vectorised: a text is read whole, in blocks of ``BLOCK`` symbols
 (a phrase ends at a block's end, the same for every language), and all blocks of
 a batch step through the automaton's table together.
 
-The sample is ``SAMPLE_CHARS`` characters per language at most, from the
-``SAMPLE_DOCS`` labelled documents with the smallest hash of their id, and at
-most ``DOC_CHARS`` of each. Only this fits the classifier; every text is
+The sample is ``SAMPLE_CHARS`` characters per language at most, from
+``SAMPLE_DOCS`` labelled documents, those with the smallest hash of their id in
+each of as many classes, and at most ``DOC_CHARS`` of each. Only this fits the classifier; every text is
 predicted whole, from nothing but itself.
 
 Defined cases: ``und`` with score 0 if the text is null or has no letter, or if
@@ -29,13 +29,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.llm.common import per_worker, remainder, small_batches
 
 SAMPLE_CHARS = 40_000
-SAMPLE_DOCS = 60
+SAMPLE_DOCS = 64
 DOC_CHARS = 3_000
 BLOCK = 512
 #: Symbols: 0 for anything but a letter, then the commonest letters, then one
@@ -185,14 +185,13 @@ class CrossParser:
 def training_samples(docs: DataFrame, held_out: tuple[int, int] | None = (4, 2)) -> dict[str, str]:
     """A bounded sample of labelled text per language. Rows whose crc32(doc_id)
     modulo held_out[0] is held_out[1] are never read. Ids are chosen from narrow
-    rows first: each task keeps SAMPLE_DOCS per language at most."""
+    rows first, by a grouped minimum that every task reduces for itself."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if held_out:
         rows = rows.where(remainder("doc_id", held_out[0]) != held_out[1])
-    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
-    ids = [r.doc_id for r in ranked.select("doc_id").distinct().collect()]
+    h = F.xxhash64("doc_id").alias("h")
+    chosen = rows.groupBy("lang", F.pmod(h, F.lit(SAMPLE_DOCS))).agg(F.min(F.struct(h, "doc_id")).alias("least"))
+    ids = [r.doc_id for r in chosen.select("least.doc_id").distinct().collect()]
     parts: dict[str, list[str]] = {}
     some = rows.where(F.col("doc_id").isin(ids)) if ids else rows.limit(0)
     cut = some.select("lang", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))
