@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this the engine plans no per-task limit of its own for row_number.
-ENGINE_LIMIT = 1_000
-SALTS = 64
-
 
 def bounded_top(
     df: DataFrame,
@@ -20,19 +16,19 @@ def bounded_top(
 ) -> DataFrame:
     """The first ``n`` rows of each group in a total order.
 
-    Up to 1,000 rows the engine limits each task's share of a group before the
-    shuffle. Beyond that the group is first cut within salted slices, so the
-    last step sees at most ``SALTS * n`` rows however large the group is.
+    A group is first cut within slices, as many as the session's shuffle
+    partitions, so that a hot group is ranked by the whole cluster; the last
+    step sees at most ``n`` rows of each slice. The plan is the same for any n.
     """
     column = rank or "_rank"
-    if n > ENGINE_LIMIT:
-        df = df.withColumn("_slice", F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)))
-        sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (
-            df.withColumn("_rank", F.row_number().over(sliced))
-            .where(F.col("_rank") <= n)
-            .drop("_rank", "_slice")
-        )
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    cut = (
+        df.withColumn("_slice", F.pmod(F.xxhash64(*salt_on), F.lit(slices)))
+        .withColumn("_rank", F.row_number().over(sliced))
+        .where(F.col("_rank") <= n)
+        .drop("_rank", "_slice")
+    )
     whole = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)
-    df = df.withColumn(column, F.row_number().over(whole)).where(F.col(column) <= n)
-    return df if rank else df.drop(column)
+    ranked = cut.withColumn(column, F.row_number().over(whole)).where(F.col(column) <= n)
+    return ranked if rank else ranked.drop(column)
