@@ -118,7 +118,7 @@ def write_planes(
             row |= dict(doc_ids=names, lengths=lengths, blocks=pack_blocks(b"".join(held), plane, block_ids, press))
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
-        for batch in small_batches(batches, 4096, 6 << 20):
+        for batch in small_batches(batches, 4096, 12 << 20):
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_bytes(batch.column(1)), strict=True):
                 n = len(ids) // 4 + 1
                 names.append(doc)
