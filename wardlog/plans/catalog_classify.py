@@ -204,8 +204,8 @@ def event_collisions(fx: Fixture):
     f"""WITH {PROMOTED_CTE} SELECT event_id FROM obs WHERE event_id NOT IN (SELECT event_id FROM promoted)""",
 )
 def except_seen(fx: Fixture):
-    """Observations that were not promoted: a plain anti-join on the id."""
-    return fx.obs.join(fx.promoted.select("event_id"), "event_id", "left_anti").select("event_id")
+    """Observations that were not promoted, each given twice."""
+    return events.dedup_events(fx.obs.unionAll(fx.obs), fx.promoted, F.col("observed_at")).select("event_id")
 
 
 @add(
@@ -254,21 +254,27 @@ def deny_key(fx: Fixture):
 
 @add(
     "canonical_ip",
-    f"""WITH {OBS_CTE} SELECT event_id, source_ip AS plain, source_ip AS mapped, CAST(NULL AS VARCHAR) AS zoned FROM obs""",
+    f"""WITH {OBS_CTE} SELECT event_id, source_ip AS plain, source_ip AS mapped, CAST(NULL AS VARCHAR) AS zoned, CAST(NULL AS VARCHAR) AS malformed FROM obs""",
 )
 def canonical_ip(fx: Fixture):
-    """Canonical text from the plain, the mapped or padded upper-case, and the
-    zoned spelling of each address."""
+    """Canonical text from the plain, the mapped or padded upper-case, the zoned
+    and a malformed spelling of each address."""
     ip = F.col("source_ip")
     v6 = F.contains(ip, F.lit(":"))
     spelled = F.when(v6, F.upper(F.replace(ip, F.lit("::"), F.lit(":0:0:0:000")))).otherwise(
         F.concat(F.lit("::FFFF:"), ip)
     )
+    event = F.col("event_id")
+    malformed = (
+        F.when(event % 5 == 0, F.concat(ip, F.lit(".1"))).when(event % 5 == 1, F.concat(F.lit("0"), ip))
+        .when(event % 5 == 2, F.concat(ip, F.lit(" "))).when(event % 5 == 3, F.lit("")).otherwise(F.concat(ip, F.lit("::g")))
+    )
     return fx.obs.select(
         "event_id",
         addresses.canonical_ip(ip).alias("plain"),
         addresses.canonical_ip(spelled).alias("mapped"),
         addresses.canonical_ip(F.concat(ip, F.lit("%eth0"))).alias("zoned"),
+        addresses.canonical_ip(malformed).alias("malformed"),
     )
 
 
@@ -363,18 +369,30 @@ def safe_file_name(fx: Fixture):
 
 @add(
     "identity_rules",
-    f"""WITH {PROMOTED_CTE} SELECT event_id,
-      regexp_full_match(source_id, '[a-z0-9](?:[a-z0-9._-]{{0,62}}[a-z0-9])?') AS source_ok,
-      regexp_full_match(CAST(event_id AS VARCHAR), '0|[1-9][0-9]{{0,18}}') AS sequence_ok,
-      true AS rules_ok, contains(rules, ',') = false AS reversed_ok FROM promoted""",
+    f"""WITH {PROMOTED_CTE}, spoiled AS (SELECT event_id, rules,
+      CASE event_id % 7 WHEN 1 THEN upper(source_id) WHEN 2 THEN concat('-', source_id) WHEN 3 THEN concat(source_id, '.')
+        WHEN 4 THEN repeat('a', 65) WHEN 5 THEN '' WHEN 6 THEN repeat('a', 64) ELSE source_id END AS source,
+      CASE event_id % 5 WHEN 1 THEN concat('0', event_id) WHEN 2 THEN concat('-', event_id) WHEN 3 THEN '' WHEN 4 THEN concat(event_id, chr(10))
+        ELSE CAST(event_id AS VARCHAR) END AS seq FROM promoted)
+    SELECT event_id, regexp_full_match(source, '[a-z0-9](?:[a-z0-9._-]{{0,62}}[a-z0-9])?') AS source_ok,
+      regexp_full_match(seq, '0|[1-9][0-9]{{0,18}}') AS sequence_ok,
+      event_id % 3 <> 1 AS rules_ok, contains(rules, ',') = false AS reversed_ok FROM spoiled""",
 )
 def identity_rules(fx: Fixture):
-    """Identity, sequence and rule-id predicates over the promoted events."""
+    """Identity, sequence and rule-id predicates over the promoted events, most of them spoiled in some way."""
+    event, source, number = F.col("event_id"), F.col("source_id"), F.col("event_id").cast("string")
+    spoiled = {
+        1: F.upper(source), 2: F.concat(F.lit("-"), source), 3: F.concat(source, F.lit(".")),
+        4: F.lit("a" * 65), 5: F.lit(""), 6: F.lit("a" * 64),
+    }
+    sequences = {1: F.concat(F.lit("0"), number), 2: F.concat(F.lit("-"), number), 3: F.lit(""), 4: F.concat(number, F.lit("\n"))}
+    pick = lambda n, cases, rest: F.coalesce(*[F.when(event % n == k, v) for k, v in cases.items()], rest)
+    rules = F.when(event % 3 == 1, F.array_append("rule_ids", F.lit("HTTP/Upper"))).otherwise(F.col("rule_ids"))
     return fx.promoted.select(
         "event_id",
-        text.valid_identity(F.col("source_id"), F.col("source_epoch")).alias("source_ok"),
-        text.valid_sequence(F.col("event_id").cast("string")).alias("sequence_ok"),
-        text.valid_rule_ids(F.col("rule_ids")).alias("rules_ok"),
+        text.valid_identity(pick(7, spoiled, source), F.col("source_epoch")).alias("source_ok"),
+        text.valid_sequence(pick(5, sequences, number)).alias("sequence_ok"),
+        text.valid_rule_ids(rules).alias("rules_ok"),
         text.valid_rule_ids(F.reverse("rule_ids")).alias("reversed_ok"),
     )
 
