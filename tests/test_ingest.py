@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardlog import schemas
 from wardlog.config import WireNames
 from wardlog.operators import acceptance, canonical
+from wardlog.plans import central
 from wardlog.plans.central import check_state, publish_deny_lists, run_ingest
 from wardlog.sinks.documents import write_envelopes
 from wardlog.sinks.state import State, load_rejects, load_state, reject_counts
@@ -170,6 +171,34 @@ def test_stream_equals_batch_and_retries_parked_files(spark, tmp_path):
     assert streamed.accepted.count() == batch.accepted.count() == 7
 
 
+def test_a_run_that_dies_before_the_pointer_is_made_again(spark, tmp_path, monkeypatch):
+    registry = read_sources(spark, tmp_path, {"source_id": "sensor-one"})
+    write_files(tmp_path / "in", *chain(2))
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(central.store, "commit_state", die)
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest(spark, tmp_path, registry)
+    blobs = json.loads((tmp_path / "out/manifest.json").read_text())["blobs"]
+    assert len(blobs) == 2 and load_state(spark, str(tmp_path / "state")).version == 0
+    monkeypatch.undo()
+    assert ingest(spark, tmp_path, registry).accepted == 2
+    assert json.loads((tmp_path / "out/manifest.json").read_text())["blobs"] == blobs
+
+
+def test_only_files_that_may_heal_are_parked_and_not_for_ever(spark):
+    files = spark.createDataFrame([(n, 1, bytearray(b"x")) for n in "abcd"], "file string, bytes long, content binary")
+    reasons = [("a", "sequence_gap"), ("b", "invalid_signature"), ("c", "unregistered_key"), ("d", "invalid_time")]
+    refused = spark.createDataFrame(reasons, "file string, status string")
+    since = "timestamp'2026-08-01 00:00:00Z'"
+    parked = files.where("file in ('c', 'd')").selectExpr("*", f"if(file = 'c', {since}, timestamp'2026-09-01 00:00:00Z') as since")
+    now = F.lit("2026-09-10T00:00:00Z").cast("timestamp")
+    rows = {r.file: r.day for r in central.next_parked(files, refused, parked, now).selectExpr("file", "unix_date(date(since)) as day").collect()}
+    assert rows == {"a": 20706, "d": 20697}
+
+
 def test_outbox_never_replaces_other_bytes(spark, tmp_path):
     def rows(*named):
         return spark.createDataFrame(
