@@ -25,13 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import small_batches, texts, word_encoder
+from wardlog.llm.common import CACHE_WORDS, small_batches, texts, word_encoder
 from wardlog.session import stage_table
 
 LENGTH = 4096
 WINDOWS = 64
-#: Words kept per worker, about 100 MB.
-CACHE = 500_000
 #: Partitions whose leftovers are merged in one task: 8 x 64 windows at most.
 MERGE = 8
 #: Sequence ids: partition and counter for those emitted, above this bit for merged leftovers.
@@ -111,15 +109,19 @@ def pack(
     length: int = LENGTH,
     windows: int = WINDOWS,
     keep_ids: bool = True,
+    cache: int = CACHE_WORDS,
+    batch_bytes: int = 12 << 20,
 ) -> DataFrame:
     """Sequences of at most ``length`` ids; without ``keep_ids`` the ids are not
-    carried along. The first pass is staged, so that texts are tokenised once."""
+    carried along. The first pass is staged, so that texts are tokenised once.
+    ``cache`` words and ``batch_bytes`` of text bound a worker's memory; they
+    change the time it takes, never the result."""
     end = np.array([end_id], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = word_encoder(tokenizer, CACHE), TaskContext.get().partitionId()
+        encoder, part = word_encoder(tokenizer, cache), TaskContext.get().partitionId()
         open_, sequence, step = Windows(length, windows), part << 36, 4 * length
-        for batch in small_batches(batches, 4096, 6 << 20):
+        for batch in small_batches(batches, 4096, batch_bytes):
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_bytes(batch.column(1)), strict=True):
                 ids += end
