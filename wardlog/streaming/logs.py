@@ -10,7 +10,7 @@ from wardlog.config import RuleConfig
 from wardlog.functions.times import utc_date
 from wardlog.operators.events import dedup_events, event_collisions
 from wardlog.plans.collector import promoted_events
-from wardlog.session import stage_table, stream_id
+from wardlog.session import staged_table, stream_id
 from wardlog.sources.files import path_exists
 from wardlog.sources.lines import line_cursors, parse_logs, relative_path
 
@@ -71,11 +71,11 @@ def start_collector(
     def commit_batch(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if "cursor" in batch.columns else line_cursors(batch)
         # Events, collisions and rejects all come from one parse.
-        parsed = stage_table(parse_logs({log_format: numbered}), "parsed")
-        events, rejects = promoted_events(parsed, source_id, source_epoch, rules)
-        commit = f"{stream_id(events.sparkSession, checkpoint)}-{batch_id}"
-        store_events(events, store, commit)
-        rejects.write.mode("overwrite").parquet(f"{store}/rejects/commit={commit}")
+        with staged_table(parse_logs({log_format: numbered}), "parsed") as parsed:
+            events, rejects = promoted_events(parsed, source_id, source_epoch, rules)
+            commit = f"{stream_id(events.sparkSession, checkpoint)}-{batch_id}"
+            store_events(events, store, commit)
+            rejects.write.mode("overwrite").parquet(f"{store}/rejects/commit={commit}")
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(commit_batch)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 seconds")).start()
