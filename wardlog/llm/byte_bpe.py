@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from wardlog.llm.common import per_worker, small_batches, texts
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 CACHE_PIECE_CHARS = 48
 NONE = 1 << 62
 SHIFT = 40
@@ -73,24 +73,27 @@ class ByteBpe:
             k = after[j]
             parts[i] = joined = parts[i] + parts[j]
             after[i] = k
-            changes = [(j, NONE)] if j < n - 1 else []
             if k < n:
                 before[k] = i
                 rank = ranks.get(joined + parts[k])
-                changes.append((i, NONE if rank is None else rank << SHIFT | i))
-            else:
-                changes.append((i, NONE))
+                changes = [(i, NONE if rank is None else rank << SHIFT | i), (j, NONE)]
+            else:  # the last position has no leaf
+                changes = [(i, NONE)] if j == n - 1 else [(i, NONE), (j, NONE)]
             h = before[i]
             if h >= 0:
                 rank = ranks.get(parts[h] + joined)
                 changes.append((h, NONE if rank is None else rank << SHIFT | h))
             for leaf, value in changes:
                 at = size + leaf
+                if tree[at] == value:
+                    continue
                 tree[at] = value
                 at >>= 1
                 while at:
-                    left, right = tree[2 * at], tree[2 * at + 1]
-                    least = left if left < right else right
+                    least = tree[2 * at]
+                    right = tree[2 * at + 1]
+                    if right < least:
+                        least = right
                     if tree[at] == least:
                         break
                     tree[at] = least
