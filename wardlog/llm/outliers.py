@@ -12,8 +12,9 @@ takes ``STEPS`` concentration steps, each keeping the ``SHARE`` of a group with
 the smallest Mahalanobis distance. A step is one aggregation by group and
 distance bin, so no group meets in one task and the same rows are kept however
 the data are dealt. Directions in which a group hardly varies get the variance
-``FLOOR``. Distances are scaled so that their median is that of the chi-squared
-law, and a document beyond ``CUT`` is rejected.
+``FLOOR``. Where the median of the distances is above that of the chi-squared law
+the covariance is widened by as much, the floors are not, and a document beyond
+``CUT`` is rejected. Each coordinate alone can reject.
 
 Defined cases: a null text has no word and fails the base rules; null language
 or source are values of their own; where no document passes the base rules none
@@ -44,11 +45,13 @@ MIN_ROWS = 500
 SHARE = 0.75
 STEPS = 3
 #: Standard deviations below which a direction counts as constant: of the log
-#: of word length, and of the square roots of the three rates.
-FLOOR = (0.05, 0.05, 0.1, 0.1)
-#: Squared distance of rejection. The upper 1e-9 of chi-squared with 4 degrees
-#: is 47; rates are discrete and have longer tails than the normal law.
-CUT = 100.0
+#: of word length, and of the square roots of the three rates. The rates of
+#: repeats move in steps: a text of three lines with one repeat, or of 91 words
+#: (a tenth of sf0.1 is shorter) with a window found twice, stays within ``CUT``;
+#: half of the lines, or a quarter of the words, is beyond it.
+FLOOR = (0.05, 0.05, 0.1, 0.07)
+#: Squared distance of rejection: the upper 1e-9 of chi-squared with 4 degrees.
+CUT = 47.9
 CHI_MEDIAN = 3.3567
 BINS = 8
 D = 4
@@ -157,7 +160,8 @@ def _bin(d2: Column) -> Column:
 
 
 def _invert(moments: DataFrame) -> DataFrame:
-    """(group, c0.., p00..) from count, sums s_i and products q_ij; a row per group."""
+    """(group, c0.., p00..) from count, sums s_i, products q_ij and, if there, the
+    factor ``wider`` of the covariance; a row per group."""
     schema = "group string, " + ", ".join([f"c{k} double" for k in range(D)] + [f"p{i}{j} double" for i, j in PAIRS])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +172,7 @@ def _invert(moments: DataFrame) -> DataFrame:
                 cov = np.zeros((D, D))
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = row[f"q{i}{j}"] / row["m"] - mean[i] * mean[j]
-                inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
+                inverse = np.linalg.inv(cov * row.get("wider", 1.0) + np.diag(np.square(FLOOR)))
                 out.append([row["group"], *mean, *(inverse[i, j] for i, j in PAIRS)])
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -176,7 +180,7 @@ def _invert(moments: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(group, rows, c0.., p00.., median): robust estimates of every group of ``rows`` (group, x0..)."""
+    """(group, rows, c0.., p00..): robust estimates of every group of ``rows`` (group, x0..)."""
     x = [F.col(v) for v in VECTOR]
     centers = stage_table(_wide(_medians(rows, x, 0.01), "median", "c"), "outliers")
     away = rows.join(centers, "group")
@@ -190,11 +194,14 @@ def estimates(rows: DataFrame) -> DataFrame:
         cells = near.groupBy("group", "bin").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in sums.items()))
         kept = _upto(cells, ["group"], "bin", SHARE)
         moments = kept.groupBy("group").agg(F.sum("n").alias("m"), *(F.sum(k).alias(k) for k in sums))
+        moments = stage_table(moments, "outliers")
         model = stage_table(_invert(moments), "outliers")
     counts = rows.join(model, "group").groupBy("group", _bin(distance()).alias("bin")).agg(F.count("*").alias("n"))
     middle = F.pow(F.lit(2.0), (F.max("bin") + 1) / BINS)
-    sizes = _upto(counts, ["group"], "bin", 0.5).groupBy("group").agg(F.max("all").alias("rows"), middle.alias("median"))
-    return stage_table(model.join(sizes, "group"), "outliers")
+    wider = F.greatest(middle / CHI_MEDIAN, F.lit(1.0)).alias("wider")
+    sizes = _upto(counts, ["group"], "bin", 0.5).groupBy("group").agg(F.max("all").alias("rows"), wider)
+    sizes = stage_table(sizes, "outliers")
+    return stage_table(_invert(moments.join(sizes, "group")).join(sizes.drop("wider"), "group"), "outliers")
 
 
 def _group(level: int) -> Column:
@@ -204,12 +211,12 @@ def _group(level: int) -> Column:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The statistics of every row with ``distance`` (squared, scaled) and ``kept``."""
+    """The statistics of every row with ``distance`` (squared) and ``kept``."""
     stats = stage_table(vectors(statistics(docs)), "quality")
     good = stats.where(~F.col("base_failed"))
     levels = F.explode(F.array(*(_group(k) for k in range(3)))).alias("group")
     models = estimates(good.select(levels, *VECTOR))
-    fields = [*(f"c{k}" for k in range(D)), *(f"p{i}{j}" for i, j in PAIRS), "median"]
+    fields = [*(f"c{k}" for k in range(D)), *(f"p{i}{j}" for i, j in PAIRS)]
     out = stats
     for level in range(3):
         some = models if level == 2 else models.where(F.col("rows") >= MIN_ROWS)
@@ -217,9 +224,8 @@ def judge(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"g{level}", _group(level)).join(own, f"g{level}", "left")
     best = F.coalesce("m0", "m1", "m2")
     out = out.withColumns({f: best[f] for f in fields})
-    scaled = distance() / F.greatest(F.col("median") / CHI_MEDIAN, F.lit(1.0))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = ~F.col("base_failed") & (F.col("distance") <= CUT)
-    return out.withColumn("distance", scaled).select(
+    return out.withColumn("distance", distance()).select(
         "doc_id", *counts, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance"
     )
