@@ -51,6 +51,18 @@ def test_clean_texts_stay(verdicts):
     assert all(verdicts[i].kept for i in range(600))
 
 
+def test_sources_are_judged_by_their_own_style(spark):
+    """Seventy texts full of symbols, all of one source, are no outliers in it but are in their language."""
+    draw = np.random.default_rng(12)
+    rows = [(i, lines(words(draw, draw.integers(40, 90))), "en", "prose", 0) for i in range(300)]
+    style = lambda: lines([f"{w}#" if draw.random() < 0.6 else w for w in words(draw, 60)])
+    rows += [(1000 + i, style(), "en", "tables", 0) for i in range(70)]
+    rows += [(2000 + i, style(), "en", "prose", 0) for i in range(3)]
+    kept = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()}
+    assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(70))
+    assert not any(kept[2000 + i] for i in range(3))
+
+
 def test_one_repeat_of_few_does_not_reject():
     """A repeated line of three, and a window found twice in 91 words, are within the floors' reach."""
     assert 1 / 3 / outliers.FLOOR[2] ** 2 < outliers.CUT and 16 / 91 / outliers.FLOOR[3] ** 2 < outliers.CUT

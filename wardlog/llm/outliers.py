@@ -41,7 +41,8 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_ROWS = 500
+#: Ten rows for each coordinate of a covariance.
+MIN_ROWS = 40
 SHARE = 0.75
 STEPS = 3
 #: Standard deviations below which a direction counts as constant: of the log
