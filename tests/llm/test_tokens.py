@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,11 @@ def tiktoken_library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def unmodified():
+    return Tokenizer.from_file(WORDS)
+
+
 def expected_ids(rows, library):
     return sorted(
         ((doc, [*library(text or ""), 2]) for doc, text in ((r.doc_id, r.text) for r in rows)), key=lambda x: (x[0], len(x[1]))
@@ -49,6 +55,14 @@ def test_word_cache_equals_library(library, texts):
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library(t) for t in texts]
 
 
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "a", "B1", " ", "\n", "<|", "é", "\x01"]), max_size=12).map("".join), max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_special_strings_equal_unmodified_library(texts):
+    plain = unmodified()
+    found = word_encoder(WORDS).encode_bytes(pa.array(texts, pa.string()))
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_word_cache_is_bounded(library):
     encoder = WordEncoder(WORDS, limit=10)
     for k in range(5):

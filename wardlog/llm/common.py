@@ -47,7 +47,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = limit
         self.cache: dict[bytes, bytes] = {}
         self.mark = self._encode(self.SEPARATOR)
