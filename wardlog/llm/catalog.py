@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables with production parameters."""
+"""Registered queries of the thirteen operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import byte_bpe, crossparse, outliers, packing, planes, quotient, segments, shuffle, simhash, toxicity
+from wardlog.llm import (
+    byte_bpe,
+    conversations,
+    crossparse,
+    outliers,
+    packing,
+    planes,
+    quotient,
+    segments,
+    shuffle,
+    simhash,
+    spelling,
+    toxicity,
+    urlrules,
+)
 from wardlog.llm.common import remainder
 from wardlog.session import new_folder
 
@@ -72,6 +86,20 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE), keep_ids=False)
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.repaired_report(conversations.damaged(rows), rows)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, folder, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"), urlrules.rule_table(spark))
+
+
 OPERATORS = (
     op1_bit_planes,
     op2_byte_bpe,
@@ -83,6 +111,9 @@ OPERATORS = (
     op8_hypergeometric_shuffle,
     op9_toxicity,
     op10_packing,
+    op11_conversation_repair,
+    op12_spelling_variants,
+    op13_url_rules,
 )
 ORACLES = {
     "op7_quotient_filter": """
@@ -90,6 +121,20 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
           doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY body)""",
+    "op13_url_rules": r"""
+        WITH parts AS (
+          SELECT page_id, row_number() OVER () AS row,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+          FROM pages),
+        rules(rule_host, rule_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+          ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        best AS (
+          SELECT row, max({'n': length(rule_host || rule_path), 'h': length(rule_host), 'v': verdict, 'r': rule_host || rule_path}) AS b
+          FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+          GROUP BY row)
+        SELECT page_id, host, path, b.r AS rule, coalesce(b.v, 'allow') AS verdict FROM parts LEFT JOIN best USING (row)""",
 }
 
 

@@ -130,3 +130,25 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
     pa.default_memory_pool().release_unused()
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only where the first ``keys`` columns change."""
+    held: list[list[np.ndarray]] = []
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if all(held[0][k][0] == held[-1][k][-1] for k in range(keys)):
+            continue
+        whole = joined()
+        open_ = np.logical_and.reduce([c == c[-1] for c in whole[:keys]])
+        end = int(np.flatnonzero(~open_)[-1]) + 1
+        yield [c[:end] for c in whole]
+        held = [[c[end:] for c in whole]]
+    if held:
+        yield joined()
