@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 import pytest
-from test_duplicates import plain_components, plain_fingerprint
+from pyspark.sql import functions as F
+from test_shingles import plain_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,8 +30,9 @@ def test_stages_on_small_table(spark):
     for r in known.collect():
         best[r.text] = max(best.get(r.text, -1), r.doc_id)
     assert sorted(r.doc_id for r in exact.collect()) == sorted(best.values())
-    items = [(r.doc_id, plain_fingerprint(r.text)) for r in exact.collect()]
-    assert sorted(r.doc_id for r in near.collect()) == sorted(set(plain_components(items, 4).values()))
+    items = sorted((r.doc_id, r.text) for r in exact.collect())
+    first = set(plain_groups([t for _, t in items]).values())
+    assert sorted(r.doc_id for r in near.collect()) == [items[k][0] for k in sorted(first)]
     lengths = {}
     for r in packed.collect():
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
@@ -50,6 +52,20 @@ def test_edge_cases(spark, docs, no_docs, empty):
     assert {12, 15, 16} <= kept and not kept & {7, 8, 9, 10}
 
 
+def test_columns_of_any_name_and_type_come_back(spark, docs):
+    """Names that stages use for themselves, and a MAP column, which has no order."""
+    clash = {c: F.lit("mine") for c in ("key_of_text", "fingerprint_of_text", "Key_Of_Text_", "in_source")}
+    named = docs.withColumns(clash).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    exact = corpus_pipeline.drop_exact_copies(spark, named, FOLDER)
+    near = corpus_pipeline.drop_near_copies(spark, exact, FOLDER)
+    assert near.schema.simpleString() == named.schema.simpleString()
+    rows = near.collect()
+    assert rows and all(r.key_of_text == r.fingerprint_of_text == "mine" and r.tags == {"k": r.doc_id} for r in rows)
+    assert any(r.text is None for r in exact.where("doc_id = 7").collect()) or exact.where("doc_id = 8").count()
+    nulls = docs.where("doc_id = 7").unionAll(docs.where("doc_id = 7"))
+    assert [r.text for r in corpus_pipeline.drop_exact_copies(spark, nulls, FOLDER).collect()] == [None]
+
+
 def test_run_equals_query(spark):
     import __spark_entry__
 

@@ -152,3 +152,11 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np
         held = [[c[end:] for c in whole]]
     if held:
         yield joined()
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table does not have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

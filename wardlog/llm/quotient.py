@@ -2,9 +2,9 @@
 
 Every partition builds counting quotient filters of its texts' 64-bit
 fingerprints, one per slice of the fingerprint range. Filters of a slice merge
-by their sorted remainders without loss, in the task that owns the slice. The
-fingerprints counted more than once are marked in a bitmap of fixed size; only
-texts whose mark is set travel, and those are grouped by their bytes, which is
+by their sorted remainders without loss, in the task that owns the slice, those
+of like size first. The fingerprints counted more than once are marked in a
+bitmap sized by their number, up to 32 MB; only texts whose mark is set travel, and those are grouped by their bytes, which is
 the verification: a false mark or a shared fingerprint costs a row of traffic
 and changes nothing. Grouping collapses copies before the shuffle, so a hot
 text is sent once per task.
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import texts
-from wardlog.session import stage_table
+from wardlog.llm.common import free_name, texts
+from wardlog.session import stage_table, staged_table
 
-#: Marks of repeated fingerprints: 2**25 bits, 4 MB, at any input size.
-MARK_BITS = 25
+#: Marks of repeated fingerprints: 2**MARK_BITS bits a fingerprint, 2**MOST_BITS (32 MB) in all.
+MARK_BITS = 5
+MOST_BITS = 28
 BUCKET_BITS = 15  # Spark's bitmap functions hold 2**15 bits a row
 
 
@@ -136,9 +137,12 @@ def filters(fps: DataFrame) -> DataFrame:
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, cqf = None, None
+        at, levels = None, []
 
         def out() -> pa.RecordBatch:
+            cqf = levels.pop()[1]
+            while levels:
+                cqf = levels.pop()[1].merge(cqf)
             return pa.RecordBatch.from_pydict(
                 {"slice": pa.array([at], pa.int32()), "filter": pa.array([cqf.dump()], pa.binary())}
             )
@@ -146,13 +150,14 @@ def filters(fps: DataFrame) -> DataFrame:
         for batch in batches:
             for number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 other = CountingQuotientFilter.load(data)
-                if number != at:
-                    if cqf is not None:
-                        yield out()
-                    at, cqf = number, other
-                else:
-                    cqf = cqf.merge(other)
-        if cqf is not None:
+                if number != at and levels:
+                    yield out()
+                at, level = number, 0
+                # like sizes merge, as digits carry: each filter is merged log2(partitions) times
+                while levels and levels[-1][0] == level:
+                    other, level = levels.pop()[1].merge(other), level + 1
+                levels.append((level, other))
+        if levels:
             yield out()
 
     own = fps.select("fp").mapInArrow(build, "slice int, filter binary")
@@ -174,14 +179,15 @@ def repeated(filter_table: DataFrame) -> DataFrame:
 
 
 def marks(fps: DataFrame) -> bytes:
-    """A bitmap of the fingerprints' high bits: 4 MB at most, whatever their number."""
-    bit = F.shiftrightunsigned("fp", 64 - MARK_BITS) + 1
+    """A bitmap of the fingerprints' high bits, so large that one in 32 is set, and 32 MB at most."""
+    bits = min(MOST_BITS, max(BUCKET_BITS, fps.count().bit_length() + MARK_BITS))
+    bit = F.shiftrightunsigned("fp", 64 - bits) + 1
     rows = (
         fps.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
         .collect()
     )
-    out = np.zeros((1 << MARK_BITS - BUCKET_BITS, 1 << BUCKET_BITS - 3), np.uint8)
+    out = np.zeros((1 << bits - BUCKET_BITS, 1 << BUCKET_BITS - 3), np.uint8)
     for row in rows:
         out[row.bucket - 1] = np.frombuffer(bytes(row.bits), np.uint8)
     return out.tobytes()
@@ -194,8 +200,9 @@ def marked(rows: DataFrame, bitmap: bytes, keep: bool = True, fp: str = "fp") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
+        shift = np.uint64(64 - len(bits).bit_length() - 2)
         for batch in batches:
-            top = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            top = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> shift
             on = (bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
             yield batch.filter(pa.array(on.astype(bool) == keep))
 
@@ -203,7 +210,8 @@ def marked(rows: DataFrame, bitmap: bytes, keep: bool = True, fp: str = "fp") ->
 
 
 def _marks_of(docs: DataFrame) -> bytes:
-    return marks(repeated(stage_table(filters(docs.select(fingerprint().alias("fp"))), "quotient")))
+    with staged_table(filters(docs.select(fingerprint().alias("fp"))), "quotient") as found, staged_table(repeated(found), "repeated") as fps:
+        return marks(fps)
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -229,11 +237,15 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One whole row per text, that of the largest doc_id; texts that occur once do not move."""
-    own = "fingerprint_of_text"
+    """One whole row per text, that of the largest doc_id (of equal ids the row
+    whose JSON hashes largest); texts that occur once do not move. Columns may
+    have any type and name, and a null text stays null."""
+    own = free_name(docs, "fingerprint_of_text")
     rows, bitmap = docs.withColumn(own, fingerprint()), _marks_of(docs)
     rest = [c for c in docs.columns if c != "text"]
-    best = F.max(F.struct("doc_id", *(F.col(c) for c in rest if c != "doc_id"))).alias("best")
-    some = marked(rows, bitmap, fp=own).groupBy(own, F.coalesce("text", F.lit("")).alias("text")).agg(best)
-    chosen = some.select("text", *(F.col(f"best.{c}").alias(c) for c in rest)).select(*docs.columns)
+    whole = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*rest).alias("row"))
+    order = F.struct("doc_id", F.xxhash64(F.to_json(F.struct(*rest, F.col("text").isNull().alias(own)))))
+    some = marked(rows, bitmap, fp=own).groupBy(own, F.coalesce("text", F.lit("")).alias("text")).agg(F.max_by(whole, order).alias("best"))
+    text = F.when(~F.col("best.no_text"), F.col("text")).alias("text")
+    chosen = some.select(text, *(F.col(f"best.row.{c}").alias(c) for c in rest)).select(*docs.columns)
     return marked(rows, bitmap, keep=False, fp=own).select(*docs.columns).unionByName(chosen)
