@@ -85,6 +85,45 @@ def test_phrases_are_longest_matches(text, sample):
     assert found == longest_match_phrases(plain(symbols(text)), plain(symbols(sample)))
 
 
+def plain_phrases(text, sample):
+    """Greedy longest matches by str.find over folded letters, without automata or blocks."""
+    def fold(t):
+        return re.sub(r"[\W\d_]+", " ", t.lower())
+
+    text, sample = fold(text), fold(sample)
+    count, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in sample:
+            end += 1
+        at, count = max(at + 1, end - 1), count + 1
+    return count
+
+
+def test_long_texts_of_six_scripts():
+    """Over 2,000 symbols, over block ends, in alphabets beyond the table of 64 symbols."""
+    draw = np.random.default_rng(4)
+    spans = {"latin": (0x61, 26), "greek": (0x3B1, 17), "cyrillic": (0x430, 32), "han": (0x4E00, 900), "kana": (0x3042, 70), "hangul": (0xAC00, 700)}
+    words = {k: ["".join(chr(a + int(c)) for c in draw.integers(0, n, draw.integers(1, 6))) for _ in range(300)] for k, (a, n) in spans.items()}
+    # a second language of the same Han letters
+    words["han2"] = ["".join(draw.permutation(list(w))) + chr(0x4E00 + int(draw.integers(900))) for w in words["han"]]
+    text = lambda k, n: " ".join(draw.choice(words[k], n))
+    samples = {k: text(k, 1_500) for k in words}
+    parser = crossparse.CrossParser(samples)
+    texts = [text(k, 800) for k in words] + [samples["latin"][100:3_100], text("han", 400) + " " + text("latin", 900) + " \U0001f600 ŵŷ " + text("kana", 300)]
+    found = parser.phrases([parser.symbols(crossparse.code_points(t)) for t in texts])
+    assert found.tolist() == [[plain_phrases(t, samples[k]) for k in parser.languages] for t in texts]
+    assert found[len(words)][parser.languages.index("latin")] == 1  # an excerpt is one phrase
+    short = [(k, text(k, 8)) for k in words for _ in range(20)]
+    assert [lang for lang, _ in parser.predict([t for _, t in short])] == [k for k, _ in short]
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, f"text number {k} of one id", "en") for k in range(50)] + [(2, "ein anderer Text", "de")]
+    samples = crossparse.training_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), None)
+    assert samples == {"en": "text number 0 of one id", "de": "ein anderer Text"}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     found = crossparse.identify(docs, crossparse.training_samples(docs)).withColumn(

@@ -40,6 +40,15 @@ def test_many_rows_and_determinism(spark):
     assert 550 < same < 900
 
 
+def test_repeated_rows_part(spark):
+    """Ten thousand rows alike go to all shards alike, among others, and never stay together."""
+    docs = spark.range(12_000).select(F.when(F.col("id") < 10_000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    rows = shuffle.shuffle(docs, parts=16).collect()
+    check(rows, docs, 40)
+    twins = np.bincount([r.shard for r in rows if r.doc_id == 7], minlength=40)
+    assert twins.sum() == 10_000 and 200 < twins.min() and twins.max() < 300
+
+
 def test_no_rows(no_docs):
     assert shuffle.shuffle(no_docs).count() == 0
 

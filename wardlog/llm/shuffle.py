@@ -11,10 +11,12 @@ again inside their shard to get their slot.
 
 Only DataFrame functions run. No group is a whole shard: slots are numbered
 inside (shard, range of the random key) and shifted by the counts before. Parts
-and key ranges are hashed, so no key of the data can be hot.
+and key ranges are hashed from a row and its number among rows alike, so neither
+keys nor repeated rows are hot.
 
 Defined cases: a null text has 16 bytes and crc32 zero; rows that repeat a
-doc_id and text are dealt one by one; fewer rows than shards leave shards
+doc_id and text are dealt one by one, apart from each other; very long texts count
+by their bytes alone; fewer rows than shards leave shards
 empty; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,6 +31,10 @@ SHARDS = 40
 SEED = 20240607
 #: Weights are computed this many standard deviations around the mode; less than 1e-30 lies beyond.
 SPREAD = 12
+#: Repeated rows are dealt out again by so many.
+CHUNK = 4096
+#: From this level of the tree on its nodes are drawn by as many tasks as it has nodes.
+SPREAD_LEVEL = 4
 
 
 def uniform(*columns: Column | int | str) -> Column:
@@ -123,6 +129,8 @@ def communication_matrix(sizes: DataFrame, parts: int, shards: int = SHARDS, see
     )
     nodes = total.select(F.lit(0).cast("long").alias("node"), even.alias("row"))
     for level in range(levels):
+        if level == SPREAD_LEVEL:
+            nodes = nodes.repartition(1 << SPREAD_LEVEL, "node")
         own = sizes.groupBy(F.shiftright("part", levels - level - 1).cast("long").alias("child")).agg(F.sum("n").alias("n"))
         left = own.where("child % 2 = 0").select(F.shiftright("child", 1).alias("node"), F.col("n").alias("left_n"))
         halved = nodes.join(left, "node", "left").withColumn(
@@ -146,7 +154,13 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, parts: int | None = None, see
         (F.octet_length(octets) + 16).cast("long").alias("size"),
         F.crc32(octets).alias("text_crc32"),
     )
-    own = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    # Rows that repeat are counted and dealt out again in chunks with a number each, so that they part.
+    alike = ["doc_id", "size", "text_crc32"]
+    counted = rows.groupBy(*alike).agg(F.count("*").alias("n"))
+    chunks = counted.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})"))).repartition(parts, *alike, "chunk")
+    copies = F.sequence(F.col("chunk") * CHUNK, F.least("n", (F.col("chunk") + 1) * CHUNK) - 1)
+    rows = chunks.select(*alike, F.explode(copies).alias("copy"))
+    own = [F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("copy")]
     part = F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(parts)).cast("int")
     rows = stage_table(rows.withColumn("part", part), "shuffle")
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
@@ -164,7 +178,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, parts: int | None = None, see
         .join(matrix.select("part", ends.alias("ends")), "part")
         .withColumn("shard", shard.cast("int"))
         .withColumn("bin", F.floor(uniform(F.lit(seed + 2), *own) * parts).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "bin")
+        .select(*alike, "copy", "shard", "bin")
     )
     sent = stage_table(sent, "shuffle")
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
