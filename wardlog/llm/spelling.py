@@ -162,6 +162,7 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK, tile: int = TILE) -> D
     )
     keyed = vocabulary.withColumn("size", size).withColumn("k", F.explode(halves)).select("k.*", "word", "n")
     blocks = keyed.groupBy("length", "half").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = stage_table(blocks, "spelling")  # two rows a length: its size is known, so the words stay where they are
     keyed = keyed.join(blocks, ["length", "half"]).withColumn("block", F.pmod(F.xxhash64("shared"), F.col("blocks")).cast("int"))
     keyed = keyed.select("length", "half", "block", "word", "n")
     heavy = keyed.groupBy("length", "half", "block").count().where(F.col("count") > tile)
