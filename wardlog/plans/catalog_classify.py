@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions import addresses, paths, text, times
@@ -18,6 +19,8 @@ from wardlog.plans.fixtures import (
     joined,
     shown,
 )
+from wardlog.session import new_folder
+from wardlog.sinks import event_index
 from wardlog.sources import lines
 from wardlog.streaming.logs import hourly_windows
 
@@ -199,6 +202,38 @@ def event_collisions(fx: Fixture):
     return events.event_collisions(fresh, store, F.col("observed_at"))
 
 
+def indexed(fx: Fixture, stored: DataFrame) -> str:
+    """An index over stored events: most of them folded, the rest in two later commits."""
+    root = new_folder(stored.sparkSession, "index")
+    rows = stored.select("event_id", "event_hash", F.pmod("event_id", F.lit(4)).alias("lot"))
+    event_index.rebuild(rows.where("lot < 2").withColumn("commit", F.lit("early")), root)
+    event_index.append(rows.where("lot = 2"), root, "later")
+    event_index.append(rows.where("lot = 3"), root, "last")
+    return root
+
+
+@add("indexed_dedup_events", catalog.oracles["dedup_events"])
+def indexed_dedup_events(fx: Fixture):
+    """The same, with the store asked through its index."""
+    at = F.col("observed_at")
+    promoted = events.with_content_hash(fx.promoted).withColumn("event_id", F.col("event_id").cast("string"))
+    fresh = promoted.unionByName(promoted.where(at >= "2024-01-20"))
+    known = event_index.known(fresh, indexed(fx, promoted.where(at < "2024-01-15")))
+    return events.dedup_events(fresh, known, at).select(
+        F.col("event_id").cast("long").alias("event_id"), "source_ip", shown("observed_at").alias("observed_at")
+    )
+
+
+@add("indexed_event_collisions", catalog.oracles["event_collisions"])
+def indexed_event_collisions(fx: Fixture):
+    hashed = lambda value: F.sha2(F.concat(F.col("event_id").cast("string"), F.lit("|"), value), 256).alias("event_hash")
+    changed = F.when(F.col("kind") == classify.HTTP, "changed").otherwise(F.col("source_ip"))
+    stored = fx.promoted.where(F.col("observed_at") < "2024-01-15").select("event_id", hashed(F.col("source_ip")))
+    fresh = fx.promoted.select(F.col("event_id").cast("string").alias("event_id"), "observed_at", hashed(changed))
+    found = events.event_collisions(fresh, event_index.known(fresh, indexed(fx, stored)), F.col("observed_at"))
+    return found.withColumn("event_id", F.col("event_id").cast("long"))
+
+
 @add(
     "except_seen",
     f"""WITH {PROMOTED_CTE} SELECT event_id FROM obs WHERE event_id NOT IN (SELECT event_id FROM promoted)""",

@@ -11,6 +11,7 @@ from wardlog.functions.times import utc_date
 from wardlog.operators.events import dedup_events, event_collisions
 from wardlog.plans.collector import promoted_events
 from wardlog.session import staged_table, stream_id
+from wardlog.sinks import event_index
 from wardlog.sources.files import path_exists
 from wardlog.sources.lines import line_cursors, parse_logs, relative_path
 
@@ -38,17 +39,23 @@ def read_events(spark: SparkSession, store: str, without_commit: str | None = No
 def store_events(events: DataFrame, store: str, commit: str) -> None:
     """Exactly-once append. Every row carries the commit it came with, and a
     retried commit replaces its own folders. Events already stored by others
-    are left out; contents that differ under one id go to ``collisions``."""
-    spark = events.sparkSession
+    are left out; contents that differ under one id go to ``collisions``. What
+    is stored is asked of the index, which opens only what the ids may be in."""
+    spark, index = events.sparkSession, f"{store}/index"
     arrival = F.struct("cursor")
-    known = read_events(spark, store, commit)
-    if known is None:
-        known = events.limit(0).withColumn("commit", F.lit("")).withColumn("day", utc_date(F.col("observed_at")))
+    if not path_exists(spark, f"{index}/CURRENT") and not path_exists(spark, f"{index}/gen=0"):
+        stored = read_events(spark, store)
+        if stored is not None:
+            event_index.rebuild(stored.where(F.col("commit") != commit), index)
+    known = event_index.known(events, index, commit)
     fresh = dedup_events(events, known, arrival)
     fresh.withColumn("commit", F.lit(commit)).withColumn("day", utc_date(F.col("observed_at"))).write.mode(
         "overwrite"
     ).option("partitionOverwriteMode", "dynamic").partitionBy("commit", "day").parquet(f"{store}/events")
     event_collisions(events, known, arrival).write.mode("overwrite").parquet(f"{store}/collisions/commit={commit}")
+    if path_exists(spark, f"{store}/events/commit={commit}"):
+        own = spark.read.parquet(f"{store}/events/commit={commit}").select("event_id", "event_hash")
+        event_index.append(own, index, commit)
 
 
 def start_collector(
@@ -60,8 +67,10 @@ def start_collector(
     source_epoch: str,
     rules: RuleConfig = RuleConfig(),
     once: bool = True,
+    compact_every: int = 256,
 ) -> StreamingQuery:
-    """Run the collector over a stream of lines.
+    """Run the collector over a stream of lines. The index of ids is compacted
+    before each micro-batch whose number ``compact_every`` divides.
 
     The commit name is the stream's id and the micro-batch number, so a
     micro-batch that is run again after a failure writes the same rows to the
@@ -74,6 +83,8 @@ def start_collector(
         with staged_table(parse_logs({log_format: numbered}), "parsed") as parsed:
             events, rejects = promoted_events(parsed, source_id, source_epoch, rules)
             commit = f"{stream_id(events.sparkSession, checkpoint)}-{batch_id}"
+            if batch_id and batch_id % compact_every == 0:
+                event_index.compact(events.sparkSession, f"{store}/index")
             store_events(events, store, commit)
             rejects.write.mode("overwrite").parquet(f"{store}/rejects/commit={commit}")
 
