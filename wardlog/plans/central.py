@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,9 +137,13 @@ def fold_rollups(state: store.State, buckets: DataFrame, now):
     return totals, counts, drop_expired_hours(state.overflow, now)
 
 
+def run_evidence(buckets: DataFrame) -> DataFrame:
+    """The evidence that a run's buckets add."""
+    return evidence_facts(qualifying_events(with_deny_key(buckets), ["source_epoch", "seq"]))
+
+
 def fold_evidence(state: store.State, buckets: DataFrame, now) -> DataFrame:
-    events = qualifying_events(with_deny_key(buckets), ["source_epoch", "seq"])
-    return prune_evidence(merge_evidence(state.evidence, evidence_facts(events)), now)
+    return prune_evidence(merge_evidence(state.evidence, run_evidence(buckets)), now)
 
 
 # Reasons that a later run may find gone; any other is final.
@@ -200,11 +205,12 @@ def run_ingest(
     buckets = store.stage(
         record_buckets(batches), root, version, "buckets"
     )
-    totals, counts, overflow = fold_rollups(state, buckets, instant)
+    added = {"totals": period_totals(buckets), "counts": period_dimensions(buckets), "evidence": run_evidence(buckets)}
+    parts = store.fold_parts(state, added, root, version, datetime.fromisoformat(now))
+    folded = store.read_parts(spark, root, parts)
+    # no value counts more than its period, so the totals guard both
+    totals, counts = store.stage(count_guard(folded["totals"], "total"), root, version, "totals"), folded["counts"]
     write = lambda df, name: store.write_version(df, root, version, name)
-    totals, counts = write(totals, "totals"), write(counts, "counts")
-    write(overflow, "overflow")
-    write(fold_evidence(state, buckets, instant), "evidence")
     heads = write(next_heads(state, accepted, registry), "heads")
     refused = statuses.where(~F.col("status").isin("accepted", "replay"))
     write(next_parked(files, refused, state.parked, instant) if park else state.parked, "parked")
@@ -224,7 +230,7 @@ def run_ingest(
     # Before the pointer: a run that dies in between is made again and writes it again.
     if manifest:
         write_manifest(statuses, manifest, names)
-    store.commit_state(spark, root, version, run_key, updated_at)
+    store.commit_state(spark, root, version, run_key, updated_at, parts)
     accepted_n, replayed_n = tally.get("accepted", 0), tally.get("replay", 0)
     return IngestResult(version, accepted_n, replayed_n, sum(tally.values()) - accepted_n - replayed_n)
 
@@ -247,7 +253,8 @@ def publish_deny_lists(
     """Render both lists from the committed state."""
     state = store.load_state(spark, root)
     instant = F.lit(now).cast("timestamp")
-    lists = build_deny_lists(state.evidence, instant, never)
+    # parts expire by whole days; what is too old within the oldest day goes here
+    lists = build_deny_lists(prune_evidence(state.evidence, instant), instant, never)
     if state.version:
         lists = store.stage(lists, root, state.version, "lists")
     write_deny_lists(lists, instant, directory, names)

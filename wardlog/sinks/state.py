@@ -1,21 +1,32 @@
 """Versioned central state on plain Parquet.
 
 Layout below the root: ``accepted/run=N`` and ``rejects/run=N`` grow by one folder per run;
-``versions/N/<table>`` holds the folded tables of run N; ``CURRENT`` names the
+``versions/N/<table>`` holds the small tables of run N; ``CURRENT`` names the
 last complete run. Readers follow CURRENT, so a run that dies half-way leaves
 nothing visible, and its folders are overwritten by the retry. One writer.
+
+The large tables are cut into parts: a period (counts also by a slice of their
+values' hash), or a day of evidence. A run writes what it adds to a part as a
+delta, ``tables/<table>/v=N/part=P``, and the pointer maps each part to the
+deltas in force; readers add them up. A part of more than ``DELTAS`` is folded
+into one by the run that touches it, and an expired part leaves the map. So what
+a run writes follows the run, not the state.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlog import schemas
+from wardlog.config import LIMITS
+from wardlog.operators.evidence import merge_evidence
+from wardlog.operators.rollup import merge_state
 from wardlog.sinks.storage import file_system, replace_file
 from wardlog.sources.files import path_exists
 
@@ -40,6 +51,13 @@ TABLES: dict[str, T.StructType] = {
 }
 
 
+#: Tables in parts, and how their deltas add up.
+PARTED = {"totals": merge_state, "counts": merge_state, "overflow": merge_state, "evidence": merge_evidence}
+SLICES = 8
+DELTAS = 8
+Parts = dict[str, dict[str, list[str]]]
+
+
 @dataclass
 class State:
     version: int
@@ -47,6 +65,8 @@ class State:
     updated_at: str | None
     accepted: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Deltas in force of each part; None for a state of whole tables.
+    parts: Parts | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -84,8 +104,76 @@ def load_state(spark: SparkSession, root: str) -> State:
         .where(F.col("run") <= version)
         .drop("run")
     )
-    tables = {n: spark.read.schema(s).parquet(f"{root}/versions/{version}/{n}") for n, s in TABLES.items()}
-    return State(version, pointer["run_key"], pointer["updated_at"], accepted, tables)
+    parts = pointer.get("parts")
+    whole = [n for n in TABLES if parts is None or n not in PARTED]
+    tables = {n: spark.read.schema(TABLES[n]).parquet(f"{root}/versions/{version}/{n}") for n in whole}
+    tables |= read_parts(spark, root, parts) if parts is not None else {}
+    return State(version, pointer["run_key"], pointer["updated_at"], accepted, tables, parts)
+
+
+def part_of(name: str) -> Column:
+    if name == "evidence":
+        return F.concat(F.lit("day-"), F.unix_date("day").cast("string"))
+    period = [F.col("granularity"), F.lit("-"), F.unix_seconds("period_start").cast("string")]
+    if name == "counts":
+        period += [F.lit("-"), F.pmod(F.xxhash64("dimension", "value"), F.lit(SLICES)).cast("string")]
+    return F.concat(*period)
+
+
+def expired(part: str, now: datetime) -> bool:
+    """Whether the retention of a part is over: days of evidence and hourly periods have one."""
+    kind, number = part.split("-")[:2]
+    if kind == "day":
+        return int(number) < (now - timedelta(days=LIMITS.persistent_days) - datetime(1970, 1, 1, tzinfo=timezone.utc)).days
+    return kind == "hourly" and int(number) + 3600 < (now - timedelta(days=LIMITS.period_retention_days)).timestamp()
+
+
+def _delta_path(root: str, name: str, version: str, part: str) -> str:
+    return f"{root}/tables/{name}/v={version}/part={part}"
+
+
+def read_part(spark: SparkSession, root: str, name: str, parts: dict[str, list[str]]) -> DataFrame:
+    """The rows of these parts of a table, deltas added up."""
+    paths = [_delta_path(root, name, v, p) for p, versions in sorted(parts.items()) for v in versions]
+    if not paths:
+        return spark.createDataFrame([], TABLES[name])
+    rows = spark.read.schema(TABLES[name]).parquet(*paths)
+    return rows if all(len(v) == 1 for v in parts.values()) else PARTED[name](rows).select(*TABLES[name].fieldNames())
+
+
+def read_parts(spark: SparkSession, root: str, parts: Parts) -> dict[str, DataFrame]:
+    return {name: read_part(spark, root, name, parts.get(name, {})) for name in PARTED}
+
+
+def write_delta(df: DataFrame, root: str, version: str, name: str) -> list[str]:
+    """Write rows of a table by parts; the parts written."""
+    folder = f"{root}/tables/{name}/v={version}"
+    rows = df.select(*TABLES[name].fieldNames()).withColumn("part", part_of(name)).repartition("part")
+    rows.write.mode("overwrite").partitionBy("part").parquet(folder)
+    system, path = file_system(df.sparkSession, folder)
+    names = [status.getPath().getName() for status in system.listStatus(path)]
+    return sorted(n.removeprefix("part=") for n in names if n.startswith("part="))
+
+
+def fold_parts(state: State, deltas: dict[str, DataFrame], root: str, version: int, now: datetime) -> Parts:
+    """Write what a run adds (rows of each table) and give the new map of parts."""
+    spark = state.accepted.sparkSession
+    out: Parts = {}
+    for name, merge in PARTED.items():
+        held = {p: list(v) for p, v in (state.parts or {}).get(name, {}).items() if not expired(p, now)}
+        added = deltas.get(name)
+        if state.parts is None and state.version:  # a state of whole tables moves over as one delta
+            added = state.tables[name] if added is None else merge(state.tables[name], added)
+        written = write_delta(added, root, str(version), name) if added is not None else []
+        for part in written:
+            if not expired(part, now):
+                held.setdefault(part, []).append(str(version))
+        full = {p: v for p, v in held.items() if len(v) > DELTAS}
+        if full:
+            for part in write_delta(read_part(spark, root, name, full), root, f"{version}-folded", name):
+                held[part] = [f"{version}-folded"]
+        out[name] = held
+    return out
 
 
 def stage(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
@@ -97,7 +185,7 @@ def stage(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
 
 
 def write_version(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
-    """Write one folded table of a version and read it back."""
+    """Write one whole table of a version and read it back."""
     path = f"{root}/versions/{version}/{name}"
     df.select(*TABLES[name].fieldNames()).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(TABLES[name]).parquet(path)
@@ -128,6 +216,6 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("run", "reason").agg(F.count("*").alias("files"))
 
 
-def commit_state(spark: SparkSession, root: str, version: int, run_key: str, updated_at: str | None) -> None:
+def commit_state(spark: SparkSession, root: str, version: int, run_key: str, updated_at: str | None, parts: Parts) -> None:
     """Make a fully written version current: the last step of a run."""
-    _write_pointer(spark, root, {"version": version, "run_key": run_key, "updated_at": updated_at})
+    _write_pointer(spark, root, {"version": version, "run_key": run_key, "updated_at": updated_at, "parts": parts})
