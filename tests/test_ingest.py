@@ -337,9 +337,9 @@ def test_names_are_configurable(spark):
     assert ours != theirs
 
 
-def walk(candidates):
+def walk(candidates, heads=None):
     """Sequential acceptance, one candidate at a time."""
-    heads, status = {}, {}
+    heads, status = heads or {}, {}
     for source, seq, prev, digest, name in sorted(candidates, key=lambda c: (c[0], c[1], c[4])):
         next_seq, head, done = heads.get(source, (0, "", {}))
         if seq in done:
@@ -377,6 +377,36 @@ def test_chain_acceptance_equals_the_sequential_walk(spark, seed):
     assert got == walk(candidates)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_and_heads_equal_the_sequential_walk(spark, seed):
+    """Chains over many small blocks, with rivals, breaks and heads inside blocks."""
+    random.seed(seed)
+    candidates, heads = [], {}
+    for s in range(12):
+        first = random.choice([0, 0, 3, 4, 9, 21])
+        pool = ["" if not first else "h" * 64]
+        if first:
+            heads[f"s{s}"] = (first, pool[0], {})
+        for seq in range(max(0, first - 2), first + random.randint(1, 30)):
+            made = []
+            for _ in range(random.choices([1, 2, 0], [30, 4, 1])[0]):
+                prev = random.choice(pool) if random.random() < 0.98 else "0" * 64
+                digest = f"{random.getrandbits(256):064x}"
+                made.append(digest)
+                candidates.append((f"s{s}", seq, prev, digest, f"s{s}/{seq}/{digest}"))
+            pool = (made or ["f" * 64]) if seq >= first else pool
+    rows = [(c[0], "e", str(c[1]), c[2] or None, c[3], c[4]) for c in candidates]
+    table = spark.createDataFrame(
+        rows, "source_id string, source_epoch string, sequence string, previous_batch_hash string, payload_hash string, blob_name string"
+    )
+    held = [(s, "e", str(n), h) for s, (n, h, _) in heads.items()]
+    frame = spark.createDataFrame(held, "source_id string, source_epoch string, next_sequence string, previous_hash string")
+    got = acceptance.accept_chain(table, frame, size=4)
+    assert {r.blob_name: r.status for r in got.collect()} == walk(candidates, dict(heads))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # nothing is joined on a sensor
+
+
 def test_chain_continues_from_stored_heads(spark):
     heads = spark.createDataFrame(
         [("s", "e", "9999999999999999998", "h" * 64)], "source_id string, source_epoch string, next_sequence string, previous_hash string"

@@ -1,18 +1,23 @@
 """Acceptance of batches: registry, replays, hash chains, heads.
 
 Candidates: source_id, source_epoch, sequence, previous_batch_hash,
-payload_hash, blob_name. A sensor's chain is sequential by nature; here it is
-decided with equi-joins on (sensor, sequence) and one grouped minimum, so a
-sensor holding most of the batches is still spread over the cluster.
+payload_hash, blob_name. A sensor's chain is sequential by nature; here it is cut
+into blocks of sequences. Each block says where every hash that can enter it
+comes out, a scan over a sensor's blocks links these, and each block then judges
+its own batches. So a sensor holding most of the batches is spread over the
+cluster, and what passes one task is one row a block and entry.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions.text import blob_name, hex_digest, holds, sequence_number
-from wardlog.session import cut_lineage
 
 SENSOR = ["source_id", "source_epoch"]
 STEP = [*SENSOR, "seq"]
@@ -61,118 +66,183 @@ def chain_heads(accepted: DataFrame) -> DataFrame:
     )
 
 
-def _steps(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("seq", sequence_number(F.col("sequence"))).withColumn(
-        "prev", F.coalesce("previous_batch_hash", F.lit(""))
-    )
-
-
-def _bounds(heads: DataFrame) -> DataFrame:
-    return heads.select(
-        *SENSOR, sequence_number(F.col("next_sequence")).alias("next"), F.col("previous_hash").alias("head")
-    )
-
-
-def _with_head(steps: DataFrame, heads: DataFrame) -> DataFrame:
-    return (
-        steps.join(_bounds(heads), SENSOR, "left")
-        .withColumn("next", F.coalesce("next", F.lit(0).cast("decimal(20,0)")))
-        .withColumn("head", F.coalesce("head", F.lit("")))
-    )
-
-
-def _linked(links: DataFrame) -> DataFrame:
-    """Links whose predecessor is the head or another link, with ``parent``."""
-    before = links.select(
-        *SENSOR, (F.col("seq") + 1).cast("decimal(20,0)").alias("seq"), F.col("payload_hash").alias("prev"), F.lit(True).alias("_found")
-    )
-    at_head = (F.col("seq") == F.col("next")) & (F.col("prev") == F.col("head"))
-    return (
-        links.join(before, [*STEP, "prev"], "left")
-        .where(at_head | (holds(F.col("_found")) & (F.col("seq") > F.col("next"))))
-        .withColumn("parent", F.when(at_head, F.lit("")).otherwise(F.col("prev")))
-        .drop("_found")
-    )
-
-
-def accept_straight(links: DataFrame) -> DataFrame:
-    """Accepted links of sensors with one link per sequence: everything before
-    the first sequence that is missing or does not continue its predecessor."""
-    joined = _linked(links)
-    broken = links.join(joined.select(*STEP), STEP, "left_anti")
-    first = broken.groupBy(*SENSOR).agg(F.min("seq").alias("_stop"))
-    return joined.join(first, SENSOR, "left").where(
-        F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))
-    ).drop("_stop", "parent")
-
-
-def accept_chain_forked(links: DataFrame) -> DataFrame:
-    """Accepted links where sequences have rival links. Each link has one
-    parent, so a link is accepted when its ancestors lead to the head; pointer
-    doubling finds that in log2(longest chain) equi-joins on the link's hash,
-    with no walk through one task."""
-    node = [*SENSOR, "payload_hash"]
-    table = cut_lineage(_linked(links).withColumn("up", F.col("parent")))
-    root = F.col("up") == ""
-    while not table.where(~root).isEmpty():
-        above = table.select(*SENSOR, F.col("payload_hash").alias("up"), F.col("up").alias("_next"))
-        moving = table.where(~root).join(above, [*SENSOR, "up"], "left")
-        # An ancestor that is not in the table is a dead end.
-        moved = moving.where(F.col("_next").isNotNull()).withColumn("up", F.col("_next")).drop("_next")
-        table = cut_lineage(table.where(root).unionByName(moved))
-    return table.drop("up", "parent").dropDuplicates(node)
-
-
-def accept_chain(candidates: DataFrame, heads: DataFrame) -> DataFrame:
+#: Sequences of a block.
+BLOCK = 1024
+SEQUENCE = "decimal(20,0)"
+
+
+def _block(seq: Column, size: int) -> Column:
+    """First sequence of the block."""
+    return (seq - seq % size).cast(SEQUENCE)
+
+
+def _first_links(rows: Iterator[tuple]) -> dict[int, dict[str, str]]:
+    """Per sequence, the hash of the first name to continue each previous hash; rows in order."""
+    found: dict[int, dict[str, str]] = {}
+    for seq, prev, digest in rows:
+        found.setdefault(seq, {}).setdefault(prev, digest)
+    return found
+
+
+def through_block(start: int, links: dict[int, dict[str, str]], heads: list[tuple[int, str]], size: int = BLOCK) -> Iterator[tuple[int, str, str | None]]:
+    """(entry sequence, entry hash, hash at the block's end or None) of every
+    hash that can enter the block at its start, and of a head inside it. Built
+    from the last sequence down, so rivals cost no walk of their own."""
+    wanted = dict(heads)
+    after: dict[str, str | None] = {}
+    low = min([start, *wanted]) if start in links else min(wanted, default=start + size)
+    for seq in range(start + size - 1, low - 1, -1):
+        own = links.get(seq, {})
+        last = seq == start + size - 1
+        after = {prev: digest if last else after.get(digest) for prev, digest in own.items()}
+        if seq in wanted:
+            yield seq, wanted[seq], after.get(wanted[seq])
+    if start in links:
+        yield from ((start, prev, out) for prev, out in after.items() if (start, prev) not in heads)
+
+
+def _block_ends(rows: DataFrame, size: int) -> DataFrame:
+    """(sensor, start, entry_seq, entry_hash, exit_hash) of blocks, from candidates and heads."""
+    names = [*SENSOR, "start", "entry_seq", "entry_hash", "exit_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, heads = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if key is None or key[2] is None:
+                return
+            start = int(key[2])
+            found = list(through_block(start, _first_links(held), heads, size))
+            if found:
+                entry, digest, end = zip(*found, strict=True)
+                n = len(found)
+                kinds = [pa.string(), pa.string(), pa.decimal128(20, 0), pa.decimal128(20, 0), pa.string(), pa.string()]
+                columns = [[key[0]] * n, [key[1]] * n, [key[2]] * n, [Decimal(e) for e in entry], digest, end]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for source, epoch, start, seq, prev, digest, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (source, epoch, start) != key:
+                    yield from out()
+                    key, held, heads = (source, epoch, start), [], []
+                if head:
+                    heads.append((int(seq), digest))
+                elif seq is not None:
+                    held.append((int(seq), prev, digest))
+        yield from out()
+
+    dealt = rows.repartition(*SENSOR, "start").sortWithinPartitions(*SENSOR, "start", "seq", "blob_name")
+    schema = f"source_id string, source_epoch string, start {SEQUENCE}, entry_seq {SEQUENCE}, entry_hash string, exit_hash string"
+    return dealt.select(*SENSOR, "start", "seq", "prev", "payload_hash", "head").mapInArrow(run, schema)
+
+
+def _entries(ends: DataFrame, heads: DataFrame, size: int) -> DataFrame:
+    """(sensor, start, entry_seq, entry_hash) of the blocks that a chain reaches: a
+    scan over the blocks of a sensor, from its head or from nothing."""
+    names = [*SENSOR, "start", "entry_seq", "entry_hash"]
+
+    def reached(head: tuple[int, str], blocks: list[tuple]) -> Iterator[tuple]:
+        seq, digest = head
+        exits: dict[int, dict] = {}
+        for start, entry, entered, end in blocks:
+            exits.setdefault(int(start), {})[int(entry), entered] = end
+        while (start := seq - seq % size) in exits:
+            yield start, seq, digest
+            end = exits[start].get((seq, digest))
+            if end is None:
+                return
+            seq, digest = start + size, end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sensor, head, blocks = None, (0, ""), []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = list(reached(head, blocks)) if sensor else []
+            if found:
+                starts, entries, digests = zip(*found, strict=True)
+                number = lambda values: pa.array([Decimal(v) for v in values], pa.decimal128(20, 0))
+                columns = [pa.array([sensor[0]] * len(found), pa.string()), pa.array([sensor[1]] * len(found), pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, number(starts), number(entries), pa.array(digests, pa.string())], names=names)
+
+        for batch in batches:
+            for source, epoch, start, entry, entered, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (source, epoch) != sensor:
+                    yield from out()
+                    sensor, head, blocks = (source, epoch), (0, ""), []
+                if start is None:
+                    head = (int(entry), entered)
+                else:
+                    blocks.append((start, entry, entered, end))
+        yield from out()
+
+    none = F.lit(None)
+    first = heads.select(*SENSOR, none.cast(SEQUENCE).alias("start"), "entry_seq", "entry_hash", none.cast("string").alias("exit_hash"))
+    dealt = ends.unionByName(first).repartition(*SENSOR).sortWithinPartitions(*SENSOR, "start")
+    return dealt.mapInArrow(run, f"source_id string, source_epoch string, start {SEQUENCE}, entry_seq {SEQUENCE}, entry_hash string")
+
+
+def accept_chain(candidates: DataFrame, heads: DataFrame, size: int = BLOCK) -> DataFrame:
     """Add ``status``: accepted, sequence_gap, hash_chain_mismatch or
     replay_conflict, as if candidates were tried one by one in the order of
     sensor, sequence and name.
 
-    At each sequence the first name that continues the head wins. Hence only
-    the first name per (sequence, previous hash) can be accepted, later names
-    conflict with the winner, and earlier names had the wrong hash.
+    At each sequence the first name that continues the head wins: later names
+    conflict with it, earlier names had the wrong hash. Where none does the
+    chain ends; what lies beyond is a gap. No job runs while this is built.
     """
-    steps = _steps(candidates)
-    # Five narrow columns per batch, joined with themselves several times:
-    # stored once instead of decoding the batches anew for every join.
-    links = cut_lineage(
-        _with_head(
-            steps.groupBy(*STEP, "prev")
-            .agg(F.min(F.struct("blob_name", "payload_hash")).alias("_w"))
-            .select(*STEP, "prev", "_w.blob_name", "_w.payload_hash"),
-            heads,
-        )
-    )
-    live = cut_lineage(_linked(links))
-    rivals = live.groupBy(*STEP).count().where(F.col("count") > 1).select(*SENSOR).distinct()
-    straight = accept_straight(
-        live.drop("parent").join(rivals, SENSOR, "left_anti").unionByName(_gaps(links, live, rivals))
-    )
-    won = straight
-    if not rivals.isEmpty():
-        won = won.unionByName(accept_chain_forked(live.drop("parent").join(rivals, SENSOR, "left_semi")))
-    winners = won.select(*STEP, F.col("blob_name").alias("_winner"))
-    fronts = winners.groupBy(*SENSOR).agg((F.max("seq") + 1).cast("decimal(20,0)").alias("_front"))
-    return (
-        _with_head(steps, heads)
-        .join(winners, STEP, "left")
-        .join(fronts, SENSOR, "left")
-        .withColumn(
-            "status",
-            F.when(F.col("blob_name") == F.col("_winner"), "accepted")
-            .when(F.col("blob_name") > F.col("_winner"), "replay_conflict")
-            .when(F.col("_winner").isNotNull(), "hash_chain_mismatch")
-            .when(F.col("seq") == F.coalesce("_front", "next"), "hash_chain_mismatch")
-            .otherwise("sequence_gap"),
-        )
-        .select(*candidates.columns, "status")
+    seq = sequence_number(F.col("sequence")).cast(SEQUENCE)
+    prev = F.coalesce("previous_batch_hash", F.lit(""))
+    next_seq = sequence_number(F.col("next_sequence")).cast(SEQUENCE)
+    known = heads.select(*SENSOR, next_seq.alias("entry_seq"), F.coalesce("previous_hash", F.lit("")).alias("entry_hash"))
+    steps = candidates.select(*SENSOR, _block(seq, size).alias("start"), seq.alias("seq"), prev.alias("prev"), "payload_hash", "blob_name", F.lit(False).alias("head"))
+    at_head = known.select(
+        *SENSOR,
+        _block(F.col("entry_seq"), size).alias("start"),
+        F.col("entry_seq").alias("seq"),
+        F.lit(None).cast("string").alias("prev"),
+        F.col("entry_hash").alias("payload_hash"),
+        F.lit(None).cast("string").alias("blob_name"),
+        F.lit(True).alias("head"),
     )
-
-
-def _gaps(links: DataFrame, live: DataFrame, rivals: DataFrame) -> DataFrame:
-    """One stop marker per sequence that has links but no live one."""
-    dead = links.join(live.select(*STEP), STEP, "left_anti").join(rivals, SENSOR, "left_anti")
-    return dead.dropDuplicates(STEP).withColumn("prev", F.lit("\0"))
+    entries = _entries(_block_ends(steps.unionByName(at_head), size), known, size)
+    entered = {"_entry": F.lit(None).cast("string"), "_start": _block(seq, size), "_seq": seq, "_prev": prev}
+    rows = candidates.withColumns(entered)
+    opening = {c: F.lit(None).cast(candidates.schema[c].dataType) for c in candidates.columns if c not in SENSOR}
+    opening |= {"_entry": F.col("entry_hash"), "_start": F.col("start"), "_seq": F.col("entry_seq"), "_prev": F.lit(None).cast("string")}
+    return _judged(rows.unionByName(entries.select(*SENSOR, *[c.alias(n) for n, c in opening.items()])), candidates)
+
+
+def _judged(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Status of the candidates of each block; an entry row (``_entry`` not null) comes first in its block."""
+    where = {n: rows.columns.index(n) for n in (*SENSOR, "_start", "_seq", "_prev", "_entry", "payload_hash")}
+    names = candidates.columns
+    keep = [rows.columns.index(c) for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, front, head, done = None, None, None, None
+        for batch in batches:
+            status = []
+            for source, epoch, start, seq, prev, entry, digest in zip(*(batch.column(k).to_pylist() for k in where.values()), strict=True):
+                if (source, epoch, start) != key:
+                    key, front, head, done = (source, epoch, start), None, None, None
+                if entry is not None:
+                    front, head = seq, entry
+                    status.append(None)
+                elif seq is not None and seq == front:
+                    if prev == head:
+                        status.append("accepted")
+                        done, front, head = seq, seq + 1, digest
+                    else:
+                        status.append("hash_chain_mismatch")
+                else:
+                    status.append("replay_conflict" if seq is not None and seq == done else "sequence_gap")
+            told = pa.array(status, pa.string())
+            chosen = [*(batch.column(k) for k in keep), told]
+            yield pa.RecordBatch.from_arrays(chosen, names=[*names, "status"]).filter(told.is_valid())
+
+    order = [*SENSOR, "_start", F.col("_entry").isNull(), "_seq", "blob_name"]
+    schema = candidates.schema.__class__(list(candidates.schema.fields)).add("status", "string")
+    return rows.repartition(*SENSOR, "_start").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def verify_chain(accepted: DataFrame) -> DataFrame:

@@ -108,6 +108,15 @@ def accept_chain(fx: Fixture):
     return acceptance.accept_chain(candidates(fx), no_heads(fx)).select("source_id", "sequence", "status")
 
 
+@add("accept_chain_with_heads", f"{catalog.oracles['accept_chain']} WHERE seq >= 5")
+def accept_chain_with_heads(fx: Fixture):
+    """A second run: the first five sequences are accepted, the others go on from their heads."""
+    rows = candidates(fx)
+    first = acceptance.accept_chain(rows.where("seq < 5"), no_heads(fx)).where("status = 'accepted'")
+    later = acceptance.accept_chain(rows.where("seq >= 5"), acceptance.chain_heads(first))
+    return later.select("source_id", "sequence", "status")
+
+
 RIVALS_CTE = f"""{BASE_CTE},
 forks AS (SELECT source_id, seq, hash, prev FROM named
   UNION ALL SELECT source_id, seq, sha256(concat('r/', source_id, '/', seq)), prev FROM named WHERE event_type = 'error'
