@@ -106,3 +106,20 @@ def test_damaged_archive_raises():
 def test_digest_form():
     assert segments.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert len(hashlib.sha1(b"").digest()) == 20
+
+
+def test_references_name_records(spark, tmp_path):
+    """Each identifier is unique, and what a revisit refers to is a response's, repeated and null page_ids included."""
+    rows = [(5, "u", "same"), (5, "v", "same"), (5, "w", "other"), (2, "u", "same"), (7, "u", "other"), (9, "x", "own"), (None, "y", "same"), (None, "z", "last")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {}
+    for n in (1, 2):  # written twice, the same names
+        segments.write_archives(pages, str(tmp_path / f"warc{n}"))
+        found[n] = segments.read_records(spark, str(tmp_path / f"warc{n}")).where("record_type in ('response', 'revisit')").collect()
+    ids = [r.record_id for r in found[1]]
+    assert len(set(ids)) == len(ids) == len(rows)
+    responses = {r.record_id for r in found[1] if r.record_type == "response"}
+    refers = {r.record_id: r.refers_to for r in found[1] if r.record_type == "revisit"}
+    assert set(refers.values()) <= responses and refers["urn:x-page:7"] in {i for i in responses if i.startswith("urn:x-page:5")}
+    assert sum(v == "urn:x-page:2" for v in refers.values()) == 2
+    assert sorted((r.record_id, r.refers_to or "") for r in found[2]) == sorted((r.record_id, r.refers_to or "") for r in found[1])

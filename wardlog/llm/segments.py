@@ -167,15 +167,23 @@ def write_archives(
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     )
+    # A record is named by its page; where page_ids repeat, all rows but one by their place in the input too.
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    repeats = rows.groupBy("page_id").agg(F.min("at").alias("own"), F.count("*").alias("n")).where("n > 1")
+    repeats = repeats.select(F.col("page_id").alias("page"), "own")
+    plain = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    name = F.when(F.col("at") != F.col("own"), F.concat(plain, F.lit(":r"), F.col("at").cast("string"))).otherwise(plain)
+    rows = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("page")), "left").withColumn("name", name)
     key = F.sha2("payload", 256)
-    firsts = rows.groupBy(key.alias("sha")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    least_page = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "name"))).alias("first")
+    firsts = rows.groupBy(key.alias("sha")).agg(least_page, F.count("*").alias("n"))
     shared = firsts.where("n > 1").select("sha", "first")
     marked = rows.withColumn("sha", key).join(shared, "sha", "left")
-    other = (F.octet_length("payload") >= least) & (F.col("first") < F.col("page_id"))
-    ready = marked.select("page_id", "url", "payload", F.when(other, F.col("first")).alias("first"))
+    other = (F.octet_length("payload") >= least) & (F.col("first.page_id") < F.col("page_id"))
+    ready = marked.select("name", "url", "payload", F.when(other, F.col("first.name")).alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, number, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
             name = f"pages-{part:06d}-{number:05d}.warc"
@@ -185,11 +193,8 @@ def write_archives(
             )
 
         for batch in small_batches(batches, 256):
-            for page, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = f"urn:x-page:{'' if page is None else page}:{part}-{count}"
-                count += 1
-                refers = None if first is None else f"urn:x-page:{first}"
-                for data in page_records(name, url, payload, refers, segment, chunk):
+            for name, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for data in page_records(name, url, payload, first, segment, chunk):
                     held.append(data)
                     size += len(data)
                     if size >= archive:
