@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.llm.common import small_batches
+from wardlog.session import stage_table
 
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
@@ -170,7 +171,8 @@ def write_archives(
     # A record is named by its page; where page_ids repeat, all rows but one by their place in the input too.
     rows = rows.withColumn("at", F.monotonically_increasing_id())
     repeats = rows.groupBy("page_id").agg(F.min("at").alias("own"), F.count("*").alias("n")).where("n > 1")
-    repeats = repeats.select(F.col("page_id").alias("page"), "own")
+    # written first, so that the planner knows its size and pages need not move for it
+    repeats = stage_table(repeats.select(F.col("page_id").alias("page"), "own"), "repeats")
     plain = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     name = F.when(F.col("at") != F.col("own"), F.concat(plain, F.lit(":r"), F.col("at").cast("string"))).otherwise(plain)
     rows = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("page")), "left").withColumn("name", name)
