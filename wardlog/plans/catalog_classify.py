@@ -22,6 +22,7 @@ from wardlog.plans.fixtures import (
 from wardlog.session import new_folder
 from wardlog.sinks import event_index
 from wardlog.sources import lines
+from wardlog.sources.growing import read_logs
 from wardlog.streaming.logs import hourly_windows
 
 catalog = Catalog()
@@ -520,6 +521,27 @@ def parse_honeypot_log(fx: Fixture):
     )
 
 
+@add(
+    "follow_logs",
+    f"""WITH {OBS_CTE} SELECT source_ip, username, count(*) AS n FROM obs
+    WHERE kind = 'ssh_auth_failure' AND source_kind = 'decoy' GROUP BY ALL""",
+)
+def follow_logs(fx: Fixture):
+    """Log files written from the events, read by byte ranges that cut lines and parsed."""
+    doc = F.struct(
+        F.when(F.col("source_kind") == "decoy", "cowrie.login.failed").otherwise("cowrie.session.connect").alias("eventid"),
+        F.col("at").alias("timestamp"),
+        F.col("source_ip").alias("src_ip"),
+        "username",
+        F.lit("pw").alias("password"),
+    )
+    folder = new_folder(fx.spark, "followed-logs")
+    _line_rows(fx, classify.SSH).select(F.to_json(doc).alias("value")).write.text(folder)
+    read = read_logs(fx.spark, folder, pattern="part-*", splitBytes=8 << 20)
+    parsed = lines.parse_honeypot_log(read.select("cursor", "value")).where(F.col("reject_reason").isNull())
+    return parsed.groupBy("source_ip", F.col("ssh.username").alias("username")).agg(F.count("*").alias("n"))
+
+
 @add(
     "parse_ssh_journal",
     f"""WITH {OBS_CTE} SELECT concat('openssh:', sha256(concat('s=', lower(to_hex(event_id)), ';i=1'))) AS event_id, source_ip,

@@ -19,7 +19,8 @@ from wardlog.sources.lines import line_cursors, parse_logs, relative_path
 def stream_logs(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
     """Lines of files as they arrive: value, file (below ``path``). The checkpoint remembers
     which files were read. A file must be complete when it appears (ship
-    rotated chunks), because the source does not tail."""
+    rotated chunks); :func:`wardlog.sources.growing.follow_logs` reads files
+    that grow."""
     return (
         spark.readStream.option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", "true")
