@@ -14,7 +14,7 @@ from wardlog.functions.addresses import deny_key, ip_number
 from wardlog.functions.times import days, hours, utc_date
 from wardlog.operators.classify import SSH
 from wardlog.operators.networks import excluded_prefix_anti_join
-from wardlog.operators.ranking import bounded_top
+from wardlog.operators.ranking import text_digits, threshold_top
 from wardlog.session import cut_lineage
 
 FACT = ["key", "source_id", "day"]
@@ -104,9 +104,12 @@ def prune_evidence(facts: DataFrame, now: Column) -> DataFrame:
 
 def cap_evidence(facts: DataFrame, limit: int = LIMITS.deny_records) -> DataFrame:
     """A report of the ``limit`` keys seen last; on a tie the smaller key goes.
-    The stored evidence keeps every key until it expires."""
+    The stored evidence keeps every key until it expires. Hours and the first
+    bytes of keys are counted (a last hour ends on the hour, so there are few),
+    only the keys at the edge are ranked."""
     keys = facts.groupBy("key").agg(F.max("last_seen").alias("_last"))
-    kept = bounded_top(keys, [], [F.col("_last").desc(), F.col("key").desc()], limit, salt_on=["key"])
+    digits = [F.unix_micros("_last"), *text_digits(F.col("key"), 2)]
+    kept = threshold_top(keys, digits, [F.col("_last").desc(), F.col("key").desc()], limit, salt_on=["key"])
     return facts.join(kept.select("key"), "key", "left_semi")
 
 
