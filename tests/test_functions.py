@@ -127,21 +127,30 @@ def test_exclusions(spark):
     assert sorted(r.key for r in kept.collect()) == ["11.0.0.1/32", "2a01:4f8:1:2::/64"]
 
 
-def test_literal_and_joined_containment_agree(spark, monkeypatch):
+def test_literal_and_joined_containment_agree(spark):
     from wardlog.operators import networks
 
     random.seed(3)
     ips = [f"11.{random.randint(0, 9)}.{random.randint(0, 255)}.{random.randint(0, 255)}" for _ in range(300)]
-    ips += [f"2a01:4f8:{random.randint(0, 9)}::{random.randint(1, 99)}" for _ in range(300)]
-    cidrs = ["11.3.0.0/16", "11.4.128.0/17", "11.9.0.1/32", "2a01:4f8:2::/48", "2a01:4f8:3::10/124"]
-    want = sorted(i for i in ips if not any(ipaddress.ip_address(i) in ipaddress.ip_network(c) for c in cidrs if (":" in c) == (":" in i)))
-    rows = spark.createDataFrame([(i,) for i in ips], "ip string")
+    ips += [f"2a01:4f8:{random.randint(0, 9)}::{random.randint(1, 99)}" for _ in range(300)] + ["11.9.0.1", "ffff::1"]
+    sets = [
+        ["11.3.0.0/16", "11.4.128.0/17", "11.9.0.1/32", "2a01:4f8:2::/48", "2a01:4f8:3::10/124"],
+        # every length, nested and repeated ones, and the ends of the range of addresses
+        [f"{ips[i]}/{i + 1}" for i in range(24, 32)] + [f"{ips[400 + i]}/{i + 1}" for i in range(40, 128)],
+        ["11.0.0.0/9", "11.0.0.0/31", "8000::/1"],
+        ["::/0"],
+        ["0.0.0.0/0"],
+    ]
+    rows = spark.createDataFrame([(i,) for i in [*ips, "no address"]], "ip string")
     address = addresses.ip_number(F.col("ip"))
-    literal = rows.where(~holds_for(address, covering(literal_prefixes(cidrs))))
-    assert sorted(r.ip for r in literal.collect()) == want
-    table = spark.createDataFrame([(c,) for c in cidrs], "c string").select(addresses.cidr_columns(F.col("c")).alias("p")).select("p.*")
-    monkeypatch.setattr(networks, "table_prefixes", lambda *_: None)
-    assert sorted(r.ip for r in networks.cidr_anti_join(rows, address, table).collect()) == want
+    for texts in sets:
+        nets = [ipaddress.ip_network(c, strict=False) for c in texts]
+        want = [i for i in ips if not any(ipaddress.ip_address(i) in n for n in nets)] + ["no address"]
+        literal = rows.where(~holds_for(address, covering(literal_prefixes(map(str, nets)))))
+        table = spark.createDataFrame([(c,) for c in [*texts, *texts]], "c string").select(addresses.cidr_columns(F.col("c")).alias("p")).select("p.*")
+        assert sorted(r.ip for r in literal.collect()) == sorted(want)
+        assert sorted(r.ip for r in networks.cidr_anti_join(rows, address, table).collect()) == sorted(want)
+
 
 
 def test_times(spark):

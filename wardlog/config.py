@@ -51,17 +51,12 @@ class Limits:
     hourly_buckets: int = 744
     safe_integer: int = 9_007_199_254_740_991
     window_days: int = 31
-    registry_bytes: int = 262_144
-    registered: int = 64
-    never_block_bytes: int = 262_144
-    never_block_entries: int = 4_096
     reason_bytes: int = 200
     dimension_values: int = 10_000
     public_values: int = 100
     period_retention_days: int = 31
     deny_records: int = 50_000
     deny_days: int = 31
-    deny_sources: int = 64
     recent_hours: int = 72
     persistent_days: int = 30
     persistent_min_sources: int = 2

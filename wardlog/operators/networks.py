@@ -1,9 +1,8 @@
 """Containment of addresses in CIDR sets, without range joins.
 
-A CIDR set is small by contract (at most ``LIMITS.never_block_entries`` rows,
-checked), so it becomes hash-set literals of masked prefixes, one set per
-(family, length): a narrow, code-generated filter with no join and no shuffle.
-A larger set falls back to an equi-join on masked prefixes.
+CIDRs given as texts in the rules become hash-set literals of masked prefixes,
+one set per (family, length): a narrow, code-generated filter. A CIDR table of
+any size is met by equality of prefixes of every fourth length.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.config import LIMITS
 from wardlog.functions.addresses import ip_number, mask_hi, mask_lo
 
 # Special-purpose ranges that are never listed. IPv6 outside
@@ -68,12 +66,6 @@ def literal_prefixes(cidrs: Iterable[str]) -> list[Prefix]:
     return found
 
 
-def table_prefixes(cidrs: DataFrame, limit: int = LIMITS.never_block_entries) -> list[Prefix] | None:
-    """Rows of a CIDR table (family, hi, lo, bits), or None beyond ``limit``."""
-    rows = cidrs.select("family", "hi", "lo", "bits").distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else [Prefix(*row) for row in rows]
-
-
 def covering(prefixes: Iterable[Prefix]) -> Callable[[Column], Column]:
     """Test of an address struct against a set of prefixes, one hash-set
     lookup per prefix length in use."""
@@ -104,48 +96,77 @@ def contained(address: Column, prefixes: Iterable[Prefix]) -> Column:
     return holds_for(address, covering(prefixes))
 
 
-def _join_contained(rows: DataFrame, address: Column, cidrs: DataFrame) -> DataFrame:
-    """Anti-join for CIDR tables too large for literals: explode each distinct
-    address into its masked prefixes for the lengths in use, match on
-    equality, then drop the matching addresses."""
-    lengths = [(r.family, r.bits) for r in cidrs.select("family", "bits").distinct().collect()]
-    keyed = rows.withColumn("_a", address)
-    masked = F.filter(
-        F.array(
+#: Prefixes are compared at every fourth length, so that one CIDR becomes at most 16 of them.
+STEP = 4
+#: Copies of prefixes this short, of which one may hold most addresses.
+COPIES = 16
+
+
+def _short(family: Column, bits: Column) -> Column:
+    return bits <= F.when(family == 4, 16).otherwise(32)
+
+
+def stepped_prefixes(cidrs: DataFrame) -> DataFrame:
+    """Disjoint cover of a CIDR table (family, hi, lo, bits) by prefixes of
+    stepped lengths, short ones once for each ``copy``."""
+    steps = F.greatest(F.lit(STEP), (F.ceil(F.col("bits") / STEP) * STEP).cast("int"))
+    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_to") - F.col("bits")) - 1
+    rest = lambda end: F.call_function("shiftleft", F.col("_j"), F.lit(end) - F.col("_to"))
+    cut = (
+        cidrs.select("family", "hi", "lo", "bits")
+        .withColumn("_to", steps)
+        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .select(
+            "family",
+            F.when(F.col("_to") <= 64, F.col("hi").bitwiseOR(rest(64))).otherwise(F.col("hi")).alias("hi"),
+            F.when(F.col("_to") > 64, F.col("lo").bitwiseOR(rest(128))).otherwise(F.col("lo")).alias("lo"),
+            F.col("_to").alias("bits"),
+        )
+        .distinct()
+    )
+    copies = F.when(_short(F.col("family"), F.col("bits")), F.lit(COPIES)).otherwise(F.lit(1))
+    return cut.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+
+
+def _stepped_masks(address: str, longest: int) -> Column:
+    """The prefixes of an address at every stepped length, as an array."""
+
+    def masks(top: int) -> Column:
+        return F.array(
             *[
-                F.when(
-                    F.col("_a.family") == family,
-                    F.struct(
-                        mask_hi(F.col("_a.hi"), bits).alias("hi"),
-                        mask_lo(F.col("_a.lo"), bits).alias("lo"),
-                        F.lit(bits).alias("bits"),
-                    ),
+                F.struct(
+                    mask_hi(F.col(f"{address}.hi"), bits).alias("hi"),
+                    mask_lo(F.col(f"{address}.lo"), bits).alias("lo"),
+                    F.lit(bits).alias("bits"),
                 )
-                for family, bits in lengths
+                for bits in range(STEP, top + 1, STEP)
             ]
-        ),
-        lambda m: m.isNotNull(),
-    )
+        )
+
+    return F.when(F.col(f"{address}.family") == 4, masks(32)).otherwise(masks(longest))
+
+
+def cidr_anti_join(rows: DataFrame, address: Column, cidrs: DataFrame, longest: int = 128) -> DataFrame:
+    """Rows whose address struct lies in none of the CIDRs, of which none is
+    longer than ``longest``. One plan for tables of any size: distinct addresses
+    meet prefixes of equal stepped length by equality. A prefix that may hold
+    most addresses is short and is there in copies, over which they are spread."""
+    keyed = rows.withColumn("_a", address)
+    copy = F.when(_short(F.col("family"), F.col("bits")), F.pmod(F.xxhash64("_a"), F.lit(COPIES))).otherwise(0)
     hits = (
-        keyed.select("_a")
+        keyed.where(F.col("_a").isNotNull())
+        .select("_a")
         .distinct()
-        .withColumn("_m", F.explode(masked))
+        .withColumn("_m", F.explode(_stepped_masks("_a", longest)))
         .select("_a", F.col("_a.family").alias("family"), "_m.hi", "_m.lo", "_m.bits")
-        .join(cidrs.select("family", "hi", "lo", "bits").distinct(), ["family", "hi", "lo", "bits"], "left_semi")
+        .withColumn("copy", copy.cast("int"))
+        .join(stepped_prefixes(cidrs), ["family", "hi", "lo", "bits", "copy"], "left_semi")
         .select("_a")
         .distinct()
     )
     return keyed.join(hits, "_a", "left_anti").drop("_a")
 
 
-def cidr_anti_join(rows: DataFrame, address: Column, cidrs: DataFrame) -> DataFrame:
-    """Rows whose address struct lies in none of the CIDRs."""
-    prefixes = table_prefixes(cidrs)
-    if prefixes is None:
-        return _join_contained(rows, address, cidrs)
-    return rows.where(~contained(address, prefixes))
-
-
 def trusted_anti_join(observations: DataFrame, cidrs: Iterable[str], column: str = "source_ip") -> DataFrame:
     """Drop observations from trusted networks given in the rules."""
     prefixes = literal_prefixes(cidrs)
@@ -170,9 +191,5 @@ def excluded_prefix_anti_join(keys: DataFrame, never: DataFrame | None = None, c
         F.when(F.col("bits") > 64, F.lit(0).cast("bigint")).otherwise(F.col("lo")).alias("lo"),
         length.alias("bits"),
     )
-    prefixes = table_prefixes(clipped)
-    if prefixes is None:
-        listed = keys.where(holds_for(address, lambda a: allowed(a) & ~special(a)))
-        return _join_contained(listed, address, clipped)
-    blocked = covering(prefixes)
-    return keys.where(holds_for(address, lambda a: allowed(a) & ~special(a) & ~blocked(a)))
+    listed = keys.where(holds_for(address, lambda a: allowed(a) & ~special(a)))
+    return cidr_anti_join(listed, address, clipped, longest=64)

@@ -283,6 +283,27 @@ def excluded_prefix_anti_join(fx: Fixture):
     return networks.excluded_prefix_anti_join(keys, fx.never_block)
 
 
+@add(
+    "cidr_anti_join",
+    f"""WITH {OBS_CTE}, never AS (SELECT DISTINCT CASE WHEN l_orderkey % 5 = 0 THEN concat('11.', l_orderkey % 8, '.', l_partkey % 256, '.0/24')
+        ELSE concat('11.', l_orderkey % 8, '.', l_partkey % 241, '.', (l_orderkey * 31 + l_linenumber) % 256, '/32') END AS cidr FROM lineitem)
+    SELECT event_id, source_ip FROM obs WHERE contains(source_ip, ':') OR NOT (
+      concat(source_ip, '/32') IN (SELECT cidr FROM never)
+      OR regexp_replace(source_ip, '[0-9]+$', '0/24') IN (SELECT cidr FROM never))""",
+)
+def cidr_anti_join(fx: Fixture):
+    """Addresses against a table of CIDRs that grows with the line items."""
+    l = F.col("l_orderkey")  # noqa: E741
+    text = F.when(
+        l % 5 == 0, F.concat(F.lit("11."), l % 8, F.lit("."), F.col("l_partkey") % 256, F.lit(".0/24"))
+    ).otherwise(
+        F.concat(F.lit("11."), l % 8, F.lit("."), F.col("l_partkey") % 241, F.lit("."), (l * 31 + F.col("l_linenumber")) % 256, F.lit("/32"))
+    )
+    cidrs = fx.table("lineitem").select(text.alias("cidr")).distinct().select(addresses.cidr_columns(F.col("cidr")).alias("c")).select("c.*")
+    kept = networks.cidr_anti_join(fx.obs, addresses.ip_number(F.col("source_ip")), cidrs)
+    return kept.select("event_id", "source_ip")
+
+
 @add("deny_key", f"WITH {OBS_CTE} SELECT event_id, {KEY_SQL} AS key FROM obs")
 def deny_key(fx: Fixture):
     return fx.obs.select("event_id", addresses.deny_key(F.col("source_ip")).alias("key"))
