@@ -113,6 +113,10 @@ def test_each_rejection_has_its_reason_and_leaks_nothing(spark, tmp_path):
     good = signing.envelope(signing.payload())
     write_files(root, good)
     (root / "huge.json").write_bytes(b" " * 1_060_000)
+    (root / "empty.json").write_bytes(b"")
+    (root / "deep" / "er").mkdir(parents=True)
+    (root / "deep" / "er" / "empty.json").write_bytes(b"")
+    (root / "deep" / "other.txt").write_bytes(b"")
     (root / "broken.json").write_bytes(good[1] + b" ")
     (root / "moved.json").write_bytes(good[1])
     write_files(
@@ -131,12 +135,12 @@ def test_each_rejection_has_its_reason_and_leaks_nothing(spark, tmp_path):
     report = json.loads((tmp_path / "out/quarantine.json").read_text())
     reasons = {e["file"]: e["reason"] for e in report["entries"]}
     assert result.accepted == 1 and result.quarantined == len(reasons)
-    assert reasons["huge.json"] == "invalid_size"
+    assert reasons["huge.json"] == reasons["empty.json"] == reasons["deep/er/empty.json"] == "invalid_size"
     assert reasons["broken.json"] == "invalid_envelope" and reasons["moved.json"] == "invalid_blob_name"
     assert reasons[gap[0]] == "sequence_gap" and reasons[wrong[0]] == "hash_chain_mismatch"
     assert reasons[name] == "invalid_time"
     assert sorted(reasons.values()) == sorted(
-        ["invalid_size", "invalid_envelope", "invalid_blob_name"] + ["unregistered_source"] * 2
+        ["invalid_size"] * 3 + ["invalid_envelope", "invalid_blob_name"] + ["unregistered_source"] * 2
         + ["unregistered_key", "invalid_signature", "invalid_time", "sequence_gap", "hash_chain_mismatch"]
     )
     assert [e["file"] for e in report["entries"]] == sorted(reasons)

@@ -71,20 +71,31 @@ def merge_evidence(*facts: DataFrame) -> DataFrame:
 
 def nest_evidence(facts: DataFrame, max_days: int = LIMITS.deny_days) -> DataFrame:
     """The published record: last_seen, the newest days, latest day per sensor.
-    Sensors and days are bounded by the registry and the retention, so a key's
-    arrays stay small however many events it had."""
-    per_source = facts.groupBy("key", "source_id").agg(
-        F.max("last_seen").alias("last_seen"), F.max("day").alias("latest"), F.collect_set("day").alias("_days")
+    A key's days are bits of 32-day blocks, folded over all sensors before
+    anything is listed; sensors come as one row each."""
+    number = F.unix_date("day")
+    days_of = facts.groupBy("key", F.floor(number / 32).cast("int").alias("block")).agg(
+        F.max("last_seen").alias("last_seen"), F.bit_or(_bit(F.pmod(number, F.lit(32)))).alias("bits")
     )
-    return per_source.groupBy("key").agg(
+    sensors = facts.groupBy("key", "source_id").agg(F.max("day").alias("latest"))
+    both = days_of.select("key", "last_seen", F.struct("block", "bits").alias("b"), F.lit(None).cast("struct<source_id:string,latest:date>").alias("s"))
+    both = both.unionByName(sensors.select("key", F.struct("source_id", "latest").alias("s")), allowMissingColumns=True)
+    per_key = both.groupBy("key").agg(
         F.max("last_seen").alias("last_seen"),
-        F.slice(
-            F.concat(F.array_repeat(F.lit(None).cast("date"), max_days), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_days"))))),
-            -max_days,
-            max_days,
-        ).alias("days"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_id", "latest")))).alias("sources"),
-    ).withColumn("days", F.array_compact("days"))
+        F.array_sort(F.collect_list("b")).alias("_blocks"),
+        F.map_from_entries(F.array_sort(F.collect_list("s"))).alias("sources"),
+    )
+    set_days = lambda b: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.getbit(b["bits"], i) == 1),
+        lambda i: F.date_from_unix_date(b["block"] * 32 + i),
+    )
+    all_days = F.flatten(F.transform("_blocks", set_days))
+    newest = F.slice(all_days, F.greatest(F.size(all_days) - max_days, F.lit(0)) + 1, F.lit(max_days))
+    return per_key.select("key", "last_seen", newest.alias("days"), "sources")
+
+
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
 
 
 def deny_evidence(events: DataFrame) -> DataFrame:
@@ -130,11 +141,12 @@ def build_deny_lists(
     per_source_day = facts.withColumn("_in", F.col("day") >= cutoff_day)
     # One row per key from here on, far fewer than events: stored once, since
     # the address expressions below are long to plan over a long query.
-    # Distinct sensors and days inside the window as bounded sets per key:
-    # the facts are already unique per (key, sensor, day).
+    # Days inside the window are bits: the window has 31, and what comes after
+    # it shares the last bit, as acceptance refuses hours that are yet to come.
+    day = F.least(F.date_diff("day", cutoff_day), F.lit(62))
     per_key = per_source_day.groupBy("key").agg(
         F.max("last_seen").alias("last_seen"),
-        F.size(F.collect_set(F.when(F.col("_in"), F.col("day")))).alias("_days"),
+        F.bit_count(F.bit_or(F.when(F.col("_in"), _bit(day)))).alias("_days"),
         F.min(F.when(F.col("_in"), F.col("source_id"))).alias("_first"),
         F.max(F.when(F.col("_in"), F.col("source_id"))).alias("_second"),
     )

@@ -248,13 +248,15 @@ def _newer(spark: SparkSession, candidate: str | None, current: str | None) -> s
 
 
 def publish_deny_lists(
-    spark: SparkSession, root: str, now: str, directory: str, never: DataFrame | None = None, names: WireNames = NAMES
+    spark: SparkSession, root: str, now: str, directory: str, never: DataFrame | None = None,
+    names: WireNames = NAMES, single_files: bool = True,
 ) -> None:
-    """Render both lists from the committed state."""
+    """Render both lists from the committed state: parts with an index and, on
+    request, the one file the parts make up."""
     state = store.load_state(spark, root)
     instant = F.lit(now).cast("timestamp")
     # parts expire by whole days; what is too old within the oldest day goes here
     lists = build_deny_lists(prune_evidence(state.evidence, instant), instant, never)
     if state.version:
         lists = store.stage(lists, root, state.version, "lists")
-    write_deny_lists(lists, instant, directory, names)
+    write_deny_lists(lists, instant, directory, names, single_files)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
@@ -13,7 +14,7 @@ from wardlog.operators.canonical import transport_escaped
 from wardlog.operators.rollup import PERIOD, label_sources, order_sources, top_n
 from wardlog.session import cut_lineage
 from wardlog.sinks.render import render_ipset, render_nft, render_text
-from wardlog.sinks.storage import file_system, replace_file
+from wardlog.sinks.storage import file_system, join_files, replace_file, write_bytes
 from wardlog.sources.files import path_exists
 
 SENSORS = "array<struct<source_id:string,source_epoch:string,kind:string,count:bigint>>"
@@ -34,10 +35,47 @@ def publish_file(df: DataFrame, path: str) -> None:
     system.delete(folder, True)
 
 
-def publish_lines(lines: DataFrame, path: str) -> None:
-    """Write rendered (ord, line) rows in order as one file. The lists are
-    bounded by the evidence cap before they get here."""
-    publish_file(lines.orderBy("ord").select("line"), path)
+def parts_folder(path: str) -> str:
+    """Where a list's parts lie: beside it, so that its folder holds documents only."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/parts/{name}"
+
+
+def publish_lines(lines: DataFrame, path: str, single_file: bool = True) -> None:
+    """Write rendered (ord, line) rows in order. The rows are dealt out by ranges
+    of their position, each range is sorted and becomes one part, so a list of
+    any length is written by all tasks. The parts joined in the index's order are
+    the document; the index names them and is renamed last. The parts of
+    the index before it stay for readers that are under way.
+
+    ``single_file`` also joins them to the file ``path``: bytes copied one after
+    the other with a small buffer, as a storage without joining demands.
+    """
+    spark, version, base = lines.sparkSession, uuid.uuid4().hex, parts_folder(path)
+    folder = f"{base}/{version}"
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("line").write.text(folder)
+    system, written = file_system(spark, folder)
+    files = sorted((s.getPath().getName(), s.getLen()) for s in system.listStatus(written) if s.getPath().getName().startswith("part-"))
+    before = read_index(spark, path)
+    parts = [{"name": f"{version}/{name}", "bytes": size} for name, size in files if size]
+    staging = f"{base}.index.staging-{version}"
+    write_bytes(spark, staging, json.dumps({"parts": parts}).encode())
+    replace_file(spark, staging, f"{base}.index")
+    in_use = {version, *(part["name"].split("/")[0] for part in before)}
+    for old in system.listStatus(written.getParent()):
+        if old.getPath().getName() not in in_use:
+            system.delete(old.getPath(), True)
+    if single_file:
+        join_files(spark, [f"{base}/{part['name']}" for part in parts], f"{path}.staging-{version}")
+        replace_file(spark, f"{path}.staging-{version}", path)
+
+
+def read_index(spark: SparkSession, path: str) -> list[dict]:
+    """The parts of a published list in order; none before the first."""
+    index = f"{parts_folder(path)}.index"
+    if not path_exists(spark, index):
+        return []
+    return json.loads(spark.read.text(index, wholetext=True).first().value)["parts"]
 
 
 def rollup_periods(totals: DataFrame, counts: DataFrame, heads: DataFrame) -> DataFrame:
@@ -156,14 +194,16 @@ def write_manifest(statuses: DataFrame, path: str, names: WireNames = NAMES) ->
     )
 
 
-def write_deny_lists(lists: DataFrame, now: Column, directory: str, names: WireNames = NAMES) -> None:
+def write_deny_lists(
+    lists: DataFrame, now: Column, directory: str, names: WireNames = NAMES, single_files: bool = True
+) -> None:
     """Two lists in three formats. ``lists`` is read six times, so it is best
     given as a stored or cached table."""
     windows = {"recent": LIMITS.recent_hours * 3600, "persistent": LIMITS.persistent_days * 86_400}
     for name, seconds in windows.items():
-        publish_lines(render_text(lists, name, now, names), f"{directory}/{name}.txt")
-        publish_lines(render_nft(lists, name, now, names), f"{directory}/{name}.nft")
-        publish_lines(render_ipset(lists, name, seconds, now, names), f"{directory}/{name}.ipset")
+        publish_lines(render_text(lists, name, now, names), f"{directory}/{name}.txt", single_files)
+        publish_lines(render_nft(lists, name, now, names), f"{directory}/{name}.nft", single_files)
+        publish_lines(render_ipset(lists, name, seconds, now, names), f"{directory}/{name}.ipset", single_files)
 
 
 def envelope_conflicts(envelopes: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -23,3 +23,29 @@ def replace_file(spark: SparkSession, source: str, target: str) -> None:
         system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
     )
     context.rename(system.makeQualified(old), system.makeQualified(new), options)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    system, target = file_system(spark, path)
+    system.mkdirs(target.getParent())
+    stream = system.create(target, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def join_files(spark: SparkSession, parts: list[str], target: str) -> None:
+    """One file with the bytes of several, copied by the file-system layer."""
+    system, path = file_system(spark, target)
+    system.mkdirs(path.getParent())
+    out = system.create(path, True)
+    try:
+        for part in parts:
+            source = system.open(file_system(spark, part)[1])
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+    finally:
+        out.close()

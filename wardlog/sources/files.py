@@ -11,6 +11,7 @@ from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.functions.addresses import cidr_columns
 from wardlog.functions.text import first_reason, holds, valid_identity, valid_key_id, valid_repository
 from wardlog.operators.canonical import base64url
+from wardlog.sources.empty import empty_files
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +27,8 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def scan_envelopes(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.json`` below ``root``: file (relative), bytes, content.
+    """Every ``*.json`` below ``root``: file (relative), bytes, content. Empty
+    files come from a listing of their own, since Spark's reader leaves them out.
 
     Content is kept only for files of a legal size; the reader prunes it for
     plans that need the listing alone.
@@ -41,11 +43,13 @@ def scan_envelopes(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.json")
         .load(root)
     )
-    return files.select(
+    filled = files.select(
         F.substring(plain, len(prefix) + 1, 2**31 - 1).alias("file"),
         F.col("length").alias("bytes"),
         F.when(F.col("length").between(1, LIMITS.envelope_bytes), F.col("content")).alias("content"),
-    )
+    ).where(F.col("bytes") > 0)
+    empty = empty_files(spark, root, "*.json").select("file", F.lit(0).cast("bigint").alias("bytes"))
+    return filled.unionByName(empty, allowMissingColumns=True)
 
 
 def _document(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], item: str, item_keys: list[str]) -> DataFrame:
