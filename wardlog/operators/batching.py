@@ -223,12 +223,16 @@ def event_bytes() -> Column:
 def size_split(cut: DataFrame, created_at: str, classifier_version: str, names: WireNames = NAMES, limits: Limits = LIMITS) -> DataFrame:
     """The cut with every batch whose encoded payload is too large divided into
     consecutive parts that fit; both ``batch`` and ``position`` are numbered
-    anew and every event stays. One build finds the large batches, one window
-    over their events (10,000 at most each) finds the parts."""
+    anew and every event stays. Payloads are built only of batches whose sum of
+    bounds is too large; one window over the events of those that are (10,000
+    at most each) finds the parts."""
     by = [*SENSOR, "batch"]
-    headers = batch_headers(cut, None, created_at)
+    bound = F.sum(event_bytes()) + HEADER_BYTES
+    suspects = cut.groupBy(*by).agg(bound.alias("_bound")).where(F.col("_bound") > limits.batch_bytes).select(*by)
+    doubtful = cut.join(suspects, by, "left_semi")
+    headers = batch_headers(doubtful, None, created_at)
     size = F.octet_length(transport_payload(F.col("payload")))
-    large = assemble_payloads(cut, headers, by, classifier_version, names).where(size > limits.batch_bytes).select(*by)
+    large = assemble_payloads(doubtful, headers, by, classifier_version, names).where(size > limits.batch_bytes).select(*by)
     running = Window.partitionBy(*by).orderBy("position")
     marked = cut.join(large.withColumn("_large", F.lit(True)), by, "left")
     part = F.floor(F.sum(event_bytes()).over(running) / (limits.batch_bytes - HEADER_BYTES))
