@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from wardlog.config import LIMITS
 from wardlog.functions import times
 from wardlog.operators import batching, dashboard, evidence, rollup
-from wardlog.operators.canonical import payload_hash
+from wardlog.operators.canonical import payload_hash, transport_payload
 from wardlog.plans.fixtures import (
     DIMENSIONS_CTE,
     EPOCH,
@@ -21,6 +24,7 @@ from wardlog.plans.fixtures import (
     shown,
     shown_micro,
 )
+from wardlog.session import stage_table
 from wardlog.sinks import render
 
 catalog = Catalog()
@@ -133,6 +137,38 @@ def build_batches(fx: Fixture):
     )
 
 
+@add(
+    "size_split",
+    f"""WITH {CUT_CTE} SELECT source_id, count(*) AS events, CAST(0 AS BIGINT) AS too_large, true AS gapless, true AS divided
+    FROM cut GROUP BY source_id""",
+)
+def size_split(fx: Fixture):
+    """Batches of 1,000 events under a limit of 16 KiB: all events stay, no
+    payload is larger, batches and positions are numbered without gaps, and
+    every sensor has more batches than before."""
+    cut = stage_table(batching.batch_cut(fx.promoted, F.lit(WATERMARK).cast("timestamp"), 1000), "cut")
+    small = replace(LIMITS, batch_bytes=16_384)
+    split = stage_table(batching.size_split(cut, "2024-01-30T00:00:00Z", "rules-v1", limits=small), "split")
+    by = ["source_id", "source_epoch", "batch"]
+    headers = batching.batch_headers(split, None, "2024-01-30T00:00:00Z")
+    payloads = batching.assemble_payloads(split, headers, by, "rules-v1")
+    sizes = payloads.select(*by, F.octet_length(transport_payload(F.col("payload"))).alias("bytes"))
+    events = split.groupBy(*by).agg(F.count("*").alias("n"), F.max("position").alias("top"), F.min("position").alias("low"))
+    before = cut.groupBy("source_id").agg((F.max("batch") + 1).alias("was"))
+    return (
+        events.join(sizes, by)
+        .groupBy("source_id")
+        .agg(
+            F.sum("n").alias("events"),
+            F.sum((F.col("bytes") > small.batch_bytes).cast("bigint")).alias("too_large"),
+            (F.every((F.col("top") == F.col("n")) & (F.col("low") == 1)) & (F.count("*") == F.max("batch") + 1)).alias("gapless"),
+            F.count("*").alias("is_now"),
+        )
+        .join(before, "source_id")
+        .select("source_id", "events", "too_large", "gapless", (F.col("is_now") > F.col("was")).alias("divided"))
+    )
+
+
 @add(
     "next_pending",
     f"""WITH {PROMOTED_CTE}, batches AS (SELECT source_id, seq, CAST(sum(n) AS BIGINT) AS events FROM buckets GROUP BY ALL)
