@@ -245,10 +245,37 @@ def _judged(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.repartition(*SENSOR, "_start").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def verify_chain(accepted: DataFrame) -> DataFrame:
-    """Sensors whose stored chain is not contiguous from zero, has a repeated
-    sequence, a malformed hash or a name that is not deterministic. Two
-    grouped aggregations, no ordered scan of a sensor."""
+#: Columns of a stored batch that its digest covers.
+STORED = ("source_id", "source_epoch", "kind", "sequence", "payload_hash", "blob_name", "created_at")
+LANES = ("digest_a", "digest_b")
+
+
+def digest_sums() -> list[Column]:
+    """Two sums of 60 bits of each row's SHA-256. Sums of parts add up to the sum
+    of the whole, so a digest is carried from run to run and no order is needed."""
+    text = F.sha2(F.to_json(F.struct(*STORED)), 256)
+    lane = lambda i: F.conv(F.substring(text, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    return [F.sum(lane(i)).cast("decimal(38,0)").alias(name) for i, name in enumerate(LANES)]
+
+
+def moved_chains(accepted: DataFrame, heads: DataFrame) -> DataFrame:
+    """What a run's accepted batches make of their sensors' chains: where the
+    chain stood before, its head now, steps and digest of the run, and kind."""
+    seq = sequence_number(F.col("sequence"))
+    before = heads.select(*SENSOR, F.col("next_sequence").alias("_before"))
+    moved = accepted.groupBy(*SENSOR).agg(
+        F.max("kind").alias("kind"),
+        (F.max(seq) + 1).cast(SEQUENCE).cast("string").alias("next_sequence"),
+        F.max_by("payload_hash", seq).alias("previous_hash"),
+        F.count("*").alias("steps"),
+        *digest_sums(),
+    )
+    return moved.join(before, SENSOR, "left").withColumn("first_sequence", F.coalesce("_before", F.lit("0"))).drop("_before")
+
+
+def _spans(accepted: DataFrame, digests: bool = False) -> DataFrame:
+    """First, last and number of steps per sensor, most copies of one, whether a
+    name or hash is malformed. Two grouped aggregations, no ordered scan."""
     named = F.col("blob_name") == blob_name(
         F.col("source_id"), F.col("source_epoch"), F.col("sequence"), F.col("payload_hash")
     )
@@ -258,28 +285,72 @@ def verify_chain(accepted: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.max(F.when(holds(named) & hex_digest(F.col("payload_hash"), 64), 0).otherwise(1)).alias("bad"),
+            *(digest_sums() if digests else []),
         )
     )
+    return per_step.groupBy(*SENSOR).agg(
+        F.count("*").alias("steps"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("last"),
+        F.max("n").alias("copies"),
+        F.max("bad").alias("bad"),
+        *(F.sum(c).cast("decimal(38,0)").alias(c) for c in (LANES if digests else ())),
+    )
+
+
+def _violation(first: Column) -> Column:
     return (
-        per_step.groupBy(*SENSOR)
-        .agg(
-            F.count("*").alias("steps"),
-            F.min("seq").alias("first"),
-            F.max("seq").alias("last"),
-            F.max("n").alias("copies"),
-            F.max("bad").alias("bad"),
-        )
-        .withColumn(
-            "violation",
-            F.when((F.col("first") != 0) | (F.col("last") + 1 != F.col("steps")), "chain_not_contiguous")
-            .when(F.col("copies") > 1, "repeated_sequence")
-            .when(F.col("bad") > 0, "invalid_name_or_hash"),
-        )
-        .where(F.col("violation").isNotNull())
-        .select(*SENSOR, "violation")
+        F.when((F.col("first") != first) | (F.col("last") + 1 - first != F.col("steps")), "chain_not_contiguous")
+        .when(F.col("copies") > 1, "repeated_sequence")
+        .when(F.col("bad") > 0, "invalid_name_or_hash")
     )
 
 
+def verify_chain(accepted: DataFrame) -> DataFrame:
+    """Sensors whose stored chain is not contiguous from zero, has a repeated
+    sequence, a malformed hash or a name that is not deterministic."""
+    checked = _spans(accepted).withColumn("violation", _violation(F.lit(0)))
+    return checked.where(F.col("violation").isNotNull()).select(*SENSOR, "violation")
+
+
+def verify_run(stored: DataFrame, moved: DataFrame, heads: DataFrame) -> DataFrame:
+    """The same for the rows of one run alone: they must continue the chain from
+    where ``moved`` says it stood, have the digest it tells and end at the head."""
+    told = moved.select(*SENSOR, sequence_number(F.col("first_sequence")).alias("_first"), *[F.col(c).alias(f"_{c}") for c in LANES])
+    at = heads.select(*SENSOR, sequence_number(F.col("next_sequence")).alias("_next"))
+    both = _spans(stored, digests=True).join(told, SENSOR, "full").join(at, SENSOR, "left")
+    same = F.lit(True)
+    for c in LANES:
+        same = same & holds(F.col(c) == F.col(f"_{c}"))
+    checked = both.withColumn(
+        "violation",
+        F.coalesce(
+            F.when(F.col("_first").isNull() | F.col("steps").isNull(), "rows_changed"),
+            _violation(F.col("_first")),
+            F.when(~same, "rows_changed"),
+            F.when(~holds(F.col("last") + 1 == F.col("_next")), "head_changed"),
+        ),
+    )
+    return checked.where(F.col("violation").isNotNull()).select(*SENSOR, "violation")
+
+
+def with_digests(heads: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Heads with the digest of all their stored batches."""
+    sums = accepted.groupBy(*SENSOR).agg(*digest_sums())
+    return heads.drop(*LANES).join(sums, SENSOR, "left")
+
+
+def audit_chain(accepted: DataFrame, heads: DataFrame) -> DataFrame:
+    """Every stored batch against the chain rules and the digest in its head."""
+    told = heads.select(*SENSOR, F.lit(True).alias("_head"), *[F.col(c).alias(f"_{c}") for c in LANES])
+    both = accepted.groupBy(*SENSOR).agg(*digest_sums()).join(told, SENSOR, "full")
+    same = F.col("_head").isNotNull()
+    for c in LANES:
+        same = same & holds(F.col(c) == F.col(f"_{c}"))
+    changed = both.where(~same).select(*SENSOR, F.lit("rows_changed").alias("violation"))
+    return verify_chain(accepted).unionByName(changed).groupBy(*SENSOR).agg(F.min("violation").alias("violation"))
+
+
 def run_summary(statuses: DataFrame) -> DataFrame:
     """Accepted, replayed and quarantined counts from a ``status`` column."""
     kind = (

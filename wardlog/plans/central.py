@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS, NAMES, WireNames
-from wardlog.functions.text import holds
+from wardlog.functions.text import holds, sequence_number
 from wardlog.functions.times import days, parse_rfc3339, strict_utc
 from wardlog.operators.acceptance import (
+    LANES,
     accept_chain,
-    chain_heads,
+    audit_chain,
     join_registry,
     mark_replays,
+    moved_chains,
     refresh_kinds,
     verify_chain,
+    verify_run,
+    with_digests,
 )
 from wardlog.operators.canonical import decode_batches, verify_signatures
 from wardlog.operators.evidence import (
@@ -101,31 +105,48 @@ def check_envelopes(files: DataFrame, registry: DataFrame, now: str, names: Wire
 
 
 def decide(checked: DataFrame, state: store.State) -> DataFrame:
-    """``status`` of every file: accepted, replay, or the quarantine reason."""
+    """``status`` of every file: accepted, replay, or the quarantine reason.
+    Only sequences behind their sensor's head can be stored already; without
+    any, no accepted batch is read."""
     identity = ["file", "bytes", "sha256", *SENSOR, "sequence", "previous_batch_hash", "payload_hash", "blob_name"]
     valid = checked.where(F.col("reason").isNull()).select(*identity)
-    marked = mark_replays(valid, state.accepted)
-    settled = marked.where(F.col("status").isNotNull())
-    tried = accept_chain(marked.where(F.col("status").isNull()).drop("status"), state.heads)
+    at = state.heads.select(*SENSOR, sequence_number(F.col("next_sequence")).alias("_next"))
+    placed = valid.join(at, SENSOR, "left").withColumn("_old", holds(sequence_number(F.col("sequence")) < F.col("_next"))).drop("_next")
+    old, news = placed.where("_old").drop("_old"), placed.where("NOT _old").drop("_old")
     failed = checked.where(F.col("reason").isNotNull()).select(*identity, F.col("reason").alias("status"))
-    return settled.unionByName(tried).unionByName(failed)
-
-
-def check_state(state: store.State) -> None:
-    """Refuse to build on a damaged state."""
-    validate_state(state.totals, state.counts, state.evidence)
-    broken = verify_chain(state.accepted).limit(1).collect()
-    if broken:
-        raise ValueError(f"stored chain of {broken[0].source_id} is invalid: {broken[0].violation}")
-
-
-def next_heads(state: store.State, accepted: DataFrame, registry: DataFrame) -> DataFrame:
-    """Chain heads after the run, labelled with the registry's current kinds."""
-    moved = chain_heads(accepted).join(
-        accepted.groupBy(*SENSOR).agg(F.max("kind").alias("kind")), SENSOR
-    )
-    still = state.heads.join(moved, SENSOR, "left_anti")
-    return refresh_kinds(still.unionByName(moved), registry)
+    if old.isEmpty():
+        return accept_chain(news, state.heads).unionByName(failed)
+    marked = mark_replays(old, state.accepted)
+    settled = marked.where(F.col("status").isNotNull())
+    news = news.unionByName(marked.where(F.col("status").isNull()).drop("status"))
+    return settled.unionByName(accept_chain(news, state.heads)).unionByName(failed)
+
+
+def check_state(state: store.State, audit: bool = False) -> None:
+    """Refuse to build on a damaged state. What the last run wrote is checked
+    against what it said; ``audit``, or a state without digests, reads all."""
+    whole = audit or state.moved is None
+    table = lambda n: state.tables[n] if whole else state.fresh.get(n, state.tables[n])
+    validate_state(table("totals"), table("counts"), table("evidence"))
+    if not whole:
+        broken = verify_run(state.last, state.moved, state.heads)
+    elif state.moved is None:
+        broken = verify_chain(state.accepted)
+    else:
+        broken = audit_chain(state.accepted, state.heads)
+    if found := broken.limit(1).collect():
+        raise ValueError(f"stored chain of {found[0].source_id} is invalid: {found[0].violation}")
+
+
+def next_heads(state: store.State, moved: DataFrame, registry: DataFrame) -> DataFrame:
+    """Chain heads after the run, with the digest of all stored batches, labelled
+    with the registry's current kinds."""
+    held = state.heads if state.moved is not None or not state.version else with_digests(state.heads, state.accepted)
+    before = held.select(*SENSOR, *[F.col(c).alias(f"_{c}") for c in LANES])
+    sums = {c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).cast("decimal(38,0)") for c in LANES}
+    after = moved.join(before, SENSOR, "left").withColumns(sums).select(*held.columns)
+    still = held.join(moved, SENSOR, "left_anti")
+    return refresh_kinds(still.unionByName(after), registry)
 
 
 def fold_rollups(state: store.State, buckets: DataFrame, now):
@@ -211,7 +232,9 @@ def run_ingest(
     # no value counts more than its period, so the totals guard both
     totals, counts = store.stage(count_guard(folded["totals"], "total"), root, version, "totals"), folded["counts"]
     write = lambda df, name: store.write_version(df, root, version, name)
-    heads = write(next_heads(state, accepted, registry), "heads")
+    moved = moved_chains(accepted, state.heads)
+    write(moved, "moved")
+    heads = write(next_heads(state, moved, registry), "heads")
     refused = statuses.where(~F.col("status").isin("accepted", "replay"))
     write(next_parked(files, refused, state.parked, instant) if park else state.parked, "parked")
     store.append_accepted(accepted, root, version)
@@ -230,7 +253,7 @@ def run_ingest(
     # Before the pointer: a run that dies in between is made again and writes it again.
     if manifest:
         write_manifest(statuses, manifest, names)
-    store.commit_state(spark, root, version, run_key, updated_at, parts)
+    store.commit_state(spark, root, version, run_key, updated_at, parts, True)
     accepted_n, replayed_n = tally.get("accepted", 0), tally.get("replay", 0)
     return IngestResult(version, accepted_n, replayed_n, sum(tally.values()) - accepted_n - replayed_n)
 

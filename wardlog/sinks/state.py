@@ -37,6 +37,18 @@ HEADS = (
     .add("kind", "string")
     .add("next_sequence", "string")
     .add("previous_hash", "string")
+    .add("digest_a", "decimal(38,0)")
+    .add("digest_b", "decimal(38,0)")
+)
+#: What the last run did to the chains, checked by the next one.
+MOVED = (
+    T.StructType()
+    .add("source_id", "string")
+    .add("source_epoch", "string")
+    .add("first_sequence", "string")
+    .add("steps", "long")
+    .add("digest_a", "decimal(38,0)")
+    .add("digest_b", "decimal(38,0)")
 )
 FILES = T.StructType().add("file", "string").add("bytes", "long").add("content", "binary")
 PARKED = T.StructType(list(FILES.fields)).add("since", "timestamp")
@@ -49,7 +61,7 @@ TABLES: dict[str, T.StructType] = {
     "evidence": schemas.EVIDENCE,
     "parked": PARKED,
 }
-
+SCHEMAS = TABLES | {"moved": MOVED}
 
 #: Tables in parts, and how their deltas add up.
 PARTED = {"totals": merge_state, "counts": merge_state, "overflow": merge_state, "evidence": merge_evidence}
@@ -67,6 +79,11 @@ class State:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     #: Deltas in force of each part; None for a state of whole tables.
     parts: Parts | None = None
+    #: Of the last run alone: accepted rows, what they did to the chains, rows of
+    #: tables in parts. None or empty for a state written without them.
+    last: DataFrame | None = None
+    moved: DataFrame | None = None
+    fresh: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -98,17 +115,21 @@ def load_state(spark: SparkSession, root: str) -> State:
     if version == 0:
         empty = lambda schema: spark.createDataFrame([], schema)
         return State(0, None, None, empty(schemas.ACCEPTED), {n: empty(s) for n, s in TABLES.items()})
-    accepted = (
-        spark.read.schema(T.StructType(list(schemas.ACCEPTED.fields)).add("run", "integer"))
-        .parquet(f"{root}/accepted")
-        .where(F.col("run") <= version)
-        .drop("run")
-    )
+    runs = spark.read.schema(T.StructType(list(schemas.ACCEPTED.fields)).add("run", "integer")).parquet(f"{root}/accepted")
+    accepted = runs.where(F.col("run") <= version).drop("run")
     parts = pointer.get("parts")
     whole = [n for n in TABLES if parts is None or n not in PARTED]
     tables = {n: spark.read.schema(TABLES[n]).parquet(f"{root}/versions/{version}/{n}") for n in whole}
     tables |= read_parts(spark, root, parts) if parts is not None else {}
-    return State(version, pointer["run_key"], pointer["updated_at"], accepted, tables, parts)
+    state = State(version, pointer["run_key"], pointer["updated_at"], accepted, tables, parts)
+    if pointer.get("chains"):
+        state.last = runs.where(F.col("run") == version).drop("run")
+        state.moved = spark.read.schema(MOVED).parquet(f"{root}/versions/{version}/moved")
+    if parts is not None:
+        own = (str(version), f"{version}-folded")
+        newest = {n: {p: [v for v in held if v in own] for p, held in parts.get(n, {}).items()} for n in PARTED}
+        state.fresh = {n: read_part(spark, root, n, {p: v for p, v in held.items() if v}) for n, held in newest.items()}
+    return state
 
 
 def part_of(name: str) -> Column:
@@ -187,8 +208,8 @@ def stage(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
 def write_version(df: DataFrame, root: str, version: int, name: str) -> DataFrame:
     """Write one whole table of a version and read it back."""
     path = f"{root}/versions/{version}/{name}"
-    df.select(*TABLES[name].fieldNames()).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(TABLES[name]).parquet(path)
+    df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields]).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(SCHEMAS[name]).parquet(path)
 
 
 def append_accepted(df: DataFrame, root: str, version: int) -> None:
@@ -216,6 +237,10 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("run", "reason").agg(F.count("*").alias("files"))
 
 
-def commit_state(spark: SparkSession, root: str, version: int, run_key: str, updated_at: str | None, parts: Parts) -> None:
-    """Make a fully written version current: the last step of a run."""
-    _write_pointer(spark, root, {"version": version, "run_key": run_key, "updated_at": updated_at, "parts": parts})
+def commit_state(
+    spark: SparkSession, root: str, version: int, run_key: str, updated_at: str | None, parts: Parts, chains: bool = False
+) -> None:
+    """Make a fully written version current: the last step of a run. ``chains``
+    says that the heads carry digests and the version has a table ``moved``."""
+    pointer = {"version": version, "run_key": run_key, "updated_at": updated_at, "parts": parts, "chains": chains}
+    _write_pointer(spark, root, pointer)
