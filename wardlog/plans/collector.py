@@ -90,12 +90,30 @@ def pump(
     simply still unassigned. One call empties the backlog; callers append the
     assignments and advance the heads to each sensor's last batch.
     """
+    waiting = events.join(assigned.select("event_id"), "event_id", "left_anti")
+    return cut_round(waiting, heads, now, classifier_version, names)
+
+
+def cut_round(
+    waiting: DataFrame,
+    heads: DataFrame,
+    now: datetime,
+    classifier_version: str,
+    names: WireNames = NAMES,
+    max_observations: int = LIMITS.batch_records,
+) -> tuple[DataFrame, DataFrame]:
+    """(batches, assignments) of those events in no batch that are ready at ``now``."""
     hour, watermark = hour_and_watermark(now)
     created_at = hour.strftime("%Y-%m-%dT%H:%M:%SZ")
-    waiting = events.join(assigned.select("event_id"), "event_id", "left_anti")
-    cut = stage_table(batch_cut(waiting, instant(watermark), LIMITS.batch_records), "cut")
+    cut = stage_table(batch_cut(waiting, instant(watermark), max_observations), "cut")
     cut = stage_table(size_split(cut, created_at, classifier_version, names), "split")
     batches = with_identity(assemble_batches(cut, heads, created_at, classifier_version, names), names)
     sequences = batch_headers(cut, heads, created_at).select(*SENSOR, "batch", "sequence")
     assignments = cut.join(sequences, [*SENSOR, "batch"]).select("event_id", *SENSOR, "sequence")
     return batches, assignments
+
+
+def still_waiting(waiting: DataFrame, now: datetime) -> DataFrame:
+    """The events that :func:`cut_round` leaves."""
+    ready = F.col("observed_at") < instant(hour_and_watermark(now)[1])
+    return waiting.where(~F.coalesce(ready, F.lit(False)))
