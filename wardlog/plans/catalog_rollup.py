@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog.config import LIMITS
 from wardlog.functions import times
-from wardlog.operators import batching, dashboard, evidence, rollup
+from wardlog.operators import acceptance, batching, dashboard, evidence, rollup
 from wardlog.operators.canonical import payload_hash, transport_payload
+from wardlog.plans import collector, sensor
 from wardlog.plans.fixtures import (
     DIMENSIONS_CTE,
     EPOCH,
@@ -187,6 +190,42 @@ def next_pending(fx: Fixture):
     return batching.next_pending(batches).select("source_id", "sequence", "events")
 
 
+ROUNDS_CTE = f"""{PROMOTED_CTE},
+in_rounds AS (SELECT *, CASE WHEN observed_at < TIMESTAMP '2024-01-14 23:59:30' THEN 1 ELSE 2 END AS round FROM promoted WHERE observed_at < TIMESTAMP '2024-01-29 23:59:30'),
+placed AS (SELECT *, floor((epoch(observed_at) - epoch(date_trunc('hour', min(observed_at) OVER (PARTITION BY source_id, round)))) / 2678400) AS stretch FROM in_rounds),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id, round, stretch ORDER BY observed_at, CAST(event_id AS BIGINT)) - 1 AS place FROM placed),
+starts AS (SELECT source_id, round, stretch, coalesce(sum(k) OVER (PARTITION BY source_id ORDER BY round, stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source_id, round, stretch, (count(*) + 999) // 1000 AS k FROM numbered GROUP BY ALL) x)"""
+
+
+@add(
+    "cut_rounds",
+    f"""WITH {ROUNDS_CTE} SELECT n.source_id, CAST(CAST(before + place // 1000 AS BIGINT) AS VARCHAR) AS sequence, CAST(round AS BIGINT) AS round,
+      count(*) AS events, CAST(sum(CAST(event_id AS BIGINT)) AS BIGINT) AS ids, true AS linked
+    FROM numbered n JOIN starts s USING (source_id, round, stretch) GROUP BY ALL""",
+)
+def cut_rounds(fx: Fixture):
+    """Two rounds of the sensor side, 1,000 events a batch: what the first leaves
+    waits for the second, whose chains go on from the first's heads."""
+    waiting, heads, rounds = fx.promoted, None, []
+    for number, now in enumerate((datetime(2024, 1, 15, 0, 5), datetime(2024, 1, 30, 0, 5)), 1):
+        batches, assigned = collector.cut_round(waiting, heads, now, "rules-v1", max_observations=1000)
+        keys = batches.select("source_id", "source_epoch", "payload.sequence", "payload.previous_batch_hash", "payload_hash")
+        keys = stage_table(keys, "batches")
+        moved = acceptance.chain_heads(keys)
+        before = F.lag("payload_hash").over(Window.partitionBy("source_id").orderBy(F.col("sequence").cast("long")))
+        first = F.lit(None).cast("string") if heads is None else F.col("previous_hash")
+        chained = keys if heads is None else keys.join(heads.drop("next_sequence"), ["source_id", "source_epoch"], "left")
+        linked = chained.select(
+            "source_id", "sequence", F.col("previous_batch_hash").eqNullSafe(F.coalesce(before, first)).alias("linked")
+        )
+        events = assigned.groupBy("source_id", "sequence").agg(F.count("*").alias("events"), F.sum(F.col("event_id").cast("long")).alias("ids"))
+        rounds.append(events.join(linked, ["source_id", "sequence"]).withColumn("round", F.lit(number).cast("long")))
+        heads = moved if heads is None else sensor.next_heads(heads, keys)
+        waiting = collector.still_waiting(waiting, now)
+    return rounds[0].unionByName(rounds[1])
+
+
 # --- Rollups ---
 
 
