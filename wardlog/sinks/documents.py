@@ -12,7 +12,7 @@ from wardlog.config import LIMITS, NAMES, WireNames
 from wardlog.functions.times import GRANULARITIES, period_end, utc_stamp
 from wardlog.operators.canonical import transport_escaped
 from wardlog.operators.rollup import PERIOD, label_sources, order_sources, top_n
-from wardlog.session import cut_lineage
+from wardlog.session import cut_lineage, staged_table
 from wardlog.sinks.render import render_ipset, render_nft, render_text
 from wardlog.sinks.storage import file_system, join_files, replace_file, write_bytes
 from wardlog.sources.files import path_exists
@@ -51,11 +51,31 @@ def publish_lines(lines: DataFrame, path: str, single_file: bool = True) -> None
     ``single_file`` also joins them to the file ``path``: bytes copied one after
     the other with a small buffer, as a storage without joining demands.
     """
+    _publish(lines, path, single_file)
+
+
+def publish_array(items: DataFrame, path: str, head: str, tail: str, closing: str, single_file: bool = True) -> None:
+    """The same for one JSON document: ``head``, the elements (ord, text) joined
+    by commas, ``tail``. Every element ends in ``closing``, and positions are
+    distinct. An element's row starts with its comma, so that parts need only
+    be joined; ``closing`` is what ends the rows of a part."""
+    first = F.col("ord") == items.agg(F.min("ord").alias("ord")).scalar()
+    body = F.expr("substring(text, 1, length(text) - 1)")
+    lines = items.select("ord", F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), body).alias("line"))
+    _publish(lines, path, single_file, closing, head, tail)
+
+
+def _publish(lines: DataFrame, path: str, single_file: bool, end: str = "\n", head: str = "", tail: str = "") -> None:
     spark, version, base = lines.sparkSession, uuid.uuid4().hex, parts_folder(path)
     folder = f"{base}/{version}"
-    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("line").write.text(folder)
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("line").write.option("lineSep", end).text(folder)
     system, written = file_system(spark, folder)
     files = sorted((s.getPath().getName(), s.getLen()) for s in system.listStatus(written) if s.getPath().getName().startswith("part-"))
+    around = {"head": head.encode(), "tail": tail.encode()}
+    for name, data in around.items():
+        if data:
+            write_bytes(spark, f"{folder}/{name}", data)
+    files = [("head", len(around["head"])), *files, ("tail", len(around["tail"]))]
     before = read_index(spark, path)
     parts = [{"name": f"{version}/{name}", "bytes": size} for name, size in files if size]
     staging = f"{base}.index.staging-{version}"
@@ -120,40 +140,32 @@ def rollup_periods(totals: DataFrame, counts: DataFrame, heads: DataFrame) -> Da
     )
 
 
-def rollup_document(periods: DataFrame, granularity: str, updated_at: str | None, names: WireNames = NAMES) -> DataFrame:
-    """The published document of one granularity as one row ``text``. Its size
-    is bounded: top 100 values per dimension, and expired hours are gone."""
-    head = F.to_json(
-        F.struct(
-            F.lit(names.schema("rollup")).alias("schema_version"),
-            F.lit(names.label).alias("label"),
-            F.lit(granularity).alias("granularity"),
-            F.lit(updated_at).cast("string").alias("updated_at"),
-        )
-    )
-    body = F.array_sort(F.collect_list(F.struct("period_start", F.to_json("period").alias("json"))))
-    return (
-        periods.where(F.col("granularity") == granularity)
-        .agg(body.alias("_p"))
-        .select(
-            transport_escaped(
-                F.concat(
-                    F.regexp_replace(head, r"\}\z", ""),
-                    F.lit(',"periods":['),
-                    F.array_join(F.transform("_p", lambda x: x["json"]), ","),
-                    F.lit("]}"),
-                )
-            ).alias("text")
-        )
+def rollup_head(spark: SparkSession, granularity: str, updated_at: str | None, names: WireNames = NAMES) -> str:
+    """What precedes the periods of a granularity's document."""
+    fields = F.struct(
+        F.lit(names.schema("rollup")).alias("schema_version"),
+        F.lit(names.label).alias("label"),
+        F.lit(granularity).alias("granularity"),
+        F.lit(updated_at).cast("string").alias("updated_at"),
     )
+    text = spark.range(1).select(transport_escaped(F.to_json(fields)).alias("text")).first().text
+    return text.removesuffix("}") + ',"periods":['
+
+
+def rollup_items(periods: DataFrame, granularity: str) -> DataFrame:
+    """(ord, text) of a granularity's periods, each as its JSON."""
+    text = transport_escaped(F.to_json("period")).alias("text")
+    return periods.where(F.col("granularity") == granularity).select(F.col("period_start").alias("ord"), text)
 
 
 def write_rollups(
     totals: DataFrame, counts: DataFrame, heads: DataFrame, updated_at: str | None, directory: str, names: WireNames = NAMES
 ) -> None:
-    periods = rollup_periods(totals, counts, heads)
-    for granularity in GRANULARITIES:
-        publish_file(rollup_document(periods, granularity, updated_at, names), f"{directory}/{granularity}.json")
+    """One document per granularity, written in parts from one computation of the periods."""
+    with staged_table(rollup_periods(totals, counts, heads), "periods") as periods:
+        for granularity in GRANULARITIES:
+            head = rollup_head(periods.sparkSession, granularity, updated_at, names)
+            publish_array(rollup_items(periods, granularity), f"{directory}/{granularity}.json", head, "]}\n", "}")
 
 
 def quarantine_document(entries: DataFrame, now: str, updated_at: str | None, names: WireNames = NAMES) -> DataFrame:
@@ -183,15 +195,16 @@ def manifest_blobs(statuses: DataFrame) -> DataFrame:
     return statuses.where(F.col("status").isin("accepted", "replay")).select("blob_name")
 
 
-def write_manifest(statuses: DataFrame, path: str, names: WireNames = NAMES) -> None:
-    """The manifest names one run's batches, limited by the run's input."""
-    listed = F.array_sort(F.collect_list("blob_name"))
-    publish_file(
-        manifest_blobs(statuses).agg(listed.alias("blobs")).select(
-            F.to_json(F.struct(F.lit(names.schema("accepted-manifest")).alias("schema_version"), "blobs")).alias("text")
-        ),
-        path,
-    )
+def manifest_items(statuses: DataFrame) -> DataFrame:
+    """(ord, text) of a run's deletable objects, each as its JSON string."""
+    blobs = manifest_blobs(statuses).distinct().withColumn("_json", F.to_json(F.array("blob_name")))
+    return blobs.select(F.col("blob_name").alias("ord"), F.expr("substring(_json, 2, length(_json) - 2)").alias("text"))
+
+
+def write_manifest(statuses: DataFrame, path: str, names: WireNames = NAMES, single_file: bool = True) -> None:
+    """The manifest names all of one run's batches, in parts like every list."""
+    head = json.dumps({"schema_version": names.schema("accepted-manifest")}, separators=(",", ":")).removesuffix("}")
+    publish_array(manifest_items(statuses), path, head + ',"blobs":[', "]}\n", '"', single_file)
 
 
 def write_deny_lists(
